@@ -42,8 +42,8 @@ def null_nan(col: str | Column) -> Column:
 def split_points(df: DataFrame, order: str, groups: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
     """Sorted split values of each group that holds a visible share of the rows.
 
-    Columns: ``_g0.._gn`` (the group) and ``_edges`` (array).  One row at most
-    per group; at most ``cells`` split values in the whole table.
+    Columns: ``_g0.._gn`` (the group) and ``_points`` (all values and every 32nd
+    of them).  At most ``cells`` split values in the whole table.
     """
     keys = [*groups, order]
     hashed = df.select(*keys, F.xxhash64(*keys).alias("_h"))
@@ -53,21 +53,14 @@ def split_points(df: DataFrame, order: str, groups: Sequence[str] = (), cells: i
     chosen = hashed.groupBy(cell.alias("_cell")).agg(F.min("_h").alias("_h")).select("_h")
     rows = hashed.join(F.broadcast(chosen), "_h", "left_semi").select(*keys).distinct()
     names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
-    return (
-        rows.groupBy(*names)
-        .agg(F.sort_array(F.collect_list(order)).alias("_edges"))
-        .where(F.size("_edges") >= HOT_ROWS)
+    edges = rows.groupBy(*names).agg(F.sort_array(F.collect_list(order)).alias("_edges"))
+    # Every 32nd value: the first level of the search.
+    coarse = F.filter("_edges", lambda _, i: i % _STRIDE == _STRIDE - 1)
+    return edges.where(F.size("_edges") >= HOT_ROWS).select(
+        *[f"_g{i}" for i in range(len(groups))], F.struct("_edges", coarse.alias("_coarse")).alias("_points")
     )
 
 
-def _position(edges: Column, value: Column) -> Column:
-    """Number of split values <= value, by a two-level search."""
-    coarse = F.filter(edges, lambda _, i: i % _STRIDE == _STRIDE - 1)
-    block = F.size(F.filter(coarse, lambda e: e <= value))
-    inside = F.size(F.filter(F.slice(edges, block * _STRIDE + 1, _STRIDE), lambda e: e <= value))
-    return block * _STRIDE + inside
-
-
 def _same_group(groups: Sequence[str], prefix: str = "_g") -> Column:
     cond = F.lit(True)
     for i, g in enumerate(groups):
@@ -83,9 +76,14 @@ def with_chunks(df: DataFrame, order: str, groups: Sequence[str] = (), points: D
         out = df.join(F.broadcast(points), _same_group(groups), "left")
     else:
         # One row at most: an uncorrelated scalar subquery, not a join.
-        out = df.withColumn("_edges", points.select("_edges").scalar())
-    chunk = F.when(F.col("_edges").isNotNull(), _position(F.col("_edges"), F.col(order)))
-    return out.withColumn("_chunk", chunk.cast("int")).drop("_edges", *[f"_g{i}" for i in range(len(groups))])
+        out = df.withColumn("_points", points.select("_points").scalar())
+    value = F.col(order)
+    block = F.size(F.filter("_points._coarse", lambda e: e <= value))
+    out = out.withColumn("_block", F.when(F.col("_points").isNotNull(), block))
+    near = F.slice("_points._edges", F.col("_block") * _STRIDE + 1, _STRIDE)
+    chunk = F.col("_block") * _STRIDE + F.size(F.filter(near, lambda e: e <= value))
+    out = out.withColumn("_chunk", F.when(F.col("_block").isNotNull(), chunk).cast("int"))
+    return out.drop("_points", "_block", *[f"_g{i}" for i in range(len(groups))])
 
 
 def _carried(chunked: DataFrame, groups: Sequence[str], totals: dict[str, Column], descending: bool) -> DataFrame:

@@ -48,7 +48,7 @@ def derive_features(
     delays = array_of(status)
     first_bill, last_bill = F.col(bills[0]), F.col(bills[-1])
     return df.withColumns({
-        "utilization_rate": first_bill / (F.col(limit) + 1),
+        "utilization_rate": F.try_divide(first_bill, F.col(limit) + 1),
         "payment_ratio": F.col(payments[0]) / (F.abs(first_bill) + 1),
         "max_delay": F.array_max(delays),
         "avg_delay": F.when(F.size(delays) > 0, total(delays) / F.size(delays)),

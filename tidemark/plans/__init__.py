@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.plans import registry
 
-MODULES = ["features"]
+MODULES = ["features", "quality"]
 
 
 def _load() -> None:

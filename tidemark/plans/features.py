@@ -34,7 +34,7 @@ def history(t: Tables, *kinds: str):
     "j1_point_in_time_join",
     """
     SELECT p.event_id, p.user_id, epoch_us(p.ts) AS ts_us,
-           CASE WHEN h.value <= 100 THEN h.value END AS amount, h.event_type AS kind, h.event_id AS src_id
+           CASE WHEN h.value <= 100 THEN h.value END AS amount, h.event_type AS kind, coalesce(h.event_id, -1) AS src_id
     FROM (SELECT * FROM events WHERE event_type = 'purchase') p
     ASOF LEFT JOIN (SELECT * FROM events WHERE event_type <> 'purchase') h
       ON p.user_id = h.user_id AND p.ts >= h.ts
@@ -44,14 +44,15 @@ def point_in_time(t: Tables):
     out = ft.point_in_time_join(
         purchases(t), history(t), "user_id", ["amount", "kind", "src_id"], "ts", "feature_ts", ties=["src_id"]
     )
-    return out.select("event_id", "user_id", micros("ts").alias("ts_us"), "amount", "kind", "src_id")
+    return out.select("event_id", "user_id", micros("ts").alias("ts_us"), "amount", "kind",
+                      F.coalesce("src_id", F.lit(-1)).alias("src_id"))
 
 
 _SERVICE_SQL = """
     SELECT p.event_id, p.user_id,
-           c.value AS click_value, c.event_id AS click_id,
+           c.value AS click_value, coalesce(c.event_id, -1) AS click_id,
            CASE WHEN p.ts - v.ts <= INTERVAL 1 DAY THEN v.value END AS view_value,
-           CASE WHEN p.ts - v.ts <= INTERVAL 1 DAY THEN v.event_id END AS view_id
+           coalesce(CASE WHEN p.ts - v.ts <= INTERVAL 1 DAY THEN v.event_id END, -1) AS view_id
     FROM (SELECT * FROM events WHERE event_type = 'purchase') p
     ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c
       ON p.user_id = c.user_id AND p.ts >= c.ts
@@ -72,7 +73,8 @@ def feature_service(t: Tables):
     out = ft.feature_views_join(
         purchases(t), [view("click"), view("view", timedelta(days=1))], "user_id", "ts"
     )
-    return out.drop("ts")
+    return out.select("event_id", "user_id", "click_value", "view_value",
+                      *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("click_id", "view_id")])
 
 
 @query(
