@@ -17,7 +17,7 @@ Groups that are not hot keep chunk 0 and cost nothing extra.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,12 +46,12 @@ def split_points(df: DataFrame, order: str, groups: Sequence[str] = (), cells: i
     of them).  At most ``cells`` split values in the whole table.
     """
     keys = [*groups, order]
-    hashed = df.select(*keys, F.xxhash64(*keys).alias("_h"))
-    cell = F.pmod(F.col("_h"), F.lit(cells))
+    hashed = df.select(*keys, F.xxhash64(*keys).alias("_cellhash"))
+    cell = F.pmod(F.col("_cellhash"), F.lit(cells))
     # Hash aggregation over long values only; the row itself is fetched by its
     # hash, so no sort-based aggregate over strings is needed.
-    chosen = hashed.groupBy(cell.alias("_cell")).agg(F.min("_h").alias("_h")).select("_h")
-    rows = hashed.join(F.broadcast(chosen), "_h", "left_semi").select(*keys).distinct()
+    chosen = hashed.groupBy(cell.alias("_cell")).agg(F.min("_cellhash").alias("_cellhash")).select("_cellhash")
+    rows = hashed.join(F.broadcast(chosen), "_cellhash", "left_semi").select(*keys).distinct()
     names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
     edges = rows.groupBy(*names).agg(F.sort_array(F.collect_list(order)).alias("_edges"))
     # Every 32nd value: the first level of the search.
@@ -91,15 +91,15 @@ def _carried(chunked: DataFrame, groups: Sequence[str], totals: dict[str, Column
     names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
     per_chunk = (
         chunked.where(F.col("_chunk").isNotNull())
-        .groupBy(*names, F.col("_chunk").alias("_c"))
+        .groupBy(*names, F.col("_chunk").alias("_in_chunk"))
         .agg(*[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
     )
-    order = F.col("_c").desc() if descending else F.col("_c").asc()
+    order = F.col("_in_chunk").desc() if descending else F.col("_in_chunk").asc()
     before = Window.partitionBy(*[f"_g{i}" for i in range(len(groups))]).orderBy(order)
     before = before.rowsBetween(Window.unboundedPreceding, -1)
     return per_chunk.select(
         *[f"_g{i}" for i in range(len(groups))],
-        "_c",
+        "_in_chunk",
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in totals],
     )
 
@@ -115,7 +115,7 @@ def running_totals(
     """Add inclusive running totals in the order of ``order`` (then ``ties``)."""
     chunked = with_chunks(df, order, groups)
     carried = _carried(chunked, groups, totals, descending)
-    cond = F.col("_chunk") == F.col("_c")
+    cond = F.col("_chunk") == F.col("_in_chunk")
     if groups:
         cond = cond & _same_group(groups)
     key = F.col(order).desc() if descending else F.col(order).asc()
@@ -144,22 +144,23 @@ def row_numbers(
     return running_totals(df, order, groups, {name: F.lit(1).cast("long")}, ties, descending)
 
 
-def quantiles(
+def order_values(
     df: DataFrame,
     value: str,
-    probs: dict[str, float],
+    ranks: dict[str, Callable[[Column], Column]],
     groups: Sequence[str] = (),
     bounded_groups: bool = False,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per group.
+    """Values at given 0-based ranks per group, plus the row count ``n_all``.
 
-    Only the chunks that hold a wanted rank are sorted; of all other rows just
-    the count per chunk is needed.  Equal values are merged before the shuffle.
-    Set ``bounded_groups`` where the number of groups cannot grow with the data
+    ``ranks`` maps an output name to a function of the row count.  Only the
+    chunks that hold a wanted rank are sorted; of all other rows just the count
+    per chunk is needed.  Equal values are merged before the shuffle.  Set
+    ``bounded_groups`` where the number of groups cannot grow with the data
     (column names, a fixed list of labels): the wanted chunks are then broadcast
     and all other rows are dropped before the shuffle.
     """
-    rows = df.where(present(value)).select(*groups, F.col(value).cast("double").alias("_v"))
+    rows = df.select(*groups, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     chunked = with_chunks(rows, "_v", groups).withColumn("_chunk", F.coalesce("_chunk", F.lit(0)))
     w = Window.partitionBy(*groups)
     ordered = w.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,41 +169,56 @@ def quantiles(
         .agg(F.count("*").alias("_n"))
         .withColumns({
             "_start": F.coalesce(F.sum("_n").over(ordered), F.lit(0)),
-            "_all": F.sum("_n").over(w),
+            "n_all": F.sum("_n").over(w),
         })
     )
-    lo = {n: F.floor((F.col("_all") - 1) * F.lit(p)) for n, p in probs.items()}
-    hi = {n: F.ceil((F.col("_all") - 1) * F.lit(p)) for n, p in probs.items()}
-    wanted = F.array(*lo.values(), *hi.values())
+    wanted = F.array(*[fn(F.col("n_all")).cast("long") for fn in ranks.values()])
     needed = totals.where(
         F.exists(wanted, lambda k: (k >= F.col("_start")) & (k < F.col("_start") + F.col("_n")))
-    ).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_chunk").alias("_c"), "_start", "_all")
-    cond = F.col("_chunk") == F.col("_c")
+    ).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_chunk").alias("_in_chunk"), "_start", "n_all")
+    cond = F.col("_chunk") == F.col("_in_chunk")
     if groups:
         cond = cond & _same_group(groups)
     if bounded_groups or not groups:
         rows_in = chunked.join(F.broadcast(needed), cond)
-        counted = rows_in.groupBy(*groups, "_chunk", "_v", "_start", "_all").agg(F.count("*").alias("_k"))
+        counted = rows_in.groupBy(*groups, "_chunk", "_v", "_start", "n_all").agg(F.count("*").alias("_k"))
     else:
         merged = chunked.groupBy(*groups, "_chunk", "_v").agg(F.count("*").alias("_k"))
         counted = merged.join(needed, cond)
     inside = Window.partitionBy(*groups, "_chunk").orderBy("_v")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.col("_start") + F.sum("_k").over(inside)
-    ranked = counted.withColumns({"_to": last}).withColumn("_from", F.col("_to") - F.col("_k"))
+    ranked = counted.withColumn("_to", last).withColumn("_from", F.col("_to") - F.col("_k"))
 
-    def at(k: Column) -> Column:
+    def at(fn: Callable[[Column], Column]) -> Column:
+        k = fn(F.col("n_all")).cast("long")
         return F.max(F.when((F.col("_from") <= k) & (k < F.col("_to")), F.col("_v")))
 
-    picks = []
-    for n in probs:
-        picks += [at(lo[n]).alias(f"_lo_{n}"), at(hi[n]).alias(f"_hi_{n}")]
-    agg = ranked.groupBy(*groups).agg(F.max("_all").alias("_all"), *picks)
+    return ranked.groupBy(*groups).agg(
+        F.max("n_all").alias("n_all"), *[at(fn).alias(n) for n, fn in ranks.items()]
+    )
+
+
+def quantiles(
+    df: DataFrame,
+    value: str,
+    probs: dict[str, float],
+    groups: Sequence[str] = (),
+    bounded_groups: bool = False,
+) -> DataFrame:
+    """Exact quantiles with linear interpolation, one row per group."""
+    ranks: dict[str, Callable[[Column], Column]] = {}
+    for name, p in probs.items():
+        ranks[f"_lo_{name}"] = lambda n, p=p: F.floor((n - 1) * F.lit(p))
+        ranks[f"_hi_{name}"] = lambda n, p=p: F.ceil((n - 1) * F.lit(p))
+    rows = df.where(present(value)).select(*groups, F.col(value).cast("double").alias("_q"))
+    found = order_values(rows, "_q", ranks, groups, bounded_groups)
     out = []
-    for n, p in probs.items():
-        frac = (F.col("_all") - 1) * F.lit(p) - lo[n]
-        out.append((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * frac).alias(n))
-    return agg.select(*groups, *out)
+    for name, p in probs.items():
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        at = (F.col("n_all") - 1) * F.lit(p)
+        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    return found.select(*groups, *out)
 
 
 def top_k(

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.plans import registry
 
-MODULES = ["features", "quality"]
+MODULES = ["features", "quality", "evaluation", "drift", "labels"]
 
 
 def _load() -> None:
