@@ -12,7 +12,9 @@ its order column first:
 3. The window runs inside (group, chunk); what earlier chunks contribute comes
    from a table with one row per hot chunk, again at most ``cells`` rows.
 
-Groups that are not hot keep chunk 0 and cost nothing extra.
+Groups that are not hot keep one chunk and cost nothing extra.  Where all
+input files together are smaller than ``spark.tidemark.smallInputBytes`` (64 MB
+unless set) no group can be too large for a task, and the plain window is used.
 """
 
 from __future__ import annotations
@@ -39,6 +41,24 @@ def null_nan(col: str | Column) -> Column:
     return F.when(~F.isnan(col), col)
 
 
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+
+
+def small_input(df: DataFrame) -> bool:
+    """True where the files and tables below ``df`` are known to be small.
+
+    Reads the size statistics of the plan's leaves; unknown sizes count as large.
+    """
+    if not hasattr(df, "_jdf"):
+        return False
+    limit = int(df.sparkSession.conf.get("spark.tidemark.smallInputBytes", str(SMALL_INPUT_BYTES)))
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext() and total < limit:
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    return total < limit
+
+
 def split_points(df: DataFrame, order: str, groups: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
     """Sorted split values of each group that holds a visible share of the rows.
 
@@ -113,17 +133,17 @@ def running_totals(
     descending: bool = False,
 ) -> DataFrame:
     """Add inclusive running totals in the order of ``order`` (then ``ties``)."""
+    key = F.col(order).desc() if descending else F.col(order).asc()
+    to_here = (Window.unboundedPreceding, Window.currentRow)
+    if small_input(df):
+        w = Window.partitionBy(*groups).orderBy(key, *ties).rowsBetween(*to_here)
+        return df.select(*df.columns, *[F.sum(c).over(w).alias(n) for n, c in totals.items()])
     chunked = with_chunks(df, order, groups)
     carried = _carried(chunked, groups, totals, descending)
     cond = F.col("_chunk") == F.col("_in_chunk")
     if groups:
         cond = cond & _same_group(groups)
-    key = F.col(order).desc() if descending else F.col(order).asc()
-    w = (
-        Window.partitionBy(*groups, "_chunk")
-        .orderBy(key, *ties)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    w = Window.partitionBy(*groups, "_chunk").orderBy(key, *ties).rowsBetween(*to_here)
     inside = chunked.withColumns({n: F.sum(c).over(w) for n, c in totals.items()})
     joined = inside.join(F.broadcast(carried), cond, "left")
     return joined.select(
@@ -144,23 +164,18 @@ def row_numbers(
     return running_totals(df, order, groups, {name: F.lit(1).cast("long")}, ties, descending)
 
 
-def order_values(
-    df: DataFrame,
-    value: str,
-    ranks: dict[str, Callable[[Column], Column]],
-    groups: Sequence[str] = (),
-    bounded_groups: bool = False,
-) -> DataFrame:
-    """Values at given 0-based ranks per group, plus the row count ``n_all``.
+def _merged_ranks(merged: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """First and last rank of each distinct value, by a plain window per group."""
+    w = Window.partitionBy(*groups)
+    run = w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = merged.withColumns({"_to": F.sum("_k").over(run), "n_all": F.sum("_k").over(w)})
+    return out.withColumn("_from", F.col("_to") - F.col("_k"))
 
-    ``ranks`` maps an output name to a function of the row count.  Only the
-    chunks that hold a wanted rank are sorted; of all other rows just the count
-    per chunk is needed.  Equal values are merged before the shuffle.  Set
-    ``bounded_groups`` where the number of groups cannot grow with the data
-    (column names, a fixed list of labels): the wanted chunks are then broadcast
-    and all other rows are dropped before the shuffle.
-    """
-    rows = df.select(*groups, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+
+def _chunk_ranks(
+    rows: DataFrame, ranks: dict[str, Callable[[Column], Column]], groups: Sequence[str], bounded_groups: bool
+) -> DataFrame:
+    """The same for the chunks that hold a wanted rank; other chunks are only counted."""
     chunked = with_chunks(rows, "_v", groups).withColumn("_chunk", F.coalesce("_chunk", F.lit(0)))
     w = Window.partitionBy(*groups)
     ordered = w.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -175,7 +190,9 @@ def order_values(
     wanted = F.array(*[fn(F.col("n_all")).cast("long") for fn in ranks.values()])
     needed = totals.where(
         F.exists(wanted, lambda k: (k >= F.col("_start")) & (k < F.col("_start") + F.col("_n")))
-    ).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_chunk").alias("_in_chunk"), "_start", "n_all")
+    ).select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_chunk").alias("_in_chunk"), "_start", "n_all"
+    )
     cond = F.col("_chunk") == F.col("_in_chunk")
     if groups:
         cond = cond & _same_group(groups)
@@ -188,7 +205,30 @@ def order_values(
     inside = Window.partitionBy(*groups, "_chunk").orderBy("_v")
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.col("_start") + F.sum("_k").over(inside)
-    ranked = counted.withColumn("_to", last).withColumn("_from", F.col("_to") - F.col("_k"))
+    return counted.withColumn("_to", last).withColumn("_from", F.col("_to") - F.col("_k"))
+
+
+def order_values(
+    df: DataFrame,
+    value: str,
+    ranks: dict[str, Callable[[Column], Column]],
+    groups: Sequence[str] = (),
+    bounded_groups: bool = False,
+) -> DataFrame:
+    """Values at given 0-based ranks per group, plus the row count ``n_all``.
+
+    ``ranks`` maps an output name to a function of the row count.  Only the
+    chunks that hold a wanted rank are sorted; of all other rows just the count
+    per chunk is needed.  Equal values are merged before the shuffle.  Set
+    ``bounded_groups`` where the number of groups cannot grow with the data
+    (column names, a fixed list of labels): the wanted chunks are then broadcast
+    and all other rows are dropped before the shuffle.
+    """
+    rows = df.select(*groups, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    if small_input(df):
+        ranked = _merged_ranks(rows.groupBy(*groups, "_v").agg(F.count("*").alias("_k")), groups)
+    else:
+        ranked = _chunk_ranks(rows, ranks, groups, bounded_groups)
 
     def at(fn: Callable[[Column], Column]) -> Column:
         k = fn(F.col("n_all")).cast("long")

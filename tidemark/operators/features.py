@@ -9,7 +9,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordering import split_points, with_chunks
+from tidemark.functions.ordering import small_input, split_points, with_chunks
 
 # Category codes and their replacement.
 EDUCATION_CODES = {0: 4, 5: 4, 6: 4}
@@ -137,20 +137,43 @@ def feature_views_join(entities: DataFrame, views: Sequence[View], key: str, ent
         )
         rows = rows.unionByName(part, allowMissingColumns=True)
 
+    slots = [slot(i) for i in range(len(views))]
+    to_here = (Window.unboundedPreceding, Window.currentRow)
+    if small_input(rows):
+        inside = Window.partitionBy("_key").orderBy("_at", "_side", *slots).rowsBetween(*to_here)
+        joined = rows.select(
+            "_at", "_side", "_entity", *[F.last(s, ignorenulls=True).over(inside).alias(s) for s in slots]
+        ).where(F.col("_side") == 1)
+    else:
+        joined = _chunked_last(rows, slots)
+    picked = []
+    for c, i in wanted.items():
+        row = F.col(slot(i))
+        value = row[c]
+        if views[i].max_age is not None:
+            age_ok = F.col("_at") - row["_ts"] <= F.lit(views[i].max_age)
+            value = F.when(age_ok, value)
+        picked.append(value.alias(c))
+    # A row without a key can match nothing but is kept.
+    found = joined.select("_entity.*", *picked)
+    orphan = entities.where(F.col(key).isNull())
+    return found.unionByName(orphan, allowMissingColumns=True)
+
+
+def _chunked_last(rows: DataFrame, slots: Sequence[str]) -> DataFrame:
+    """Last row of each view per entity row; hot keys are cut into time chunks."""
     # Split points come from key and time only: a narrow scan.
     points = split_points(rows.select("_key", "_at"), "_at", ["_key"])
     chunked = with_chunks(rows, "_at", ["_key"], points)
-    slots = [slot(i) for i in range(len(views))]
-
     # Newest row of each view in each hot chunk, then the newest of all earlier chunks.
     newest = (
         chunked.where(F.col("_chunk").isNotNull())
-        .groupBy(F.col("_key").alias("_k"), F.col("_chunk").alias("_c"))
+        .groupBy(F.col("_key").alias("_k"), F.col("_chunk").alias("_k_chunk"))
         .agg(*[F.max(s).alias(s) for s in slots])
     )
-    earlier = Window.partitionBy("_k").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_k").orderBy("_k_chunk").rowsBetween(Window.unboundedPreceding, -1)
     opened = newest.select(
-        "_k", "_c", *[F.last(s, ignorenulls=True).over(earlier).alias(f"{s}_open") for s in slots]
+        "_k", "_k_chunk", *[F.last(s, ignorenulls=True).over(earlier).alias(f"{s}_open") for s in slots]
     )
     inside = (
         Window.partitionBy("_key", "_chunk")
@@ -161,21 +184,11 @@ def feature_views_join(entities: DataFrame, views: Sequence[View], key: str, ent
         "_key", "_chunk", "_at", "_side", "_entity",
         *[F.last(s, ignorenulls=True).over(inside).alias(s) for s in slots],
     ).where(F.col("_side") == 1)
-    joined = seen.join(
-        F.broadcast(opened), (F.col("_key") == F.col("_k")) & (F.col("_chunk") == F.col("_c")), "left"
+    same = (F.col("_key") == F.col("_k")) & (F.col("_chunk") == F.col("_k_chunk"))
+    joined = seen.join(F.broadcast(opened), same, "left")  # one row per hot chunk
+    return joined.select(
+        "_at", "_side", "_entity", *[F.coalesce(F.col(s), F.col(f"{s}_open")).alias(s) for s in slots]
     )
-    picked = []
-    for c, i in wanted.items():
-        row = F.coalesce(F.col(slot(i)), F.col(f"{slot(i)}_open"))
-        value = row[c]
-        if views[i].max_age is not None:
-            age_ok = F.col("_at") - row["_ts"] <= F.lit(views[i].max_age)
-            value = F.when(age_ok, value)
-        picked.append(value.alias(c))
-    # A row without a key can match nothing but is kept.
-    found = joined.select("_entity.*", *picked)
-    orphan = entities.where(F.col(key).isNull())
-    return found.unionByName(orphan, allowMissingColumns=True)
 
 
 # --- latest-value tables --------------------------------------------------
