@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.plans import registry
 
-MODULES = ["features", "quality", "evaluation", "drift", "labels", "service"]
+MODULES = ["features", "quality", "evaluation", "drift", "labels", "service", "retrieval"]
 
 
 def _load() -> None:
