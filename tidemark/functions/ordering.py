@@ -279,3 +279,19 @@ def top_k(
     kept = salted.withColumn("_r", first).where(F.col("_r") <= k).drop("_r", "_salt")
     second = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
     return kept.withColumn(rank, second).where(F.col(rank) <= k)
+
+
+def hash_sample(df: DataFrame, n: int, keys: Sequence[str], cell: str | None = None) -> DataFrame:
+    """At most ``n`` rows chosen by content: the smallest hash of each of ``n`` cells.
+
+    The choice is the same on every evaluation and is found by one map-side
+    combined aggregation; the chosen hashes (``n`` numbers) are broadcast.
+    """
+    hashed = df.withColumn("_cellhash", F.xxhash64(*keys))
+    number = F.pmod(F.col("_cellhash"), F.lit(n))
+    chosen = hashed.groupBy(number.alias("_cell")).agg(F.min("_cellhash").alias("_cellhash")).select("_cellhash")
+    out = hashed.join(F.broadcast(chosen), "_cellhash", "left_semi")
+    if cell is not None:
+        out = out.withColumn(cell, number)
+    # Copies of a chosen row share its hash and are taken once.
+    return out.drop("_cellhash").dropDuplicates(list(keys))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,3 +57,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for written intermediate tables, in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
