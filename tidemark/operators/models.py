@@ -17,6 +17,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.hashing import md5_bucket
 from tidemark.functions.ordering import hash_sample, quantiles
@@ -35,7 +36,7 @@ def batch_score(df: DataFrame, predict: Callable[[pd.DataFrame], np.ndarray], fe
     the model travels with the function.
     """
     names = list(features)
-    schema = df.schema.add("score", "double")
+    schema = StructType([*df.schema.fields, StructField("score", DoubleType())])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -224,7 +225,7 @@ def isolation_scores(df: DataFrame, features: Sequence[str], forest: list, name:
     """Add the isolation score (-1 is most unusual), batch by batch with broadcast trees."""
     names = list(features)
     sent = df.sparkSession.sparkContext.broadcast(forest)
-    schema = df.schema.add(name, "double")
+    schema = StructType([*df.schema.fields, StructField(name, DoubleType())])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trees = sent.value
