@@ -247,7 +247,7 @@ def budget_alerts(t: Tables):
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS i FROM events),
        m AS (SELECT event_type, avg(value) FILTER (i > 200) AS h, avg(value) FILTER (i <= 200) AS r FROM r GROUP BY 1)
        SELECT event_type, round(h, 6) AS historical_mean, round(r, 6) AS recent_mean, round((h - r) / h, 6) AS drift,
-              (h - r) / h > 0.02 AS has_drifted, (h - r) / h > 0.02 AND (h - r) / h > 0.05 AS alerting FROM m""",
+              coalesce((h - r) / h > 0.02, false) AS has_drifted, coalesce((h - r) / h > 0.02 AND (h - r) / h > 0.05, false) AS alerting FROM m""",
 )
 def quality_drift(t: Tables):
     out = sv.quality_drift(t.events, "value", "ts", "event_id", ["event_type"], 200, 0.02, 0.05, bounded_groups=True)
