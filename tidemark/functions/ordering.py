@@ -261,6 +261,32 @@ def quantiles(
     return found.select(*groups, *out)
 
 
+def merged_quantiles(
+    merged: DataFrame, value: str, weight: str, totals: DataFrame, group: str, probs: dict[str, float]
+) -> DataFrame:
+    """Exact quantiles and ``n_unique`` from a table of distinct values and their counts.
+
+    ``totals`` has one row per group with the number of values in ``n_all``;
+    the groups are few by nature (column names).
+    """
+    run = running_totals(merged, value, [group], {"_to": F.col(weight)})
+    rows = run.join(F.broadcast(totals.select(group, "n_all")), group)
+    v, start, n = F.col(value), F.col("_to") - F.col(weight), F.col("n_all") - 1
+
+    def at(k: Column) -> Column:
+        return F.max(F.when((start <= k) & (k < F.col("_to")), v))
+
+    picks = []
+    for name, p in probs.items():
+        picks += [at(F.floor(n * F.lit(p))).alias(f"_lo_{name}"), at(F.ceil(n * F.lit(p))).alias(f"_hi_{name}")]
+    found = rows.groupBy(group).agg(F.max("n_all").alias("n_all"), F.count("*").alias("n_unique"), *picks)
+    out = []
+    for name, p in probs.items():
+        lo, hi, pos = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), n * F.lit(p)
+        out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+    return found.select(group, "n_unique", *out)
+
+
 def top_k(
     df: DataFrame,
     k: int,

@@ -127,12 +127,14 @@ def row_violations(df: DataFrame, contract: Contract, keys: Sequence[str]) -> Da
     key with many copies is combined before the shuffle.
     """
     present = [r for r in contract.rules if r.column in df.columns]
+    failures = [(r.column, n, F.coalesce(cond, F.lit(False))) for r in present for n, cond in _failures(df, r).items()]
     checks = [
-        F.when(cond, F.struct(F.lit(r.column).alias("column"), F.lit(n).alias("check"),
-                              F.col(r.column).cast("string").alias("value")))
-        for r in present for n, cond in _failures(df, r).items()
+        F.when(cond, F.struct(F.lit(c).alias("column"), F.lit(n).alias("check"), F.col(c).cast("string").alias("value")))
+        for c, n, cond in failures
     ]
-    broken = df.select(*keys, F.explode(F.filter(F.array(*checks), lambda c: c.isNotNull())).alias("_v"))
+    # Good rows leave before the check list of a row is built.
+    any_broken = reduce(lambda a, b: a | b, [cond for _, _, cond in failures])
+    broken = df.where(any_broken).select(*keys, F.explode(F.array(*checks)).alias("_v")).where(F.col("_v").isNotNull())
     out = broken.select(*keys, "_v.*")
     for r in present:
         if not r.unique:
@@ -361,17 +363,18 @@ PUSH_TYPES = {
 }
 
 
-def push_event_errors(payload: Column, required: Sequence[str], types: dict[str, str]) -> Column:
-    """Errors of one JSON payload as an array of strings, empty when valid."""
-    doc = F.try_parse_json(payload)
-
-    def value(name: str) -> Column:
-        return F.try_variant_get(doc, f"$.{name}", "variant")
-
-    found = [F.when(value(n).isNull(), F.lit(f"missing:{n}")) for n in required]
-    for name, kind in types.items():
-        actual = F.regexp_extract(F.schema_of_variant(value(name)), "^[A-Z]+", 0)
-        wrong = value(name).isNotNull() & ~F.is_variant_null(value(name)) & ~actual.isin(*PUSH_TYPES[kind])
-        found.append(F.when(wrong, F.concat(F.lit(f"type:{name}:"), F.lower(actual))))
-    broken = F.when(doc.isNull(), F.array(F.lit("malformed")))
-    return F.coalesce(broken, F.filter(F.array(*found), lambda e: e.isNotNull()))
+def push_event_errors(df: DataFrame, payload: str, required: Sequence[str], types: dict[str, str], name: str = "errors") -> DataFrame:
+    """Add the errors of each JSON payload as an array of strings, empty when valid."""
+    # The document is parsed once per row and the wanted fields are read once.
+    fields = list(dict.fromkeys([*required, *types]))
+    parsed = df.withColumn("_doc", F.try_parse_json(payload))
+    read = parsed.withColumns({f"_f{i}": F.try_variant_get("_doc", f"$.{n}", "variant") for i, n in enumerate(fields)})
+    value = {n: F.col(f"_f{i}") for i, n in enumerate(fields)}
+    found = [F.when(value[n].isNull(), F.lit(f"missing:{n}")) for n in required]
+    for n, kind in types.items():
+        actual = F.regexp_extract(F.schema_of_variant(value[n]), "^[A-Z]+", 0)
+        wrong = value[n].isNotNull() & ~F.is_variant_null(value[n]) & ~actual.isin(*PUSH_TYPES[kind])
+        found.append(F.when(wrong, F.concat(F.lit(f"type:{n}:"), F.lower(actual))))
+    broken = F.when(F.col("_doc").isNull(), F.array(F.lit("malformed")))
+    errors = F.coalesce(broken, F.filter(F.array(*found), lambda e: e.isNotNull()))
+    return read.withColumn(name, errors).drop("_doc", *[f"_f{i}" for i in range(len(fields))])

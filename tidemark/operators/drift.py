@@ -14,7 +14,6 @@ from pyspark.sql.types import NumericType
 
 from tidemark.functions.hashing import md5_number
 from tidemark.functions.ordering import running_totals, top_k
-from tidemark.operators.evaluation import rank_metrics
 from tidemark.operators.profile import moments, to_long
 
 BINS = 10
@@ -37,13 +36,33 @@ def pair(reference: DataFrame, current: DataFrame, features: Sequence[str], keep
     return a.unionByName(b).where(F.col("value").isNotNull())
 
 
-def _ranges(long: DataFrame) -> DataFrame:
+def weighted(long: DataFrame) -> DataFrame:
+    """Rows with their weight per side, 0 or 1."""
+    if "_r" in long.columns:
+        return long
+    return long.select("feature", "value", F.col("is_ref").cast("long").alias("_r"), (~F.col("is_ref")).cast("long").alias("_c"))
+
+
+def merged(long: DataFrame) -> DataFrame:
+    """One row per (feature, distinct value) with its count per side.
+
+    Every metric but MMD can be read from this table, so a report shuffles the
+    values once.
+    """
+    if "_r" in long.columns:
+        return long
+    return long.groupBy("feature", "value").agg(
+        F.count_if("is_ref").alias("_r"), F.count_if(~F.col("is_ref")).alias("_c")
+    )
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
     """One row per feature: joint and reference range, rows per side."""
-    ref, cur = F.when(F.col("is_ref"), F.col("value")), F.when(~F.col("is_ref"), F.col("value"))
-    return long.groupBy("feature").agg(
+    ref, cur = F.when(F.col("_r") > 0, F.col("value")), F.when(F.col("_c") > 0, F.col("value"))
+    return rows.groupBy("feature").agg(
         F.min("value").alias("_lo"), F.max("value").alias("_hi"),
         F.min(ref).alias("_rlo"), F.max(ref).alias("_rhi"), F.min(cur).alias("_clo"), F.max(cur).alias("_chi"),
-        F.count_if("is_ref").alias("_n"), F.count_if(~F.col("is_ref")).alias("_m"),
+        F.sum("_r").alias("_n"), F.sum("_c").alias("_m"),
     )
 
 
@@ -56,21 +75,22 @@ def _bin(v: Column, lo: Column, hi: Column) -> Column:
     return out
 
 
-def _histogram(long: DataFrame, ranges: DataFrame, lo: Column, hi: Column, inside: Column | None = None) -> DataFrame:
+def _histogram(rows: DataFrame, ranges: DataFrame, lo: Column, hi: Column, inside: Column | None = None) -> DataFrame:
     """Counts per (feature, bin) and side, with the range columns of the feature."""
-    rows = long.join(F.broadcast(ranges), "feature")  # one row per column name
+    rows = rows.join(F.broadcast(ranges), "feature")  # one row per column name
     if inside is not None:
         rows = rows.where(inside)
     keys = [c for c in ranges.columns if c != "feature"]
     return rows.withColumn("_bin", _bin(F.col("value"), lo, hi)).groupBy("feature", "_bin", *keys).agg(
-        F.count_if("is_ref").alias("_r"), F.count_if(~F.col("is_ref")).alias("_c")
+        F.sum("_r").alias("_r"), F.sum("_c").alias("_c")
     )
 
 
 def psi_joint(long: DataFrame, min_rows: int = 5) -> DataFrame:
     """PSI over bins of the joint range; 0 with fewer than five values on a side."""
-    ranges = _ranges(long)
-    bins = _histogram(long, ranges, F.col("_lo"), F.col("_hi") + 1e-9)
+    rows = weighted(long)
+    ranges = _ranges(rows)
+    bins = _histogram(rows, ranges, F.col("_lo"), F.col("_hi") + 1e-9)
 
     def share(count: str, total: str) -> Column:
         s = F.try_divide(F.col(count), F.col(total))
@@ -85,10 +105,11 @@ def psi_joint(long: DataFrame, min_rows: int = 5) -> DataFrame:
 
 def psi_reference(long: DataFrame) -> DataFrame:
     """PSI over bins of the reference range; rows outside count in the total only."""
-    ranges = _ranges(long)
+    rows = weighted(long)
+    ranges = _ranges(rows)
     lo, hi = F.col("_rlo"), F.col("_rhi")
     inside = (F.col("value") >= lo - 1e-8) & (F.col("value") <= hi + 1e-8)
-    bins = _histogram(long, ranges, lo, hi, inside)
+    bins = _histogram(rows, ranges, lo, hi, inside)
     p = F.col("_r") / F.greatest("_n", F.lit(1)) + SMOOTH
     q = F.col("_c") / F.greatest("_m", F.lit(1)) + SMOOTH
     sums = bins.groupBy("feature").agg(F.sum((q - p) * F.ln(q / p)).alias("_psi"))
@@ -99,8 +120,9 @@ def psi_reference(long: DataFrame) -> DataFrame:
 
 def js_distance(long: DataFrame) -> DataFrame:
     """Square root of the Jensen-Shannon divergence over joint bins."""
-    ranges = _ranges(long)
-    bins = _histogram(long, ranges, F.col("_lo"), F.col("_hi"))
+    rows = weighted(long)
+    ranges = _ranges(rows)
+    bins = _histogram(rows, ranges, F.col("_lo"), F.col("_hi"))
     total_p, total_q = F.col("_n") + BINS * SMOOTH, F.col("_m") + BINS * SMOOTH
 
     def term(p: Column, q: Column) -> Column:
@@ -116,18 +138,38 @@ def js_distance(long: DataFrame) -> DataFrame:
     return out.select("feature", F.when(both_constant, F.lit(0.0)).otherwise(js).alias("js_distance"))
 
 
-def ks_statistic(long: DataFrame, min_rows: int = 5) -> DataFrame:
-    """Largest distance of the two empirical distribution functions."""
-    merged = long.groupBy("feature", "value").agg(
-        F.count_if("is_ref").alias("_r"), F.count_if(~F.col("is_ref")).alias("_c")
-    )
-    run = running_totals(merged, "value", ["feature"], {"_cr": F.col("_r"), "_cc": F.col("_c")})
-    totals = merged.groupBy("feature").agg(F.sum("_r").alias("n_ref"), F.sum("_c").alias("n_cur"))
+def _distances(long: DataFrame) -> DataFrame:
+    """Per feature: rows per side, KS distance and the share of won pairs, from one pass of running totals."""
+    counts = merged(long)
+    run = running_totals(counts, "value", ["feature"], {"_cr": F.col("_r"), "_cc": F.col("_c")})
+    totals = counts.groupBy("feature").agg(F.sum("_r").alias("n_ref"), F.sum("_c").alias("n_cur"))
     both = run.join(F.broadcast(totals), "feature")
     gap = F.abs(F.try_divide(F.col("_cr"), F.col("n_ref")) - F.try_divide(F.col("_cc"), F.col("n_cur")))
-    out = both.groupBy("feature", "n_ref", "n_cur").agg(F.max(gap).alias("_ks"))
-    enough = (F.col("n_ref") >= min_rows) & (F.col("n_cur") >= min_rows)
-    return out.select("feature", "n_ref", "n_cur", F.when(enough, F.col("_ks")).otherwise(F.lit(0.0)).alias("ks"))
+    won = F.sum(F.col("_c") * (F.col("_cr") - F.col("_r") / 2))
+    out = both.groupBy("feature", "n_ref", "n_cur").agg(F.max(gap).alias("_ks"), won.alias("_won"))
+    return out.withColumn("_auc", F.try_divide(F.col("_won"), F.col("n_ref").cast("double") * F.col("n_cur")))
+
+
+def _at_least(n: int) -> Column:
+    return (F.col("n_ref") >= n) & (F.col("n_cur") >= n)
+
+
+def _ks(d: DataFrame, min_rows: int) -> DataFrame:
+    return d.select("feature", "n_ref", "n_cur", F.when(_at_least(min_rows), F.col("_ks")).otherwise(F.lit(0.0)).alias("ks"))
+
+
+def _auc(d: DataFrame, min_rows: int) -> DataFrame:
+    return d.select("feature", F.when(_at_least(min_rows), F.col("_auc")).otherwise(F.lit(0.5)).alias("classifier_auc"))
+
+
+def ks_statistic(long: DataFrame, min_rows: int = 5) -> DataFrame:
+    """Largest distance of the two empirical distribution functions."""
+    return _ks(_distances(long), min_rows)
+
+
+def two_sample_auc(long: DataFrame, min_rows: int = 10) -> DataFrame:
+    """P(current > reference) with half credit for ties, on all rows."""
+    return _auc(_distances(long), min_rows)
 
 
 def kolmogorov_pvalue(d: Column, n: Column, m: Column) -> Column:
@@ -172,14 +214,6 @@ def mmd_rbf(long: DataFrame, key: str, gamma: float = 1.0, sample: int = 500, mi
     return arrays.select("feature", F.when((n >= min_rows) & (m >= min_rows), mmd).otherwise(F.lit(0.0)).alias("mmd"))
 
 
-def two_sample_auc(long: DataFrame, min_rows: int = 10) -> DataFrame:
-    """P(current > reference) with half credit for ties, on all rows."""
-    rows = long.withColumn("_l", (~F.col("is_ref")).cast("int"))
-    out = rank_metrics(rows, "_l", "value", ["feature"])
-    enough = (F.col("n_pos") >= min_rows) & (F.col("n") - F.col("n_pos") >= min_rows)
-    return out.select("feature", F.when(enough, F.col("roc_auc")).otherwise(F.lit(0.5)).alias("classifier_auc"))
-
-
 def _severity(value: Column, low: float, high: float) -> Column:
     return F.when(value >= high, "HIGH").when(value >= low, "LOW").otherwise("NONE")
 
@@ -192,9 +226,11 @@ def drift_report(
     limits = {**LIMITS, **(limits or {})}
     features = list(features or [c for c in shared_numeric(reference, current) if c != key])
     long = pair(reference, current, features, [key])
+    counts = merged(long)
+    distances = _distances(counts)
     tables = {
-        "psi": psi_joint(long), "ks": ks_statistic(long).select("feature", "ks"),
-        "mmd": mmd_rbf(long, key), "classifier_auc": two_sample_auc(long),
+        "psi": psi_joint(counts), "ks": _ks(distances, 5).select("feature", "ks"),
+        "mmd": mmd_rbf(long, key), "classifier_auc": _auc(distances, 10),
     }
     out = None
     for metric, table in tables.items():
@@ -221,7 +257,8 @@ def drift_summary(report: DataFrame, share_ok: float = 0.20) -> DataFrame:
 
 def monitor_drift(long: DataFrame) -> DataFrame:
     """PSI and KS per feature with one severity, as the feature monitor uses it."""
-    out = psi_joint(long).join(ks_statistic(long, 1).select("feature", "ks"), "feature")
+    counts = merged(long)
+    out = psi_joint(counts).join(ks_statistic(counts, 1).select("feature", "ks"), "feature")
     (pl, ph), (kl, kh) = LIMITS["psi"], LIMITS["ks"]
     high = (F.col("psi") >= ph) | (F.col("ks") >= kh)
     low = (F.col("psi") >= pl) | (F.col("ks") >= kl)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordering import small_input, split_points, with_chunks
+from tidemark.functions.ordering import null_nan, small_input, split_points, with_chunks
 
 # Category codes and their replacement.
 EDUCATION_CODES = {0: 4, 5: 4, 6: 4}
@@ -38,24 +39,24 @@ def derive_features(
     payments: Sequence[str] = PAYMENTS,
 ) -> DataFrame:
     """Seven row-local features; missing values are skipped, as in a frame mean."""
-    def array_of(cols: Sequence[str]) -> Column:
-        values = F.array(*[F.col(c).cast("double") for c in cols])
-        return F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v))
+    def known(c: str) -> Column:
+        return null_nan(F.col(c).cast("double"))
 
-    def total(arr: Column) -> Column:
-        return F.aggregate(arr, F.lit(0.0), lambda acc, v: acc + v)
+    def total(values: Sequence[Column]) -> Column:
+        return reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in values])
 
-    delays = array_of(status)
+    # Sums of plain columns stay in generated code; arrays and lambdas would not.
+    delays = [known(c) for c in status]
+    n_delays = total([v.isNotNull().cast("double") for v in delays])
     first_bill, last_bill = F.col(bills[0]), F.col(bills[-1])
     return df.withColumns({
         "utilization_rate": F.try_divide(first_bill, F.col(limit) + 1),
         "payment_ratio": F.col(payments[0]) / (F.abs(first_bill) + 1),
-        "max_delay": F.array_max(delays),
-        "avg_delay": F.when(F.size(delays) > 0, total(delays) / F.size(delays)),
-        "consecutive_delays": F.size(F.filter(delays, lambda v: v > 0)).cast("double"),
+        "max_delay": F.greatest(*delays),
+        "avg_delay": F.try_divide(total(delays), n_delays),
+        "consecutive_delays": total([(v > 0).cast("double") for v in delays]),
         "bill_trend": (first_bill - last_bill) / (F.abs(last_bill) + 1),
-        "total_payment_ratio": total(array_of(payments))
-        / (total(F.transform(array_of(bills), lambda v: F.abs(v))) + 1),
+        "total_payment_ratio": total([known(c) for c in payments]) / (total([F.abs(known(c)) for c in bills]) + 1),
     })
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from tidemark.functions.ordering import null_nan, quantiles
+from tidemark.functions.ordering import merged_quantiles, null_nan
 
 PROFILE_QUANTILES = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -61,9 +61,8 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
     """One row per column: counts, null rate, distinct values, mean, deviation, quantiles.
 
-    Exact by default: distinct values come from one combined shuffle of
-    (column, value), quantiles from the chunks that hold them.  ``approximate``
-    uses sketches in a single pass.
+    Exact by default: distinct values and quantiles come from one combined
+    shuffle of (column, value).  ``approximate`` uses sketches in a single pass.
     """
     columns = list(columns or [f.name for f in df.schema.fields])
     numeric = [c for c in columns if c in numeric_columns(df)]
@@ -85,23 +84,21 @@ def column_profile(df: DataFrame, columns: Sequence[str] | None = None, approxim
     base = base.withColumn("null_rate", F.try_divide(F.col("n_null"), F.col("n_rows")))
     if approximate:
         return base
+    known = base.withColumn("n_all", F.col("n_rows") - F.col("n_null"))
     parts = []
     if numeric:
-        parts.append(to_long(df, numeric).groupBy("column", "value").agg(F.lit(1).alias("_one")))
+        long = to_long(df, numeric).where(F.col("value").isNotNull())
+        merged = long.groupBy("column", "value").agg(F.count("*").alias("_k"))
+        parts.append(merged_quantiles(merged, "value", "_k", known, "column", PROFILE_QUANTILES))
     if other:
         text = df.select(*[F.col(c).cast("string").alias(c) for c in other]).unpivot([], other, "column", "value")
-        parts.append(text.groupBy("column", "value").agg(F.lit(1).alias("_one")))
-    unique = None
-    for part in parts:
-        counted = part.groupBy("column").agg(F.count("value").alias("n_unique"))
-        unique = counted if unique is None else unique.unionByName(counted)
-    out = base.join(F.broadcast(unique), "column", "left")  # one row per column
-    if numeric:
-        q = quantiles(to_long(df, numeric), "value", PROFILE_QUANTILES, ["column"], bounded_groups=True)
-        out = out.join(F.broadcast(q), "column", "left")
-    else:
-        out = out.withColumns({q: double for q in PROFILE_QUANTILES})
-    return out
+        values = text.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.lit(1).alias("_one"))
+        counted = values.groupBy("column").agg(F.count("*").alias("n_unique"))
+        parts.append(counted.select("column", "n_unique", *[double.alias(q) for q in PROFILE_QUANTILES]))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # One row per column on both sides; a column without values has no distinct ones.
+    out = base.join(F.broadcast(found), "column", "left")
+    return out.withColumn("n_unique", F.coalesce("n_unique", F.lit(0)))
 
 
 def null_drift(reference: DataFrame, current: DataFrame, max_drift: float = 0.05) -> DataFrame:

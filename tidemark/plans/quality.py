@@ -324,8 +324,8 @@ PUSH_FIELDS = {"tx_count_last_hour": "int", "last_tx_amount": "float", "session_
     """,
 )
 def push_event_check(t: Tables):
-    errors = ct.push_event_errors(F.col("payload"), PUSH_REQUIRED, PUSH_FIELDS)
-    return payload(t).select("event_id", F.array_join(errors, ";").alias("errors"))
+    out = ct.push_event_errors(payload(t), "payload", PUSH_REQUIRED, PUSH_FIELDS)
+    return out.select("event_id", F.array_join("errors", ";").alias("errors"))
 
 
 _FACETS = {

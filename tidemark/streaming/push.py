@@ -20,7 +20,7 @@ TX_TYPES = {"tx_count_last_hour": "int", "last_tx_amount": "float", "session_dur
 
 def with_errors(events: DataFrame, payload: str = "payload", required: Sequence[str] = TX_REQUIRED, types: dict[str, str] = TX_TYPES) -> DataFrame:
     """Add the validation errors of each event; an empty key is an error too."""
-    return events.withColumn("errors", push_event_errors(F.col(payload), required, types))
+    return push_event_errors(events, payload, required, types)
 
 
 def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
