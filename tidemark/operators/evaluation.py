@@ -320,15 +320,34 @@ def model_metrics(
     df: DataFrame, label: str, score: str, version: str, slice_col: str | None = None, threshold: float = 0.5
 ) -> DataFrame:
     """AUC, ECE, Brier, slice gap and cost of every model version in one plan."""
-    g = [version]
-    out = rank_metrics(df, label, score, g).select(version, "n", "roc_auc")
-    out = out.join(ece_weighted(df, label, score, g), g).join(brier(df, label, score, g).drop("n"), g)
-    out = out.join(confusion(df, label, score, threshold, g).select(version, "cost"), g)
-    if slice_col is None:
-        return out.withColumn("slice_auc_gap", F.lit(0.0))
-    slices = slice_metrics(df, label, score, [slice_col], 30, g)
-    gaps = slice_auc_gap(slices, g)
-    return out.join(gaps, g, "left").withColumn("slice_auc_gap", F.coalesce("slice_auc_gap", F.lit(0.0)))
+    # Everything that is a sum comes from one pass: per version and bin, then per version.
+    rows = _scored(df, label, score, [version])
+    y, p = F.col("_y"), F.col("_p")
+    bins = rows.withColumn("_bin", upper_bin(p)).groupBy(version, "_bin").agg(
+        F.count("*").alias("_n"), F.sum(y).alias("_sy"), F.sum(p).alias("_sp"), F.sum((p - y) * (p - y)).alias("_se"),
+        F.count_if((p >= threshold) & (y == 0)).alias("_fp"), F.count_if((p < threshold) & (y == 1)).alias("_fn"),
+    )
+    gap = F.when(F.col("_bin").isNotNull(), F.abs(F.col("_sy") - F.col("_sp"))).otherwise(F.lit(0.0))
+    sums = bins.groupBy(version).agg(
+        F.sum("_n").alias("n"), (F.sum(gap) / F.sum("_n")).alias("ece"), (F.sum("_se") / F.sum("_n")).alias("brier"),
+        (F.sum("_fp") * FALSE_POSITIVE_COST + F.sum("_fn") * FALSE_NEGATIVE_COST).alias("cost"),
+    )
+    # Ranks of the whole version and of its slices are groups of the same plan.
+    whole = F.lit(None).cast("string")
+    parts = F.array(whole) if slice_col is None else F.array(whole, F.col(slice_col).cast("string"))
+    keyed = df.select(version, label, score, F.explode(parts).alias("_slice"))
+    if slice_col is not None:
+        keyed = df.where(F.col(slice_col).isNotNull()).select(version, label, score, F.explode(parts).alias("_slice")).unionByName(
+            df.where(F.col(slice_col).isNull()).select(version, label, score, whole.alias("_slice"))
+        )
+    ranks = rank_metrics(keyed, label, score, [version, "_slice"])
+    is_slice = F.col("_slice").isNotNull() & (F.col("n") >= 30)
+    slice_auc = F.when(is_slice, F.col("roc_auc"))
+    per_version = ranks.groupBy(version).agg(
+        F.max(F.when(F.col("_slice").isNull(), F.col("roc_auc"))).alias("roc_auc"),
+        F.when(F.count(slice_auc) >= 2, F.max(slice_auc) - F.min(slice_auc)).otherwise(F.lit(0.0)).alias("slice_auc_gap"),
+    )
+    return sums.join(per_version, version).select(version, "n", "roc_auc", "ece", "brier", "cost", "slice_auc_gap")
 
 
 def gate_versions(metrics: DataFrame, version: str, limits: GateLimits = GateLimits()) -> DataFrame:

@@ -39,8 +39,11 @@ def derive_features(
     payments: Sequence[str] = PAYMENTS,
 ) -> DataFrame:
     """Seven row-local features; missing values are skipped, as in a frame mean."""
+    kinds = dict(df.dtypes)
+
     def known(c: str) -> Column:
-        return null_nan(F.col(c).cast("double"))
+        # Only floating columns can hold NaN.
+        return null_nan(c) if kinds[c] in ("double", "float") else F.col(c).cast("double")
 
     def total(values: Sequence[Column]) -> Column:
         return reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0.0)) for v in values])

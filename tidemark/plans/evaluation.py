@@ -10,7 +10,7 @@ from tidemark.plans.registry import Tables, query
 
 def scored(t: Tables):
     """Label: returned line.  Two scores: by price (many values) and by discount (few values)."""
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"),
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
         (F.col("l_extendedprice") / 120000).alias("score"),

@@ -193,7 +193,7 @@ def clean_categories(t: Tables):
 # (one of them sometimes unknown), bills from prices, payments from discounts.
 def credit_rows(t: Tables):
     q, p, d, x = F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax")
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ID"),
         (q * 1000).alias("LIMIT_BAL"),
         (F.col("l_linenumber") - 2).alias("PAY_0"),

@@ -13,7 +13,7 @@ FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def lines(t: Tables):
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), *FEATURES,
         ((F.col("l_extendedprice") / 100000 + F.col("l_discount") * 4 + F.col("l_tax")) > 0.7).cast("int").alias("label"),
     )

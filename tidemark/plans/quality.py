@@ -34,7 +34,7 @@ def _each(template: str, names, sep=" UNION ALL ") -> str:
          NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM lineitem""",
 )
 def column_profile(t: Tables):
-    rows = t.lineitem.select(
+    rows = t.spread("lineitem").select(
         "l_quantity", "l_extendedprice", F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("l_discount"),
         "l_tax", "l_returnflag",
     )
@@ -250,7 +250,7 @@ LINE_CONTRACT = ct.Contract(
 
 
 def line_rows(t: Tables):
-    return t.lineitem.select(
+    return t.spread("lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), "l_partkey", "l_extendedprice", "l_returnflag",
         F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("l_discount"),
         F.when(F.col("l_tax") > 0, F.col("l_linenumber").cast("string")).otherwise(F.lit("none")).alias("code"),
@@ -296,7 +296,7 @@ def payload(t: Tables):
     )
     k = F.get_json_object("props", "$.k")
     count = F.when(F.col("event_type") == "click", F.concat(k, F.lit(".5"))).otherwise(k)
-    return t.events.select(
+    return t.spread("events").select(
         "event_id", "user_id", "ts", "event_type",
         F.concat(F.lit('{"tx_count_last_hour": '), count, amount, F.lit("}")).alias("payload"),
     )

@@ -114,7 +114,7 @@ def bm25_sql(name: str, k: int, k1: float, b: float) -> str:
 
 
 def bm25(t: Tables, k: int = 50, k1: float = 1.2, b: float = 0.75):
-    return rt.bm25_top_k(t.documents, t.benchmark, "doc_id", "text", "item_id", "text", k, k1, b)
+    return rt.bm25_top_k(t.spread("documents"), t.benchmark, "doc_id", "text", "item_id", "text", k, k1, b)
 
 
 @query(
@@ -234,7 +234,7 @@ def cache_invalidate(t: Tables):
        SELECT doc_id, i::int AS chunk_no, substr(text, (i * 462 + 1)::int, 512) AS chunk FROM (SELECT doc_id, text, unnest(range(0, n)) AS i FROM n)""",
 )
 def chunk_fixed(t: Tables):
-    return rt.chunk_documents(t.documents, "doc_id", "text", "fixed_size", 512, 50)
+    return rt.chunk_documents(t.spread("documents"), "doc_id", "text", "fixed_size", 512, 50)
 
 
 _SENTENCES = r"list_filter(string_split(regexp_replace({t}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')"
@@ -246,7 +246,7 @@ _SENTENCES = r"list_filter(string_split(regexp_replace({t}, '([.!?])\s+', '\1' |
         SELECT doc_id, i::int AS chunk_no, p[i + 1] AS chunk FROM (SELECT doc_id, p, unnest(range(0, len(p))) AS i FROM s)""",
 )
 def chunk_sentences(t: Tables):
-    return rt.chunk_documents(t.documents, "doc_id", "text", "sentence")
+    return rt.chunk_documents(t.spread("documents"), "doc_id", "text", "sentence")
 
 
 def _refine_sql(source: str, split: str) -> str:
@@ -266,7 +266,7 @@ _RECURSIVE = _refine_sql(
         SELECT doc_id, i::int AS chunk_no, p[i + 1] AS chunk FROM (SELECT doc_id, p, unnest(range(0, len(p))) AS i FROM s)""",
 )
 def chunk_recursive(t: Tables):
-    return rt.chunk_documents(t.documents, "doc_id", "text", "recursive", 512, 50)
+    return rt.chunk_documents(t.spread("documents"), "doc_id", "text", "recursive", 512, 50)
 
 
 _COUNT = "CASE WHEN length(text) > 0 THEN greatest(ceil((length(text) - {s}) / ({s} - {o})), 0) + 1 ELSE 0 END"
@@ -278,7 +278,7 @@ _COUNT = "CASE WHEN length(text) > 0 THEN greatest(ceil((length(text) - {s}) / (
         SELECT 'v1' AS version_id, d AS num_documents, n AS num_chunks, left(sha256('encoder:fixed_size:' || n), 12) AS content_hash FROM c""",
 )
 def index_version(t: Tables):
-    chunks = rt.chunk_documents(t.documents, "doc_id", "text", "fixed_size", 512, 50)
+    chunks = rt.chunk_documents(t.spread("documents"), "doc_id", "text", "fixed_size", 512, 50)
     return rt.index_version(chunks, t.documents, "v1", "encoder", "fixed_size").drop("fingerprint")
 
 

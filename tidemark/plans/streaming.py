@@ -61,7 +61,7 @@ def push_ingest(t: Tables):
 )
 def push_latest(t: Tables):
     """One flush over all good events: the newest event of each key names its features."""
-    good, _ = push.split_valid(push.with_errors(push.route(push_events(t.events), sources(t))))
+    good, _ = push.split_valid(push.with_errors(push.route(push_events(t.spread("events")), sources(t))))
     deltas = push.delta_rows(push.newest_per_key(good, "user_id", "ts", "event_id"), "user_id", "ts").withColumn("batch_id", F.lit(0))
     out = push.fold_deltas(deltas, "user_id")
     return out.select("user_id", "feature", "value", F.unix_micros("ts").alias("ts_us"), F.unix_micros("expire_at").alias("expire_us"))
@@ -72,7 +72,7 @@ def push_latest(t: Tables):
     """SELECT event_type AS source_name, count(*)::bigint AS n, event_type <> 'purchase' AS known FROM events GROUP BY 1""",
 )
 def stream_routing(t: Tables):
-    return push.routing_counts(push_events(t.events), sources(t))
+    return push.routing_counts(push_events(t.spread("events")), sources(t))
 
 
 @query(
