@@ -377,4 +377,6 @@ def push_event_errors(df: DataFrame, payload: str, required: Sequence[str], type
         found.append(F.when(wrong, F.concat(F.lit(f"type:{n}:"), F.lower(actual))))
     broken = F.when(F.col("_doc").isNull(), F.array(F.lit("malformed")))
     errors = F.coalesce(broken, F.filter(F.array(*found), lambda e: e.isNotNull()))
-    return read.withColumn(name, errors).drop("_doc", *[f"_f{i}" for i in range(len(fields))])
+    # Through a generator, so that a later filter on the errors is not moved below
+    # the parse, where it would repeat it for every field.
+    return read.withColumn(name, F.explode(F.array(errors))).drop("_doc", *[f"_f{i}" for i in range(len(fields))])
