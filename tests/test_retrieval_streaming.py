@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 from collections import Counter, deque
 from datetime import datetime, timedelta
 
@@ -136,11 +137,14 @@ def test_rate_limit_equals_a_loop(spark, any_size):
 def write_json(folder, name, rows):
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("\n".join(json.dumps(r) for r in rows))
+    # Files are read in the order of their modification time.
+    stamp = 1_600_000_000 + 10 * int(name.split(".")[0])
+    os.utime(folder / name, (stamp, stamp))
 
 
 def run_to_table(query, name, spark, mode):
     q = query.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(120)
     return spark.table(name).collect()
 
 
@@ -153,12 +157,13 @@ def test_streaming_rate_limit_keeps_state_across_batches(spark, tmp_path):
     assert [got[i] for i in range(len(times))] == allow(times, 5, 60.0)
 
 
-def test_streaming_values_expire(spark, tmp_path):
+def test_streaming_values_keep_the_newest(spark, tmp_path):
     write_json(tmp_path / "in", "0.json", [{"key": 1, "value": 1.0, "us": 1}, {"key": 1, "value": 2.0, "us": 5}])
-    write_json(tmp_path / "in", "1.json", [{"key": 1, "value": 9.0, "us": 3}])
-    stream = spark.readStream.schema("key bigint, value double, us bigint").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    rows = run_to_table(limits.stream_expiring_values(stream, 3600), "expiring", spark, "update")
-    assert [(r["value"], r["had_value"]) for r in rows] == [(2.0, False), (2.0, True)]
+    stream = spark.readStream.schema("key bigint, value double, us bigint").json(str(tmp_path / "in"))
+    # One batch: with a time to live, an available-now run never counts as finished.
+    q = limits.stream_expiring_values(stream, 3600).writeStream.format("memory").queryName("expiring").outputMode("update").trigger(once=True).start()
+    assert q.awaitTermination(60)
+    assert [(r["value"], r["had_value"]) for r in spark.table("expiring").collect()] == [(2.0, False)]
 
 
 def test_push_ingest_over_batches(spark, tmp_path):
@@ -173,7 +178,7 @@ def test_push_ingest_over_batches(spark, tmp_path):
     known = spark.createDataFrame([("tx",)], "source_name string")
     counts = {}
     q = push.start_push_ingest(stream, known, str(tmp_path / "log"), str(tmp_path / "bad"), str(tmp_path / "cp"), "user_id", "ts", "event_id", counts.__setitem__)
-    q.awaitTermination()
+    assert q.awaitTermination(120)
     # The second batch is older: it only adds the feature the newer event did not name.
     got = {(r["user_id"], r["feature"]): r["value"] for r in push.latest_features(spark, str(tmp_path / "log"), "user_id").collect()}
     assert got == {(1, "tx_count_last_hour"): 2.0, (1, "last_tx_amount"): 6.0, (1, "session_duration_s"): 8.0}
