@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import tagged, text_of, with_verdict
+from tidemark.llm.common import text_of, with_verdict, written
 
 #: Bytes of a text that the second level hashes.
 PREFIX = 256
-#: Slots of the two broadcast filters.  They bound what is broadcast at any
-#: input size; a full filter lets more rows on to the next level, never fewer.
-LENGTH_SLOTS = 1 << 16
-PREFIX_SLOTS = 1 << 18
+#: Slots of the two broadcast filters, 64 to a row.  They bound what is broadcast
+#: at any input size; a full filter lets more rows on to the next level, never fewer.
+LENGTH_SLOTS = 1 << 20
+PREFIX_SLOTS = 1 << 24
 
 VERDICT = ["keep_id", "group_size", "kept"]
 
 
-def _shared_slots(rows: DataFrame, slot: Column) -> DataFrame:
-    """Slots that hold two rows or more; there are never more than slots."""
-    return F.broadcast(rows.groupBy(slot.alias("slot")).count().where("count > 1").select("slot"))
+def _bit(slot: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63))
+
+
+def shared_slots(rows: DataFrame, slot: Column, name: str) -> DataFrame:
+    """Slots that hold two rows or more as bits: at most slots / 64 rows of (``{name}``, ``{name}_bits``)."""
+    full = rows.groupBy(slot.alias("slot")).count().where("count > 1")
+    return F.broadcast(full.groupBy(F.shiftright("slot", 6).alias(name)).agg(F.bit_or(_bit(F.col("slot"))).alias(f"{name}_bits")))
+
 
+def in_slots(slot: Column, name: str) -> Column:
+    bits = F.coalesce(F.col(f"{name}_bits"), F.lit(0).cast("long"))
+    return bits.bitwiseAND(_bit(slot)) != 0
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows with ``keep_id``, ``group_size`` and ``kept``.
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
+    """The rows' ``carry`` columns (default all) with ``keep_id``, ``group_size`` and ``kept``.
 
     Of rows with identical text the one with the largest id stays; exactly one
     row of a group is kept, also where whole rows repeat.  A null text equals
@@ -33,31 +45,34 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Only rows whose length, and then length and prefix, occur again have their
     whole text hashed and their row shuffled.  The rest passes straight on.
     """
+    carry = list(docs.columns if carry is None else carry)
     text = text_of(text_col)
     size = F.octet_length(text)
+    start = F.substring(text.cast("binary"), 1, PREFIX)
     by_length = F.pmod(F.xxhash64(size), F.lit(LENGTH_SLOTS)).cast("int")
-    by_prefix = F.pmod(F.xxhash64(size, F.substring(text.cast("binary"), 1, PREFIX)), F.lit(PREFIX_SLOTS)).cast("int")
-
-    lengths = _shared_slots(docs, by_length)
-    same_length = docs.join(lengths, by_length == lengths["slot"], "left_semi")
-    prefixes = _shared_slots(same_length, by_prefix)
-
-    level1 = lengths.select(F.col("slot").alias("_length_slot"))
-    level2 = prefixes.select(F.col("slot").alias("_prefix_slot"))
-    joined = docs.join(level1, by_length == F.col("_length_slot"), "left")
-    joined = joined.join(level2, F.when(F.col("_length_slot").isNotNull(), by_prefix) == F.col("_prefix_slot"), "left")
-    digest = F.when(F.col("_prefix_slot").isNotNull(), F.unhex(F.sha2(text.cast("binary"), 256)))
-    marked = joined.select(*[F.col(f"`{c}`") for c in docs.columns], digest.alias("_digest"))
-    rows = tagged(marked, "exact-dedup")
-
-    alone = rows.where("doc._digest is null").select(
-        "doc", F.col(f"doc.`{id_col}`").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")
+    by_prefix = F.pmod(F.xxhash64(size, start), F.lit(PREFIX_SLOTS)).cast("int")
+
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), by_length.alias("length_slot"),
+        by_prefix.alias("prefix_slot"),
     )
-    hashed = rows.where("doc._digest is not null").withColumn("digest", F.col("doc._digest"))
-    groups = hashed.groupBy("digest").agg(
-        F.count("*").alias("group_size"), F.max(F.struct(F.col(f"doc.`{id_col}`").alias("id"), F.col("row"))).alias("keep")
+    lengths = shared_slots(packed, F.col("length_slot"), "lengths")
+    level1 = packed.join(lengths, F.shiftright("length_slot", 6) == F.col("lengths"), "left")
+    shared_length = in_slots(F.col("length_slot"), "lengths")
+    prefixes = shared_slots(level1.where(shared_length), F.col("prefix_slot"), "prefixes")
+    level2 = level1.join(prefixes, F.when(shared_length, F.shiftright("prefix_slot", 6)) == F.col("prefixes"), "left")
+    digest = F.when(shared_length & in_slots(F.col("prefix_slot"), "prefixes"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    # row tags are read back as they were written, so a group's one kept row is the same for every reader
+    rows = written(level2.select(F.monotonically_increasing_id().alias("row"), "id", digest.alias("digest"), "doc"), "exact-rows")
+
+    groups = rows.where("digest is not null").groupBy("digest").agg(
+        F.count("*").alias("group_size"), F.max(F.struct("id", "row")).alias("keep")
     )
-    checked = hashed.join(groups, "digest").select(
-        "doc", F.col("keep.id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept")
+    groups = written(groups.where("group_size > 1"), "exact-groups")
+    hashed = rows.where("digest is not null").join(groups, "digest", "left")
+    alone = rows.where("digest is null").withColumns({"group_size": F.lit(None).cast("long"), "keep": F.lit(None).cast(groups.schema["keep"].dataType)})
+    verdict = hashed.unionByName(alone).select(
+        "doc", F.coalesce("keep.id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce(F.col("row") == F.col("keep.row"), F.lit(True)).alias("kept"),
     )
-    return alone.unionByName(checked).select(*with_verdict(docs.columns, VERDICT))
+    return verdict.select(*with_verdict(carry, VERDICT))

@@ -10,6 +10,7 @@ from tidemark.llm.chat import format_trees, masked_text, read_turns, thread_node
 from tidemark.llm.common import text_of
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix
+from tidemark.llm.quality_rules import quality_rules
 from tidemark.session import configure
 
 
@@ -21,9 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy that stays; texts are compared unchanged."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    verdict = exact_dedup(docs)
-    digest = F.sha2(text_of("text").cast("binary"), 256)
-    return verdict.select("doc_id", "keep_id", "group_size", "kept", digest.alias("text_sha256"))
+    docs = docs.withColumn("text_sha256", F.sha2(text_of("text").cast("binary"), 256))
+    return exact_dedup(docs, carry=["doc_id", "text_sha256"])
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document; cutoffs certified per language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality_rules(docs, table(spark, sf_dir, "labels"), carry=["doc_id"]).drop("rules_failed")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,5 +52,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op7_mixing": op7_mixing, "op9_chat_format": op9_chat_format}
-ORACLES = {"op1_exact_dedup": sql.OP1, "op7_mixing": sql.OP7, "op9_chat_format": sql.OP9}
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op7_mixing": op7_mixing, "op9_chat_format": op9_chat_format,
+}
+ORACLES = {"op1_exact_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op7_mixing": sql.OP7, "op9_chat_format": sql.OP9}

@@ -6,6 +6,50 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from t window w as (partition by text)
 """
 
+OP2 = r"""
+with docs as (select doc_id, coalesce(lang, '') as stratum, coalesce(text, '') as text from documents),
+cut as (
+  select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from docs),
+counted as (
+  select doc_id, stratum, words, len(words)::bigint as n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::bigint as word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+         len(lines) as n_lines, len(regexp_extract_all(text, '[!?]')) as marks, len(regexp_extract_all(text, '\p{Lu}{3,}')) as capitals
+  from cut),
+wins as (
+  select doc_id, unnest(range(1, n_words - 6)) as pos, words from counted where n_words >= 8),
+keyed as (select doc_id, pos, array_to_string(list_slice(words, pos, pos + 7), ' ') as w from wins),
+twice as (select doc_id, pos, count(*) over (partition by doc_id, w) as c from keyed),
+gaps as (select doc_id, least(8, coalesce(lead(pos) over (partition by doc_id order by pos) - pos, 8)) as g from twice where c > 1),
+repeats as (select doc_id, sum(g)::bigint as n_repeat_words from gaps group by doc_id),
+measured as (
+  select c.*, coalesce(r.n_repeat_words, 0) as n_repeat_words,
+         coalesce((select count(*) from (select unnest(range(2, n_words + 1)) as i) where words[i] = words[i - 1]), 0) as doubled
+  from counted c left join repeats r using (doc_id)),
+valued as (
+  select doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+         [{'rule': 'symbols', 'value': n_symbols * 1000 // greatest(word_chars, 1)}, {'rule': 'marks', 'value': marks * 1000 // greatest(n_words, 1)},
+          {'rule': 'capitals', 'value': capitals * 1000 // greatest(n_words, 1)}, {'rule': 'dup_lines', 'value': n_dup_lines * 1000 // greatest(n_lines, 1)},
+          {'rule': 'repeat_words', 'value': n_repeat_words * 1000 // greatest(n_words, 1)}, {'rule': 'doubled', 'value': doubled * 1000 // greatest(n_words, 1)}] as vs
+  from measured),
+long as (select doc_id, stratum, unnest(vs, recursive := true) from valued),
+known as (select doc_id, min(quality) = 1 as good, substr(md5(doc_id::varchar), 1, 1) < '8' as certify from labels where doc_id is not null and quality is not null group by doc_id),
+labelled as (select stratum, rule, value, good, certify from long join known using (doc_id)),
+tests as (select count(distinct (stratum, rule)) as tests from labelled),
+tried as (
+  select stratum, rule, cutoff, count(*) filter (good and certify) as n, count(*) filter (good and certify and value > cutoff) as k,
+         count(*) filter (not good and not certify and value > cutoff) - 20 * count(*) filter (good and not certify and value > cutoff) as gain
+  from labelled, (select unnest([5, 10, 20, 30, 50, 75, 100, 150, 200, 300, 400, 500, 600, 700, 800]) as cutoff) group by all),
+certified as (
+  select * from tried, tests where n > 0 and gain > 0 and k < 0.01 * n
+  and list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) <= 0.05 / tests),
+best as (select stratum, rule, cutoff from certified qualify row_number() over (partition by stratum, rule order by gain desc, cutoff desc) = 1),
+failing as (select doc_id, count(*) as n from long join best using (stratum, rule) where value > cutoff group by doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+       not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and coalesce(f.n, 0) = 0 as kept
+from valued left join failing f using (doc_id)
+"""
+
 OP7 = r"""
 with slim as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
