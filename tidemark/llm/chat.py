@@ -57,13 +57,13 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.col("score").desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    paths = chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.col("steps").alias("depth"))
+    paths = written(chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.col("steps").alias("depth")), "reply-paths")
     for k in reversed(range(len(jumps) - 1)):
         p, j = paths.alias("p"), jumps[k].where("up is not null").alias("j")
         higher = p.join(j, F.col("p.tree").eqNullSafe(F.col("j.tree")) & (F.col("p.node") == F.col("j.node"))).select(
             "p.tree", "leaf", "rank", F.col("j.up").alias("node"), (F.col("depth") - F.col("j.steps")).alias("depth")
         )
-        paths = paths.unionByName(higher)
+        paths = written(paths.unionByName(higher), "reply-paths")
     return paths
 
 
