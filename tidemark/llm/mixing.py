@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, many, tagged, text_of, with_verdict, written
-
-#: Rows of a chunk of the shuffled order, and entries of a bin of finish times.
-CHUNK_ROWS = 20_000
+from tidemark.llm.common import WORD, tagged, text_of, with_verdict, written
 
 VERDICT = ["size", "source_size", "target", "taken"]
 
@@ -45,7 +43,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeats: int) -
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix", chunk_rows: int = CHUNK_ROWS,
+    weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix",
 ) -> DataFrame:
     """All rows with ``size``, ``source_size``, ``target`` and ``taken`` words.
 
@@ -57,19 +55,20 @@ def mix(
     sources are values of their own; repeated rows are documents of their own.
 
     No source is gathered in one task: its order is cut into chunks by hash,
-    and sums of chunks are carried forward.
+    and sums of chunks are carried forward.  There are as many chunks as a chunk
+    has rows, so both windows grow with the square root of the input.
     """
     size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
     rows = tagged(docs, "mix-rows", id=F.col(f"`{id_col}`"), source=F.col(f"`{source_col}`"), size=size)
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary"))
-    ranked = _ranked(rows.select("row", "id", "source", "size").withColumn("key", key), weights, max_repeats, chunk_rows)
-    taken = taken_words(ranked, max_repeats, chunk_rows)
+    ranked = _ranked(rows.select("row", "id", "source", "size").withColumn("key", key), weights, max_repeats)
+    taken = taken_words(ranked, max_repeats)
     return rows.drop("id", "source", "size").join(taken, "row").select(*with_verdict(docs.columns, VERDICT))
 
 
-def _ranked(slim: DataFrame, weights: Sequence[int], max_repeats: int, chunk_rows: int) -> DataFrame:
+def _ranked(slim: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:
     """Slim rows with their source's size and target and the running size in shuffled order."""
-    chunks = many(slim.count(), chunk_rows)
+    chunks = math.isqrt(slim.count()) + 1
     chunk = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") * chunks / float(1 << 32)).cast("long")
     slim = slim.withColumn("chunk", chunk)
     parts = slim.groupBy("source", "chunk").agg(F.sum("size").alias("part_size"))
@@ -85,11 +84,11 @@ def _ranked(slim: DataFrame, weights: Sequence[int], max_repeats: int, chunk_row
     )
 
 
-def taken_words(ranked: DataFrame, max_repeats: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def taken_words(ranked: DataFrame, max_repeats: int) -> DataFrame:
     """``row``, ``size``, ``source_size``, ``target``, ``taken`` after the global cut."""
     copies = range(max_repeats)
     sums = ranked.agg(F.count("*").alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("budget")).first()
-    bins = many(sums["rows"], chunk_rows)
+    bins = math.isqrt(sums["rows"]) + 1
 
     def finish(copy: int | Column) -> Column:
         return (F.col("upto") + F.col("source_size") * copy) / F.col("target")
