@@ -10,12 +10,20 @@ from tidemark.llm.chat import format_trees, masked_text, read_turns, thread_node
 from tidemark.llm.common import text_of
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix
+from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import quality_rules
-from tidemark.session import configure
+from tidemark.llm.token_output import read_tokens, write_tokens
+from tidemark.session import configure, scratch_dir
+
+
+#: Where the vocabulary files lie; they are never copied.
+TOKENIZERS = "/opt/tokenizers"
+END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
@@ -32,11 +40,25 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, table(spark, sf_dir, "labels"), carry=["doc_id"]).drop("rules_failed")
 
 
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written in blocks and read back."""
+    path = scratch_dir(spark, "token-output")
+    write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, f"{TOKENIZERS}/word_bpe_49k.json", END_ID)
+    n_tokens = F.floor(F.octet_length("ids") / 4).cast("long")
+    return read_tokens(spark, path).select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, sources weighing 1, 2, 3 in turn."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their places in sequences of at most 1024 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json", END_ID, 1024)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, with digests read back from the output."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -53,6 +75,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op7_mixing": op7_mixing, "op9_chat_format": op9_chat_format,
+    "op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_token_output": op4_token_output, "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing, "op9_chat_format": op9_chat_format,
 }
 ORACLES = {"op1_exact_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op7_mixing": sql.OP7, "op9_chat_format": sql.OP9}
