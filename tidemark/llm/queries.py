@@ -12,6 +12,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import quality_rules
+from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.token_output import read_tokens, write_tokens
 from tidemark.session import configure, scratch_dir
 
@@ -40,6 +41,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, table(spark, sf_dir, "labels"), carry=["doc_id"]).drop("rules_failed")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without passages of 20 words or more that start earlier."""
+    out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written in blocks and read back."""
     path = scratch_dir(spark, "token-output")
@@ -75,7 +82,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op4_token_output": op4_token_output, "op7_mixing": op7_mixing,
+    "op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup,
+    "op4_token_output": op4_token_output, "op7_mixing": op7_mixing,
     "op8_packing": op8_packing, "op9_chat_format": op9_chat_format,
 }
-ORACLES = {"op1_exact_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op7_mixing": sql.OP7, "op9_chat_format": sql.OP9}
+ORACLES = {"op1_exact_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op3_substring_dedup": sql.OP3, "op7_mixing": sql.OP7, "op9_chat_format": sql.OP9}

@@ -50,6 +50,20 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 from valued left join failing f using (doc_id)
 """
 
+OP3 = r"""
+with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+wins as (select doc_id, unnest(range(1, len(words) - 18)) as pos, words from docs where len(words) >= 20),
+keyed as (select doc_id, pos, hash(array_to_string(list_slice(words, pos, pos + 19), ' ')) as k, md5(array_to_string(list_slice(words, pos, pos + 19), ' ')) as w from wins),
+ranked as (select doc_id, pos, row_number() over (partition by k, w order by doc_id, pos) as r from keyed),
+covered as (select distinct doc_id, unnest(range(pos, pos + 20)) as pos from ranked where r > 1),
+each as (select doc_id, unnest(range(1, len(words) + 1)) as pos, unnest(words) as w from docs),
+kept as (
+  select e.doc_id, count(*) filter (c.pos is not null) as n_removed, string_agg(case when c.pos is null then w end, ' ' order by e.pos) as kept
+  from each e left join covered c on e.doc_id = c.doc_id and e.pos = c.pos group by e.doc_id)
+select docs.doc_id, len(words)::bigint as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from docs left join kept using (doc_id)
+"""
+
 OP7 = r"""
 with slim as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
