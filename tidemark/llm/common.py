@@ -54,3 +54,21 @@ def with_verdict(docs_columns: list[str], verdict: list[str]) -> list[Column]:
 def many(total: int, each: int) -> int:
     """How many parts of about ``each`` a total makes, at least one."""
     return max(1, -(-int(total) // each))
+
+
+#: Slots of a broadcast filter on keys, 64 to a row: its size holds at any input.
+KEY_SLOTS = 1 << 24
+
+
+def parted(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that may have a key of ``keys``, and those that surely have none.
+
+    ``keys`` sets bits of a broadcast bitmap of fixed size.  Wide rows without a
+    match then need no shuffle; a full bitmap lets rows through, never drops one.
+    """
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(KEY_SLOTS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    bits = keys.where(F.col(key).isNotNull()).groupBy(F.shiftright(slot, 6).alias("_high")).agg(F.bit_or(bit).alias("_bits"))
+    marked = rows.join(F.broadcast(bits), F.shiftright(slot, 6) == F.col("_high"), "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return tuple(marked.where(c).select(*[F.col(f"`{x}`") for x in rows.columns]) for c in (hit, ~hit))

@@ -10,6 +10,7 @@ from tidemark.llm.chat import format_trees, masked_text, read_turns, thread_node
 from tidemark.llm.common import text_of
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix
+from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.substring_dedup import substring_dedup
@@ -55,6 +56,11 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near copies: four-word shingles, similarity 0.8."""
+    return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"], size=4, percent=80)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, sources weighing 1, 2, 3 in turn."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
@@ -83,7 +89,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup,
-    "op4_token_output": op4_token_output, "op7_mixing": op7_mixing,
+    "op4_token_output": op4_token_output,
+    "op6_near_dedup": op6_near_dedup, "op7_mixing": op7_mixing,
     "op8_packing": op8_packing, "op9_chat_format": op9_chat_format,
 }
 ORACLES = {"op1_exact_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op3_substring_dedup": sql.OP3, "op7_mixing": sql.OP7, "op9_chat_format": sql.OP9}
