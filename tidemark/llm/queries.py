@@ -12,6 +12,7 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
+from tidemark.llm.pu_quality import quality_scores
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.token_output import read_tokens, write_tokens
@@ -56,6 +57,13 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned outside the held-out quarter."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored, _ = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its component of near copies: four-word shingles, similarity 0.8."""
     return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"], size=4, percent=80)
@@ -90,7 +98,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup,
     "op4_token_output": op4_token_output,
-    "op6_near_dedup": op6_near_dedup, "op7_mixing": op7_mixing,
+    "op5_quality_classifier": op5_quality_classifier, "op6_near_dedup": op6_near_dedup, "op7_mixing": op7_mixing,
     "op8_packing": op8_packing, "op9_chat_format": op9_chat_format,
 }
 ORACLES = {"op1_exact_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op3_substring_dedup": sql.OP3, "op7_mixing": sql.OP7, "op9_chat_format": sql.OP9}
