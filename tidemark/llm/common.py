@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tagged(docs: DataFrame, name: str, **more: Column) -> DataFrame:
-    """Rows as ``row`` (unique number), ``doc`` (all columns as a struct), then ``more``.
+def struct_of(columns: Sequence[str]) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in columns])
+
+
+def tagged(docs: DataFrame, name: str, carry: Sequence[str] | None = None, **more: Column) -> DataFrame:
+    """Rows as ``row`` (unique number), ``doc`` (the carried columns, all by default, as a struct), then ``more``.
 
     The struct keeps columns of any name apart from those that operators add.
     """
     packed = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.monotonically_increasing_id().alias("row"), struct_of(docs.columns if carry is None else carry).alias("doc"),
         *[c.alias(k) for k, c in more.items()],
     )
     return written(packed, name)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of, with_verdict, written
+from tidemark.llm.common import struct_of, text_of, with_verdict, written
 
 #: Bytes of a text that the second level hashes.
 PREFIX = 256
@@ -46,6 +46,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole text hashed and their row shuffled.  The rest passes straight on.
     """
     carry = list(docs.columns if carry is None else carry)
+    return judge_exact(docs, id_col, text_col, carry).select(*with_verdict(carry, VERDICT))
+
+
+def judge_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
+    """As ``exact_dedup``, with the carried columns in one struct ``doc``."""
     text = text_of(text_col)
     size = F.octet_length(text)
     start = F.substring(text.cast("binary"), 1, PREFIX)
@@ -53,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_prefix = F.pmod(F.xxhash64(size, start), F.lit(PREFIX_SLOTS)).cast("int")
 
     packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), by_length.alias("length_slot"),
+        struct_of(docs.columns if carry is None else carry).alias("doc"), F.col(f"`{id_col}`").alias("id"), text.alias("text"), by_length.alias("length_slot"),
         by_prefix.alias("prefix_slot"),
     )
     lengths = shared_slots(packed, F.col("length_slot"), "lengths")
@@ -71,8 +76,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = written(groups.where("group_size > 1"), "exact-groups")
     hashed = rows.where("digest is not null").join(groups, "digest", "left")
     alone = rows.where("digest is null").withColumns({"group_size": F.lit(None).cast("long"), "keep": F.lit(None).cast(groups.schema["keep"].dataType)})
-    verdict = hashed.unionByName(alone).select(
+    return hashed.unionByName(alone).select(
         "doc", F.coalesce("keep.id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.coalesce(F.col("row") == F.col("keep.row"), F.lit(True)).alias("kept"),
     )
-    return verdict.select(*with_verdict(carry, VERDICT))

@@ -43,9 +43,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_repeats: int) -
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix",
+    weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix", carry: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All rows with ``size``, ``source_size``, ``target`` and ``taken`` words.
+    """The rows' ``carry`` columns (default all) with ``size``, ``source_size``, ``target`` and ``taken`` words.
 
     Each source's documents stand in an order given by a hash of their id.
     Copy ``r`` of a document finishes at (r * source size + sizes up to and
@@ -58,12 +58,21 @@ def mix(
     and sums of chunks are carried forward.  There are as many chunks as a chunk
     has rows, so both windows grow with the square root of the input.
     """
+    carry = list(docs.columns if carry is None else carry)
+    return judge_mix(docs, id_col, text_col, source_col, weights, max_repeats, seed, carry).select(*with_verdict(carry, VERDICT))
+
+
+def judge_mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, seed: str = "mix", carry: Sequence[str] | None = None,
+) -> DataFrame:
+    """As ``mix``, with the carried columns in one struct ``doc``."""
     size = F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long")
-    rows = tagged(docs, "mix-rows", id=F.col(f"`{id_col}`"), source=F.col(f"`{source_col}`"), size=size)
+    rows = tagged(docs, "mix-rows", carry, id=F.col(f"`{id_col}`"), source=F.col(f"`{source_col}`"), size=size)
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("null"))).cast("binary"))
     ranked = _ranked(rows.select("row", "id", "source", "size").withColumn("key", key), weights, max_repeats)
     taken = taken_words(ranked, max_repeats)
-    return rows.drop("id", "source", "size").join(taken, "row").select(*with_verdict(docs.columns, VERDICT))
+    return rows.drop("id", "source", "size").join(taken, "row").select("doc", *VERDICT)
 
 
 def _ranked(slim: DataFrame, weights: Sequence[int], max_repeats: int) -> DataFrame:

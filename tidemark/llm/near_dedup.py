@@ -216,8 +216,16 @@ def near_dedup(
     column named like a verdict column is replaced.
     """
     carry = list(docs.columns if carry is None else carry)
-    # only what is asked for is written; the text is needed once more for the candidates
-    rows = tagged(docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carry, id_col, text_col])]), "near-rows")
+    return judge_near(docs, id_col, text_col, carry, size, percent).select(*with_verdict(carry, VERDICT))
+
+
+def judge_near(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None, size: int = 5, percent: int = 80,
+) -> DataFrame:
+    """As ``near_dedup``, with the carried columns in one struct ``doc``."""
+    carry = list(docs.columns if carry is None else carry)
+    # the text is needed once more for the candidates
+    rows = tagged(docs, "near-rows", list(dict.fromkeys([*carry, id_col, text_col])))
     texts = rows.select("row", text_of(f"doc.`{text_col}`").alias("text"))
     sketches = written(texts.mapInArrow(_sketches(size), "row long, n_shingles long, key binary, signature binary"), "near-sketches")
     ids = rows.select("row", F.col(f"doc.`{id_col}`").alias("id"))
@@ -233,4 +241,6 @@ def near_dedup(
     judged = written(slim.join(by_key, "key", "left").select(
         "row", "n_shingles", F.coalesce("lead.id", "id").alias("component_id"), F.coalesce(F.col("lead.row") == F.col("row"), F.lit(True)).alias("kept")
     ), "near-verdict")
-    return rows.join(judged, "row").select(*with_verdict(carry, VERDICT))
+    if len(rows.schema["doc"].dataType.names) > len(carry):
+        rows = rows.select("row", F.struct(*[F.col(f"doc.`{c}`").alias(c) for c in carry]).alias("doc"))
+    return rows.join(judged, "row").select("doc", *VERDICT)

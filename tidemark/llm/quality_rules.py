@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, text_of, with_verdict, words_of, written
+from tidemark.llm.common import WORD, struct_of, text_of, with_verdict, words_of, written
 
 ALPHA, DELTA = 0.01, 0.05
 #: What one rejected good document costs, in rejected bad ones.
@@ -133,8 +133,16 @@ def quality_rules(
     each for itself.  An input column named like a verdict column is replaced.
     """
     carry = list(docs.columns if carry is None else carry)
+    return judge_quality(docs, labels, id_col, text_col, stratum_col, carry, alpha, delta).select(*with_verdict(carry, VERDICT))
+
+
+def judge_quality(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
+    carry: Sequence[str] | None = None, alpha: float = ALPHA, delta: float = DELTA,
+) -> DataFrame:
+    """As ``quality_rules``, with the carried columns in one struct ``doc``."""
     packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc"), F.col(f"`{id_col}`").alias("id"),
+        struct_of(docs.columns if carry is None else carry).alias("doc"), F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")).alias("stratum"), F.col(f"`{text_col}`").alias("text"),
     )
     rows = written(measured(packed, "text").drop("text"), "quality-rows")
@@ -151,4 +159,4 @@ def quality_rules(
     judged = judged.withColumn("rules_failed", F.transform(failed, lambda v: v["rule"]))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = judged.withColumn("base_failed", base).withColumn("kept", ~base & (F.size("rules_failed") == 0))
-    return judged.select(*with_verdict(carry, VERDICT))
+    return judged.select("doc", *VERDICT)

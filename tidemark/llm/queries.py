@@ -9,6 +9,7 @@ from tidemark.llm import sql
 from tidemark.llm.chat import format_trees, masked_text, read_turns, thread_nodes
 from tidemark.llm.common import text_of
 from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.license_scan import scan_licences, train
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
@@ -71,7 +72,7 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of each document, sources weighing 1, 2, 3 in turn."""
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), carry=["doc_id"])
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +96,24 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that the paragraphs of every document name."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licences(docs, train(docs))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline over ``documents``."""
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup, "op2_quality_rules": op2_quality_rules, "op3_substring_dedup": op3_substring_dedup,
     "op4_token_output": op4_token_output,
     "op5_quality_classifier": op5_quality_classifier, "op6_near_dedup": op6_near_dedup, "op7_mixing": op7_mixing,
     "op8_packing": op8_packing, "op9_chat_format": op9_chat_format,
+    "op10_license_scan": op10_license_scan, "pipeline": pipeline,
 }
 ORACLES = {"op1_exact_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op3_substring_dedup": sql.OP3, "op7_mixing": sql.OP7, "op9_chat_format": sql.OP9}
