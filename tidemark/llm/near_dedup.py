@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import parted, tagged, text_of, with_verdict, written
 from tidemark.llm.graph import components
-from tidemark.llm.spans import Hashes, steps, words
+from tidemark.llm.spans import LOWER, Hashes, steps, words
 
 VALUES, ORDERS, PREFIX, DEPTH = 128, 32, 4, 24
 #: Neighbours before a text, in each order, that it is paired with.
@@ -33,9 +33,6 @@ FIRST = 2
 
 VERDICT = ["n_shingles", "component_id", "kept"]
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
 
 @lru_cache(maxsize=1)
 def _hashes() -> tuple[Hashes, Hashes, np.ndarray, np.ndarray]:
@@ -52,7 +49,7 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.nd
     by_byte, by_word, _, _ = _hashes()
     for _, _, data, offsets in steps(texts):
         starts, ends, first = words(data, offsets)
-        values = by_byte.texts(_LOWER[data], starts, ends)
+        values = by_byte.texts(LOWER[data], starts, ends)
         count = np.diff(first)
         made = np.where(count >= size, count - size + 1, np.minimum(count, 1))
         at = np.repeat(first[:-1], made) + np.arange(int(made.sum())) - np.repeat(np.cumsum(made) - made, made)

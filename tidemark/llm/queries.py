@@ -53,7 +53,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written in blocks and read back."""
     path = scratch_dir(spark, "token-output")
-    write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, f"{TOKENIZERS}/word_bpe_49k.json", END_ID)
+    write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, f"{TOKENIZERS}/word_bpe_49k.json", END_ID, folded=True)
     n_tokens = F.floor(F.octet_length("ids") / 4).cast("long")
     return read_tokens(spark, path).select("doc_id", "start", n_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 

@@ -15,8 +15,11 @@ import pyarrow as pa
 #: Bytes worked on at once; one longer text is worked on alone.
 STEP_BYTES = 1 << 20
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: ASCII capitals to small letters.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _POINT = np.zeros(256, bool)
@@ -46,7 +49,7 @@ def steps(texts: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int, n
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the index of each text's first word."""
-    solid = ~_SPACE[data]
+    solid = ~SPACE[data]
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]
@@ -68,7 +71,7 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if len(data):
         sure = _PLAIN[data]
         sure[1:] |= (data[1:] >= 0x80) & _LEAD[data[:-1]]
-        cut[1:] = (_SPACE[data[1:]] & sure[:-1]) | (_POINT[data[1:]] & _LETTER[data[:-1]])
+        cut[1:] = (SPACE[data[1:]] & sure[:-1]) | (_POINT[data[1:]] & _LETTER[data[:-1]])
         cut[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
     return np.flatnonzero(cut)
 

@@ -41,14 +41,14 @@ def serialized(ids: np.ndarray, width: int) -> bytes:
     return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
-def train_dictionary(docs: DataFrame, text_col: str, vocabulary: str, end_id: int, width: int) -> bytes:
+def train_dictionary(docs: DataFrame, text_col: str, vocabulary: str, end_id: int, width: int, folded: bool) -> bytes:
     """A dictionary from serialized ids of a sample of whole documents; plain content where the sample is too small."""
     text = text_of(text_col)
     sample = docs.select(text.alias("text")).where(F.octet_length("text") <= DICT_DOC_BYTES).orderBy(F.xxhash64("text"), "text").limit(DICT_SAMPLE)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch({"ids": pa.array([serialized(x, width) for x in encoder(vocabulary).documents(b["text"], end_id)], pa.binary())})
+            yield pa.record_batch({"ids": pa.array([serialized(x, width) for x in encoder(vocabulary, folded).documents(b["text"], end_id)], pa.binary())})
 
     found = [bytes(r.ids) for r in sample.mapInArrow(ids, "ids binary").collect()]
     try:
@@ -59,16 +59,16 @@ def train_dictionary(docs: DataFrame, text_col: str, vocabulary: str, end_id: in
 
 def write_tokens(
     docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", width: int = 2,
-    shard_bytes: int = SHARD_BYTES,
+    folded: bool = False, shard_bytes: int = SHARD_BYTES,
 ) -> None:
     """Encode all documents in ascending order of their id and write dictionary and blocks to ``path``.
 
     Null texts count as empty and hold the end id alone; null ids come first;
     rows with the same id follow each other as documents of their own.  An
-    empty table writes a dictionary and no block.
+    empty table writes a dictionary and no block.  ``folded``: see ``Encoder``.
     """
     given = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    plain = train_dictionary(given, "text", vocabulary, end_id, width)
+    plain = train_dictionary(given, "text", vocabulary, end_id, width, folded)
     dict_hash = hashlib.sha256(plain).hexdigest()
     spark = docs.sparkSession
     spark.createDataFrame([(dict_hash, bytearray(plain))], "dict_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -90,7 +90,7 @@ def write_tokens(
 
         size = 0
         for b in batches:
-            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder(vocabulary).documents(b["text"], end_id), strict=True):
+            for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder(vocabulary, folded).documents(b["text"], end_id), strict=True):
                 held.append((doc_id, len(ids), packer.compress(serialized(ids, width))))
                 size += len(ids) * width
                 if len(held) == BLOCK_DOCUMENTS or size >= BLOCK_BYTES:

@@ -9,16 +9,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from tidemark.llm.spans import Hashes, pieces, ragged, steps
+from tidemark.llm.spans import LOWER, SPACE, Hashes, pieces, ragged, steps
 
 #: Pieces kept per Python worker; then the memory starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 1_000_000
 
 
 class Encoder:
-    """Ids as the tokenizer gives them for whole texts, from a bounded memory of pieces."""
+    """Ids as the tokenizer gives them for whole texts, from a bounded memory of pieces.
 
-    def __init__(self, path: str):
+    ``folded`` is for a vocabulary that makes letters small one by one and drops
+    blanks: pieces that differ in these alone are then encoded once.
+    """
+
+    def __init__(self, path: str, folded: bool = False):
+        self.folded = folded
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,7 +43,7 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         if self.mark is None or any(self.mark in t for t in texts):
             return [self.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-        flat = np.array(self.tokenizer.encode(self.mark.join(texts), add_special_tokens=False).ids, np.uint32)
+        flat = np.array(self.tokenizer.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, np.uint32)
         return np.split(flat, np.flatnonzero(flat == self.mark_id))
 
     def _learn(self, keys: list[int], texts: list[str]) -> None:
@@ -64,16 +69,26 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.append(starts[1:], len(data))
-        codes, distinct = pd.factorize(self.hashes.texts(data, starts, ends))
+        begins, body = starts, data
+        if self.folded:
+            solid = np.append(np.flatnonzero(~SPACE[data]), len(data))
+            begins, body = np.minimum(solid[np.searchsorted(solid, starts)], ends), LOWER[data]
+        codes, distinct = pd.factorize(self.hashes.texts(body, begins, ends))
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
         keys = distinct.tolist()
         if len(self.known) + len(keys) > KEPT_PIECES and len(self.known):
             self.forget()
-        new = [k for k, key in enumerate(keys) if key not in self.known]
-        raw = data.tobytes() if new else b""
-        self._learn([keys[k] for k in new], [raw[starts[first[k]] : ends[first[k]]].decode() for k in new])
-        at = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[codes]
+        places = list(map(self.known.get, keys))
+        new = [k for k, place in enumerate(places) if place is None]
+        if new:
+            raw, some = body.tobytes(), first[new]
+            texts = [raw[a:z].decode() for a, z in zip(begins[some].tolist(), ends[some].tolist(), strict=True)]
+            known = len(self.known)
+            self._learn([keys[k] for k in new], texts)
+            for n, k in enumerate(new):
+                places[k] = known + n
+        at = np.array(places, np.int64)[codes]
         length = self.length[at]
         ids = self.ids[ragged(self.begin[at], length)]
         ahead = np.append(0, np.cumsum(length))
@@ -88,6 +103,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, folded: bool = False) -> Encoder:
     """One encoder per Python worker and vocabulary file."""
-    return Encoder(path)
+    return Encoder(path, folded)
