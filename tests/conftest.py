@@ -15,12 +15,3 @@ def spark():
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     yield session
     session.stop()
-
-
-@pytest.fixture(params=["small", "large"])
-def any_size(request, spark):
-    """Runs a test on the plain windows and on the chunked path."""
-    if request.param == "large":
-        spark.conf.set("spark.tidemark.smallInputBytes", "1")
-    yield request.param
-    spark.conf.unset("spark.tidemark.smallInputBytes")

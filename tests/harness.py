@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import os
 import sys
 import time
 from pathlib import Path
@@ -95,8 +94,6 @@ def main() -> None:
     qs, os_ = e.queries(), e.oracle_sql()
     con = duck(sf_dir)
     spark = local_session(8)
-    if os.environ.get("SMALL"):
-        spark.conf.set("spark.tidemark.smallInputBytes", os.environ["SMALL"])
     bad = 0
     for name in qs:
         if want and not any(name == w or name.startswith(w) for w in want):

@@ -65,7 +65,7 @@ def test_outcome_exactly_at_the_delay_and_duplicates(spark):
     assert got == {1: "provisional", 2: "confirmed", 3: "provisional"}
 
 
-def test_corrections(spark, any_size):
+def test_corrections(spark):
     df = spark.createDataFrame([(1, T0, 1, "r1"), (2, T0, 1, "r2"), (2, T0 + timedelta(days=1), 0, "r3"), (2, T0 + timedelta(days=1), 1, "r4")], "id int, ts timestamp, y int, row string")
     out = {r["row"]: (r["is_current"], r["is_superseded"]) for r in lb.label_corrections(df, "id", "ts", ["row"]).collect()}
     assert out == {"r1": (True, False), "r2": (False, True), "r3": (True, False), "r4": (False, True)}
@@ -93,7 +93,7 @@ def test_feedback_needs_ten_rows_and_loop_moves_the_baseline(spark):
     ]
 
 
-def test_latency_last_n_and_bucket_quantile(spark, any_size):
+def test_latency_last_n_and_bucket_quantile(spark):
     df = spark.createDataFrame([(i, T0 + timedelta(seconds=i), float(i), "a") for i in range(100)], "id int, ts timestamp, v double, g string")
     last = sv.last_n_rows(df, 10, "ts", "id", ["g"], True)
     assert sorted(r["id"] for r in last.collect()) == list(range(90, 100))
@@ -106,7 +106,7 @@ def test_latency_last_n_and_bucket_quantile(spark, any_size):
     assert p["p50"] == pytest.approx(25 + 25 * (50 - 26) / 25) and p["error_ratio"] == 0.0
 
 
-def test_budget_and_slo(spark, any_size):
+def test_budget_and_slo(spark):
     df = spark.createDataFrame([(i, T0 + timedelta(hours=i), 10.0) for i in range(12)], "id int, ts timestamp, v double")
     r = sv.budget_alerts(df, "ts", "v", 100.0, ["id"]).first()
     assert r["reached_50"] == T0 + timedelta(hours=4) and r["reached_100"] == T0 + timedelta(hours=9) and r["over_budget"]

@@ -20,7 +20,7 @@ def pair_auc(rows):
     return sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
 
 
-def test_rank_metrics(spark, any_size):
+def test_rank_metrics(spark):
     df = spark.createDataFrame(ROWS, "y int, p double")
     r = ev.rank_metrics(df, "y", "p").first()
     ordered = sorted({p for _, p in ROWS}, reverse=True)
@@ -91,7 +91,7 @@ def test_model_metrics_agree_with_the_single_ones(spark):
     assert {m: one[m]["slice_auc_gap"] for m in gaps} == pytest.approx(gaps)
 
 
-def test_splits(spark, any_size):
+def test_splits(spark):
     df = spark.createDataFrame([(i * 3 % 101, i % 2) for i in range(101)], "id int, y int")
     out = ev.ordered_split(df, "id", {"train": 0.8, "test": 0.2}).collect()
     assert sorted(r["id"] for r in out if r["split"] == "train") == list(range(80))
@@ -115,7 +115,7 @@ def numpy_psi(ref, cur):
     return float(np.sum((q - p) * np.log(q / p)))
 
 
-def test_drift_against_numpy(spark, any_size):
+def test_drift_against_numpy(spark):
     ref, cur = normal(42), normal(7, 0.8)
     long = long_table(spark, ref, cur)
     assert dr.psi_joint(long).first()["psi"] == pytest.approx(numpy_psi(ref, cur))
@@ -165,7 +165,7 @@ def test_snapshot_skew_sees_a_shift(spark):
     assert a["severity"] == "stable" and a["ks"] < 0.06 and b["severity"] == "major" and b["ks"] > 0.5
 
 
-def test_profile_and_checks_on_missing_values(spark, any_size):
+def test_profile_and_checks_on_missing_values(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), None), (3.0, "a"), (None, "b"), (1.0, "")], "x double, s string")
     got = {r["column"]: r for r in pf.column_profile(df).collect()}
     assert (got["x"]["n_null"], got["x"]["n_unique"], got["x"]["p50"]) == (2, 2, 1.0)

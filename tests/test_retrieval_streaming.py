@@ -124,7 +124,7 @@ def request_times(seed=3, n=400):
     return {c: np.cumsum(rng.choice([0.0, 1.0, 5.0, 70.0], size=n, p=[0.2, 0.5, 0.25, 0.05])).tolist() for c in (1, 2)}
 
 
-def test_rate_limit_equals_a_loop(spark, any_size):
+def test_rate_limit_equals_a_loop(spark):
     times = request_times()
     rows = [(c, c * 1000 + i, T0 + timedelta(seconds=t)) for c, ts in times.items() for i, t in enumerate(ts)]
     df = spark.createDataFrame(rows, "client int, req int, ts timestamp").repartition(5)

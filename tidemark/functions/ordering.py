@@ -1,20 +1,18 @@
 """Exact ranks, running totals and quantiles without a one-task window.
 
-A window that orders all rows of one group runs in one task.  A group may hold
-a third of the table, so the operators here cut such a group into chunks of
-its order column first:
-
-1. ``split_points`` takes one row per hash cell (at most ``cells`` rows in
-   all, chosen by content, hence the same whenever it is evaluated) and keeps
-   the order values of every group that shows up often.
-2. ``with_chunks`` looks the chunk number of each row up in those split
-   points, a broadcast of at most ``cells`` values.
-3. The window runs inside (group, chunk); what earlier chunks contribute comes
-   from a table with one row per hot chunk, again at most ``cells`` rows.
-
-Groups that are not hot keep one chunk and cost nothing extra.  Where all
-input files together are smaller than ``spark.tidemark.smallInputBytes`` (64 MB
-unless set) no group can be too large for a task, and the plain window is used.
+A window that orders all rows of one group runs in one task, and a group may
+hold a third of the table.  So the rows are sorted by Spark's own range
+partitioning over group, order column, tie columns and row number, and written
+once with the number of their range:
+
+1. A range holds at most ``RANGE_ROWS`` rows.  The number of ranges follows
+   from the rows: ranges that turn out larger are cut anew.  Equal keys are cut
+   as well, as the row number is part of the order.
+2. The window runs inside (group, range).
+3. What earlier ranges of the same group add up to is one row per range at
+   most, because only the group that a range begins with can have begun before.
+
+The written ranges end the lineage: every reader sees the same cut.
 """
 
 from __future__ import annotations
@@ -24,9 +22,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1024
-HOT_ROWS = 8
-_STRIDE = 32
+from tidemark.session import scratch_dir
+
+RANGE_ROWS = 2_000_000
 
 
 def present(col: str | Column) -> Column:
@@ -41,87 +39,36 @@ def null_nan(col: str | Column) -> Column:
     return F.when(~F.isnan(col), col)
 
 
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
-
-def small_input(df: DataFrame) -> bool:
-    """True where the files and tables below ``df`` are known to be small.
-
-    Reads the size statistics of the plan's leaves; unknown sizes count as large.
-    """
-    if not hasattr(df, "_jdf"):
-        return False
-    limit = int(df.sparkSession.conf.get("spark.tidemark.smallInputBytes", str(SMALL_INPUT_BYTES)))
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves().iterator()
-    total = 0
-    while leaves.hasNext() and total < limit:
-        total += int(str(leaves.next().stats().sizeInBytes()))
-    return total < limit
-
-
-def split_points(df: DataFrame, order: str, groups: Sequence[str] = (), cells: int = CELLS) -> DataFrame:
-    """Sorted split values of each group that holds a visible share of the rows.
-
-    Columns: ``_g0.._gn`` (the group) and ``_points`` (all values and every 32nd
-    of them).  At most ``cells`` split values in the whole table.
-    """
-    keys = [*groups, order]
-    hashed = df.select(*keys, F.xxhash64(*keys).alias("_cellhash"))
-    cell = F.pmod(F.col("_cellhash"), F.lit(cells))
-    # Hash aggregation over long values only; the row itself is fetched by its
-    # hash, so no sort-based aggregate over strings is needed.
-    chosen = hashed.groupBy(cell.alias("_cell")).agg(F.min("_cellhash").alias("_cellhash")).select("_cellhash")
-    rows = hashed.join(F.broadcast(chosen), "_cellhash", "left_semi").select(*keys).distinct()
-    names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
-    edges = rows.groupBy(*names).agg(F.sort_array(F.collect_list(order)).alias("_edges"))
-    # Every 32nd value: the first level of the search.
-    coarse = F.filter("_edges", lambda _, i: i % _STRIDE == _STRIDE - 1)
-    return edges.where(F.size("_edges") >= HOT_ROWS).select(
-        *[f"_g{i}" for i in range(len(groups))], F.struct("_edges", coarse.alias("_coarse")).alias("_points")
-    )
+def in_ranges(df: DataFrame, keys: Sequence[str | Column], most: int | None = None) -> DataFrame:
+    """The rows with ``_range`` (numbers ascend with ``keys``) and ``_nth`` (decides equal keys)."""
+    spark, most = df.sparkSession, most or RANGE_ROWS
+    rows, ranges = df.withColumn("_nth", F.monotonically_increasing_id()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        path = scratch_dir(spark, "ranges")
+        rows.repartitionByRange(ranges, *keys, "_nth").withColumn("_range", F.spark_partition_id()).write.parquet(path)
+        out = spark.read.parquet(path)
+        largest = out.groupBy("_range").count().agg(F.max("count")).first()[0] or 0
+        if largest <= most:
+            return out
+        rows, ranges = out.drop("_range"), 2 * ranges * -(-largest // most)
 
 
-def _same_group(groups: Sequence[str], prefix: str = "_g") -> Column:
+def same_group(groups: Sequence[str], prefix: str = "_g") -> Column:
+    """Null-safe equality of the group columns with their renamed copies."""
     cond = F.lit(True)
     for i, g in enumerate(groups):
         cond = cond & F.col(g).eqNullSafe(F.col(f"{prefix}{i}"))
     return cond
 
 
-def with_chunks(df: DataFrame, order: str, groups: Sequence[str] = (), points: DataFrame | None = None) -> DataFrame:
-    """Add ``_chunk``: the order range of the row inside a hot group, null elsewhere."""
-    if points is None:
-        points = split_points(df, order, groups)
-    if groups:
-        out = df.join(F.broadcast(points), _same_group(groups), "left")
-    else:
-        # One row at most: an uncorrelated scalar subquery, not a join.
-        out = df.withColumn("_points", points.select("_points").scalar())
-    value = F.col(order)
-    block = F.size(F.filter("_points._coarse", lambda e: e <= value))
-    out = out.withColumn("_block", F.when(F.col("_points").isNotNull(), block))
-    near = F.slice("_points._edges", F.col("_block") * _STRIDE + 1, _STRIDE)
-    chunk = F.col("_block") * _STRIDE + F.size(F.filter(near, lambda e: e <= value))
-    out = out.withColumn("_chunk", F.when(F.col("_block").isNotNull(), chunk).cast("int"))
-    return out.drop("_points", "_block", *[f"_g{i}" for i in range(len(groups))])
-
-
-def _carried(chunked: DataFrame, groups: Sequence[str], totals: dict[str, Column], descending: bool) -> DataFrame:
-    """Per hot chunk: what all earlier chunks of the group add up to."""
-    names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)]
-    per_chunk = (
-        chunked.where(F.col("_chunk").isNotNull())
-        .groupBy(*names, F.col("_chunk").alias("_in_chunk"))
-        .agg(*[F.sum(c).alias(f"_t_{n}") for n, c in totals.items()])
-    )
-    order = F.col("_in_chunk").desc() if descending else F.col("_in_chunk").asc()
-    before = Window.partitionBy(*[f"_g{i}" for i in range(len(groups))]).orderBy(order)
-    before = before.rowsBetween(Window.unboundedPreceding, -1)
-    return per_chunk.select(
-        *[f"_g{i}" for i in range(len(groups))],
-        "_in_chunk",
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_before_{n}") for n in totals],
-    )
+def earlier_ranges(ranged: DataFrame, groups: Sequence[str], totals: Sequence[Column], carried: Callable[[Window], Sequence[Column]]) -> DataFrame:
+    """``_g0.., _in_range`` and ``carried`` columns over earlier ranges of the group: one row per range at most."""
+    names = [f"_g{i}" for i in range(len(groups))]
+    per_range = ranged.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)], F.col("_range").alias("_in_range")).agg(*totals)
+    order = Window.partitionBy(*names).orderBy("_in_range")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    out = per_range.select(*names, "_in_range", F.row_number().over(order).alias("_of_group"), *carried(before))
+    return out.where(F.col("_of_group") > 1).drop("_of_group")
 
 
 def running_totals(
@@ -134,22 +81,16 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running totals in the order of ``order`` (then ``ties``)."""
     key = F.col(order).desc() if descending else F.col(order).asc()
-    to_here = (Window.unboundedPreceding, Window.currentRow)
-    if small_input(df):
-        w = Window.partitionBy(*groups).orderBy(key, *ties).rowsBetween(*to_here)
-        return df.select(*df.columns, *[F.sum(c).over(w).alias(n) for n, c in totals.items()])
-    chunked = with_chunks(df, order, groups)
-    carried = _carried(chunked, groups, totals, descending)
-    cond = F.col("_chunk") == F.col("_in_chunk")
-    if groups:
-        cond = cond & _same_group(groups)
-    w = Window.partitionBy(*groups, "_chunk").orderBy(key, *ties).rowsBetween(*to_here)
-    inside = chunked.withColumns({n: F.sum(c).over(w) for n, c in totals.items()})
-    joined = inside.join(F.broadcast(carried), cond, "left")
-    return joined.select(
-        *df.columns,
-        *[(F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n) for n in totals],
+    given = df.select("*", *[c.alias(f"_t_{n}") for n, c in totals.items()])
+    ranged = in_ranges(given, [*groups, key, *ties])
+    carried = earlier_ranges(
+        ranged, groups, [F.sum(f"_t_{n}").alias(f"_t_{n}") for n in totals],
+        lambda before: [F.sum(f"_t_{n}").over(before).alias(f"_before_{n}") for n in totals],
     )
+    inside = Window.partitionBy(*groups, "_range").orderBy(key, *ties, "_nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = ranged.withColumns({f"_s_{n}": F.sum(f"_t_{n}").over(inside) for n in totals})
+    joined = summed.join(F.broadcast(carried), same_group(groups) & (F.col("_range") == F.col("_in_range")), "left")
+    return joined.select(*df.columns, *[(F.col(f"_s_{n}") + F.coalesce(F.col(f"_before_{n}"), F.lit(0))).alias(n) for n in totals])
 
 
 def row_numbers(
@@ -164,79 +105,29 @@ def row_numbers(
     return running_totals(df, order, groups, {name: F.lit(1).cast("long")}, ties, descending)
 
 
-def _merged_ranks(merged: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """First and last rank of each distinct value, by a plain window per group."""
-    w = Window.partitionBy(*groups)
-    run = w.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = merged.withColumns({"_to": F.sum("_k").over(run), "n_all": F.sum("_k").over(w)})
-    return out.withColumn("_from", F.col("_to") - F.col("_k"))
-
-
-def _chunk_ranks(
-    rows: DataFrame, ranks: dict[str, Callable[[Column], Column]], groups: Sequence[str], bounded_groups: bool
-) -> DataFrame:
-    """The same for the chunks that hold a wanted rank; other chunks are only counted."""
-    chunked = with_chunks(rows, "_v", groups).withColumn("_chunk", F.coalesce("_chunk", F.lit(0)))
-    w = Window.partitionBy(*groups)
-    ordered = w.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        chunked.groupBy(*groups, "_chunk")
-        .agg(F.count("*").alias("_n"))
-        .withColumns({
-            "_start": F.coalesce(F.sum("_n").over(ordered), F.lit(0)),
-            "n_all": F.sum("_n").over(w),
-        })
-    )
-    wanted = F.array(*[fn(F.col("n_all")).cast("long") for fn in ranks.values()])
-    needed = totals.where(
-        F.exists(wanted, lambda k: (k >= F.col("_start")) & (k < F.col("_start") + F.col("_n")))
-    ).select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_chunk").alias("_in_chunk"), "_start", "n_all"
-    )
-    cond = F.col("_chunk") == F.col("_in_chunk")
-    if groups:
-        cond = cond & _same_group(groups)
-    if bounded_groups or not groups:
-        rows_in = chunked.join(F.broadcast(needed), cond)
-        counted = rows_in.groupBy(*groups, "_chunk", "_v", "_start", "n_all").agg(F.count("*").alias("_k"))
-    else:
-        merged = chunked.groupBy(*groups, "_chunk", "_v").agg(F.count("*").alias("_k"))
-        counted = merged.join(needed, cond)
-    inside = Window.partitionBy(*groups, "_chunk").orderBy("_v")
-    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.col("_start") + F.sum("_k").over(inside)
-    return counted.withColumn("_to", last).withColumn("_from", F.col("_to") - F.col("_k"))
-
-
 def order_values(
     df: DataFrame,
     value: str,
     ranks: dict[str, Callable[[Column], Column]],
     groups: Sequence[str] = (),
-    bounded_groups: bool = False,
 ) -> DataFrame:
     """Values at given 0-based ranks per group, plus the row count ``n_all``.
 
-    ``ranks`` maps an output name to a function of the row count.  Only the
-    chunks that hold a wanted rank are sorted; of all other rows just the count
-    per chunk is needed.  Equal values are merged before the shuffle.  Set
-    ``bounded_groups`` where the number of groups cannot grow with the data
-    (column names, a fixed list of labels): the wanted chunks are then broadcast
-    and all other rows are dropped before the shuffle.
+    ``ranks`` maps an output name to a function of the row count.  Equal values
+    are merged before anything is sorted.  A null group is a group.
     """
     rows = df.select(*groups, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
-    if small_input(df):
-        ranked = _merged_ranks(rows.groupBy(*groups, "_v").agg(F.count("*").alias("_k")), groups)
-    else:
-        ranked = _chunk_ranks(rows, ranks, groups, bounded_groups)
+    merged = rows.groupBy(*groups, "_v").agg(F.count("*").alias("_k"))
+    run = running_totals(merged, "_v", groups, {"_to": F.col("_k")})
+    names = [f"_g{i}" for i in range(len(groups))]
+    sizes = run.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)]).agg(F.sum("_k").alias("n_all"))
+    ranked = run.join(sizes, same_group(groups)) if groups else run.withColumn("n_all", sizes.select("n_all").scalar())
 
     def at(fn: Callable[[Column], Column]) -> Column:
         k = fn(F.col("n_all")).cast("long")
-        return F.max(F.when((F.col("_from") <= k) & (k < F.col("_to")), F.col("_v")))
+        return F.max(F.when((F.col("_to") - F.col("_k") <= k) & (k < F.col("_to")), F.col("_v")))
 
-    return ranked.groupBy(*groups).agg(
-        F.max("n_all").alias("n_all"), *[at(fn).alias(n) for n, fn in ranks.items()]
-    )
+    return ranked.groupBy(*groups).agg(F.max("n_all").alias("n_all"), *[at(fn).alias(n) for n, fn in ranks.items()])
 
 
 def quantiles(
@@ -244,7 +135,6 @@ def quantiles(
     value: str,
     probs: dict[str, float],
     groups: Sequence[str] = (),
-    bounded_groups: bool = False,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group."""
     ranks: dict[str, Callable[[Column], Column]] = {}
@@ -252,7 +142,7 @@ def quantiles(
         ranks[f"_lo_{name}"] = lambda n, p=p: F.floor((n - 1) * F.lit(p))
         ranks[f"_hi_{name}"] = lambda n, p=p: F.ceil((n - 1) * F.lit(p))
     rows = df.where(present(value)).select(*groups, F.col(value).cast("double").alias("_q"))
-    found = order_values(rows, "_q", ranks, groups, bounded_groups)
+    found = order_values(rows, "_q", ranks, groups)
     out = []
     for name, p in probs.items():
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")

@@ -96,13 +96,13 @@ LABEL_CONTRACT = Contract(
 
 
 def _coerced(df: DataFrame, rule: Rule) -> Column:
-    value = F.col(rule.column).try_cast(rule.type)
+    value = F.col(f"`{rule.column}`").try_cast(rule.type)
     return null_nan(value) if rule.type in ("double", "float") else value
 
 
 def _failures(df: DataFrame, rule: Rule) -> dict[str, Column]:
     """Check name -> condition that is true where a row breaks it."""
-    raw, value = F.col(rule.column), _coerced(df, rule)
+    raw, value = F.col(f"`{rule.column}`"), _coerced(df, rule)
     empty = missing(df, rule.column)
     out = {"type": ~empty & raw.try_cast(rule.type).isNull()}
     if not rule.nullable:
@@ -129,7 +129,7 @@ def row_violations(df: DataFrame, contract: Contract, keys: Sequence[str]) -> Da
     present = [r for r in contract.rules if r.column in df.columns]
     failures = [(r.column, n, F.coalesce(cond, F.lit(False))) for r in present for n, cond in _failures(df, r).items()]
     checks = [
-        F.when(cond, F.struct(F.lit(c).alias("column"), F.lit(n).alias("check"), F.col(c).cast("string").alias("value")))
+        F.when(cond, F.struct(F.lit(c).alias("column"), F.lit(n).alias("check"), F.col(f"`{c}`").cast("string").alias("value")))
         for c, n, cond in failures
     ]
     # Good rows leave before the check list of a row is built.
@@ -139,10 +139,10 @@ def row_violations(df: DataFrame, contract: Contract, keys: Sequence[str]) -> Da
     for r in present:
         if not r.unique:
             continue
-        dup = df.groupBy(r.column).agg(F.count("*").alias("_n")).where("_n > 1").select(r.column)
-        rows = df.join(dup, r.column, "left_semi").select(
+        dup = df.groupBy(F.col(f"`{r.column}`").alias("_same")).agg(F.count("*").alias("_n")).where("_n > 1").select("_same")
+        rows = df.join(dup, F.col(f"`{r.column}`") == F.col("_same"), "left_semi").select(
             *keys, F.lit(r.column).alias("column"), F.lit("unique").alias("check"),
-            F.col(r.column).cast("string").alias("value"),
+            F.col(f"`{r.column}`").cast("string").alias("value"),
         )
         out = out.unionByName(rows)
     return out
@@ -157,7 +157,7 @@ def _schema_facts(df: DataFrame, rules: Sequence[Rule]) -> dict[str, Column]:
                 facts[f"{r.column}|missing"] = F.coalesce(F.max(F.lit(1)), F.lit(1)).cast("long")
             continue
         value = _coerced(df, r)
-        conds = {"type": ~missing(df, r.column) & F.col(r.column).try_cast(r.type).isNull()}
+        conds = {"type": ~missing(df, r.column) & F.col(f"`{r.column}`").try_cast(r.type).isNull()}
         if not r.nullable:
             conds["null"] = missing(df, r.column)
         if r.low is not None:
@@ -211,7 +211,7 @@ def _stat(df: DataFrame, check: StatCheck) -> tuple[Column, Column]:
         v = F.count("*").cast("double")
         return v, v >= check.low
     empty = missing(df, check.column).cast("double")
-    number = null_nan(F.col(check.column).cast("double"))
+    number = null_nan(F.col(f"`{check.column}`").cast("double"))
     if check.kind == "null_rate":
         v = F.avg(empty)
         return v, F.coalesce(v <= check.high, F.lit(True))
@@ -334,7 +334,7 @@ def bounds_quality(df: DataFrame, bounds: Sequence[tuple[str, float | None, floa
                 "passed": F.max(F.lit(False)),
             }
             continue
-        v = null_nan(F.col(name).cast("double"))
+        v = null_nan(F.col(f"`{name}`").cast("double"))
         outside = [v < low] if low is not None else []
         outside += [v > high] if high is not None else []
         broken = reduce(lambda a, b: a | b, outside, F.lit(False))
@@ -350,7 +350,7 @@ def bounds_quality(df: DataFrame, bounds: Sequence[tuple[str, float | None, floa
 def infinite_columns(df: DataFrame) -> DataFrame:
     """Names of floating columns that hold an infinity."""
     floats = [c for c, kind in df.dtypes if kind in ("double", "float")]
-    facts = {c: {"n_infinite": F.count_if(F.abs(F.col(c)) == float("inf"))} for c in floats}
+    facts = {c: {"n_infinite": F.count_if(F.abs(F.col(f"`{c}`")) == float("inf"))} for c in floats}
     return one_row_to_long(df, facts).where("n_infinite > 0")
 
 
@@ -363,8 +363,13 @@ PUSH_TYPES = {
 }
 
 
-def push_event_errors(df: DataFrame, payload: str, required: Sequence[str], types: dict[str, str], name: str = "errors") -> DataFrame:
-    """Add the errors of each JSON payload as an array of strings, empty when valid."""
+def push_event_errors(
+    df: DataFrame, payload: str, required: Sequence[str], types: dict[str, str], key: str | None = None, name: str = "errors"
+) -> DataFrame:
+    """Add the errors of each JSON payload as an array of strings, empty when valid.
+
+    With ``key``, a missing or empty entity key is an error of its own.
+    """
     # The document is parsed once per row and the wanted fields are read once.
     fields = list(dict.fromkeys([*required, *types]))
     parsed = df.withColumn("_doc", F.try_parse_json(payload))
@@ -375,6 +380,8 @@ def push_event_errors(df: DataFrame, payload: str, required: Sequence[str], type
         actual = F.regexp_extract(F.schema_of_variant(value[n]), "^[A-Z]+", 0)
         wrong = value[n].isNotNull() & ~F.is_variant_null(value[n]) & ~actual.isin(*PUSH_TYPES[kind])
         found.append(F.when(wrong, F.concat(F.lit(f"type:{n}:"), F.lower(actual))))
+    if key is not None:
+        found.insert(0, F.when(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == "", F.lit(f"empty:{key}")))
     broken = F.when(F.col("_doc").isNull(), F.array(F.lit("malformed")))
     errors = F.coalesce(broken, F.filter(F.array(*found), lambda e: e.isNotNull()))
     # Through a generator, so that a later filter on the errors is not moved below

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordering import null_nan, small_input, split_points, with_chunks
+from tidemark.functions.ordering import earlier_ranges, in_ranges, null_nan, same_group
 
 # Category codes and their replacement.
 EDUCATION_CODES = {0: 4, 5: 4, 6: 4}
@@ -93,8 +93,8 @@ def point_in_time_join(
 
     Takes the whole row: a null in the newest row is not filled from an older
     one.  Equal feature timestamps are decided by ``ties`` (last wins).  Every
-    entity row is kept once.  One shuffle by (key, chunk); a hot key is cut
-    into time chunks and the row open at the start of a chunk is broadcast.
+    entity row is kept once.  Rows are sorted in ranges of (key, time); the row
+    open at the start of a range is one per range and is broadcast.
     """
     return feature_views_join(
         entities, [View(features, columns, feature_ts, ties, max_age)], key, entity_ts
@@ -142,14 +142,7 @@ def feature_views_join(entities: DataFrame, views: Sequence[View], key: str, ent
         rows = rows.unionByName(part, allowMissingColumns=True)
 
     slots = [slot(i) for i in range(len(views))]
-    to_here = (Window.unboundedPreceding, Window.currentRow)
-    if small_input(rows):
-        inside = Window.partitionBy("_key").orderBy("_at", "_side", *slots).rowsBetween(*to_here)
-        joined = rows.select(
-            "_at", "_side", "_entity", *[F.last(s, ignorenulls=True).over(inside).alias(s) for s in slots]
-        ).where(F.col("_side") == 1)
-    else:
-        joined = _chunked_last(rows, slots)
+    joined = _last_in_ranges(rows, slots)
     picked = []
     for c, i in wanted.items():
         row = F.col(slot(i))
@@ -164,35 +157,20 @@ def feature_views_join(entities: DataFrame, views: Sequence[View], key: str, ent
     return found.unionByName(orphan, allowMissingColumns=True)
 
 
-def _chunked_last(rows: DataFrame, slots: Sequence[str]) -> DataFrame:
-    """Last row of each view per entity row; hot keys are cut into time chunks."""
-    # Split points come from key and time only: a narrow scan.
-    points = split_points(rows.select("_key", "_at"), "_at", ["_key"])
-    chunked = with_chunks(rows, "_at", ["_key"], points)
-    # Newest row of each view in each hot chunk, then the newest of all earlier chunks.
-    newest = (
-        chunked.where(F.col("_chunk").isNotNull())
-        .groupBy(F.col("_key").alias("_k"), F.col("_chunk").alias("_k_chunk"))
-        .agg(*[F.max(s).alias(s) for s in slots])
+def _last_in_ranges(rows: DataFrame, slots: Sequence[str]) -> DataFrame:
+    """Last row of each view per entity row; the newest of earlier ranges is carried on."""
+    order = ["_at", "_side", *slots]
+    ranged = in_ranges(rows, ["_key", *order])
+    opened = earlier_ranges(
+        ranged, ["_key"], [F.max(s).alias(s) for s in slots],
+        lambda before: [F.last(s, ignorenulls=True).over(before).alias(f"{s}_open") for s in slots],
     )
-    earlier = Window.partitionBy("_k").orderBy("_k_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    opened = newest.select(
-        "_k", "_k_chunk", *[F.last(s, ignorenulls=True).over(earlier).alias(f"{s}_open") for s in slots]
-    )
-    inside = (
-        Window.partitionBy("_key", "_chunk")
-        .orderBy("_at", "_side", *slots)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    seen = chunked.select(
-        "_key", "_chunk", "_at", "_side", "_entity",
-        *[F.last(s, ignorenulls=True).over(inside).alias(s) for s in slots],
+    inside = Window.partitionBy("_key", "_range").orderBy(*order, "_nth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = ranged.select(
+        "_key", "_range", "_at", "_side", "_entity", *[F.last(s, ignorenulls=True).over(inside).alias(s) for s in slots]
     ).where(F.col("_side") == 1)
-    same = (F.col("_key") == F.col("_k")) & (F.col("_chunk") == F.col("_k_chunk"))
-    joined = seen.join(F.broadcast(opened), same, "left")  # one row per hot chunk
-    return joined.select(
-        "_at", "_side", "_entity", *[F.coalesce(F.col(s), F.col(f"{s}_open")).alias(s) for s in slots]
-    )
+    joined = seen.join(F.broadcast(opened), same_group(["_key"]) & (F.col("_range") == F.col("_in_range")), "left")
+    return joined.select("_at", "_side", "_entity", *[F.coalesce(F.col(s), F.col(f"{s}_open")).alias(s) for s in slots])
 
 
 # --- latest-value tables --------------------------------------------------
@@ -206,9 +184,12 @@ def latest_values(
     end: datetime | None = None,
     ttl: timedelta | None = None,
     written_at: datetime | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Last non-null value of every column per key over [start, end].
 
+    Rows with equal times are decided by ``ties``, the largest wins.
+
     ``max_by`` combines on the map side, so a hot key costs one row per task.
     """
     if start is not None:
@@ -216,7 +197,7 @@ def latest_values(
     if end is not None:
         df = df.where(F.col(ts) <= F.lit(end))
     out = df.groupBy(key).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in columns],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(ts, *ties))).alias(c) for c in columns],
         F.max(ts).alias("last_ts"),
         F.count("*").alias("n_rows"),
     )
@@ -256,9 +237,10 @@ def split_interval(df: DataFrame, since: str, until: str, hours: int) -> DataFra
 
 
 def incremental_backfill(
-    df: DataFrame, key: str, columns: Sequence[str], ts: str, since: datetime, hours: int = 24, until: datetime | None = None
+    df: DataFrame, key: str, columns: Sequence[str], ts: str, since: datetime, hours: int = 24, until: datetime | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Latest non-null values per key and half-open interval, all intervals in one job."""
+    """Latest non-null values per key and half-open interval, all intervals in one job; ``ties`` decide equal times."""
     seconds = hours * 3600
     origin = F.unix_seconds(F.lit(since).cast("timestamp"))
     rows = df.where(F.col(ts) >= F.lit(since))
@@ -267,7 +249,7 @@ def incremental_backfill(
     index = F.floor((F.unix_seconds(F.col(ts).cast("timestamp")) - origin) / seconds)
     rows = rows.withColumn("interval_id", index.cast("long"))
     return rows.groupBy("interval_id", key).agg(
-        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(c) for c in columns],
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(ts, *ties))).alias(c) for c in columns],
         F.max(ts).alias("last_ts"),
         F.count("*").alias("n_rows"),
     ).withColumn("interval_start", F.timestamp_seconds(F.col("interval_id") * seconds + origin))

@@ -23,8 +23,8 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def missing(df: DataFrame, column: str) -> Column:
     """Null, or NaN in a floating column."""
     if dict(df.dtypes)[column] in ("double", "float"):
-        return F.col(column).isNull() | F.isnan(column)
-    return F.col(column).isNull()
+        return F.col(f"`{column}`").isNull() | F.isnan(F.col(f"`{column}`"))
+    return F.col(f"`{column}`").isNull()
 
 
 def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "column") -> DataFrame:

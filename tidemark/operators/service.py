@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import md5_bucket
-from tidemark.functions.ordering import order_values, quantiles, running_totals
+from tidemark.functions.ordering import order_values, quantiles, running_totals, same_group
 
 LATENCY_QUANTILES = {"p50": 0.50, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 # Upper bounds of the latency histogram in milliseconds.
 LATENCY_BUCKETS = (5, 10, 25, 50, 100, 250, 500, 1000)
 
 
-def last_n_rows(df: DataFrame, n: int, ts: str, key: str, groups: Sequence[str] = (), bounded_groups: bool = False) -> DataFrame:
+def last_n_rows(df: DataFrame, n: int, ts: str, key: str, groups: Sequence[str] = ()) -> DataFrame:
     """The newest ``n`` rows of each group, by an exact cut position and a filter.
 
     Only the cut is computed from ranks; no group is sorted in one task.
@@ -24,21 +24,21 @@ def last_n_rows(df: DataFrame, n: int, ts: str, key: str, groups: Sequence[str]
     at = F.struct(F.col(ts), F.col(key))
     keyed = df.withColumn("_at", at)
     cut = order_values(
-        keyed.select(*groups, "_at"), "_at", {"_cut": lambda c: F.greatest(c - n, F.lit(0))}, groups, bounded_groups
+        keyed.select(*groups, "_at"), "_at", {"_cut": lambda c: F.greatest(c - n, F.lit(0))}, groups
     )
     if not groups:
         return keyed.where(F.col("_at") >= cut.select("_cut").scalar()).drop("_at")
-    cut = cut.select(*groups, "_cut")
-    cut = F.broadcast(cut) if bounded_groups else cut
-    return keyed.join(cut, list(groups)).where(F.col("_at") >= F.col("_cut")).drop("_at", "_cut")
+    cut = cut.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_cut")
+    return keyed.join(cut, same_group(groups)).where(F.col("_at") >= F.col("_cut")).select(*df.columns)
 
 
-def latency_summary(df: DataFrame, value: str, groups: Sequence[str] = (), bounded_groups: bool = False) -> DataFrame:
+def latency_summary(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Count, mean and p50/p90/p95/p99 per label."""
     base = df.groupBy(*groups).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
-    q = quantiles(df, value, LATENCY_QUANTILES, groups, bounded_groups)
+    q = quantiles(df, value, LATENCY_QUANTILES, groups)
     if groups:
-        out = base.join(q, list(groups), "left")
+        q = q.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], *LATENCY_QUANTILES)
+        out = base.join(q, same_group(groups), "left").select(*base.columns, *LATENCY_QUANTILES)
     else:
         out = base.select("n", "mean", *[q.select(c).scalar().alias(c) for c in LATENCY_QUANTILES])
     zero = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("mean", *LATENCY_QUANTILES)}
@@ -277,17 +277,16 @@ def budget_alerts(
 
 def quality_drift(
     df: DataFrame, score: str, ts: str, key: str, groups: Sequence[str], n: int = 100,
-    threshold: float = 0.10, alert_threshold: float = 0.15, bounded_groups: bool = False,
+    threshold: float = 0.10, alert_threshold: float = 0.15,
 ) -> DataFrame:
     """Mean of the newest ``n`` scores against the mean of all earlier ones."""
     at = F.struct(F.col(ts), F.col(key))
     keyed = df.withColumn("_at", at)
     cut = order_values(
-        keyed.select(*groups, "_at"), "_at", {"_cut": lambda c: F.greatest(c - n, F.lit(0))}, groups, bounded_groups
-    ).select(*groups, "_cut")
-    cut = F.broadcast(cut) if bounded_groups else cut
+        keyed.select(*groups, "_at"), "_at", {"_cut": lambda c: F.greatest(c - n, F.lit(0))}, groups
+    ).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_cut")
     recent = F.col("_at") >= F.col("_cut")
-    out = keyed.join(cut, list(groups)).groupBy(*groups).agg(
+    out = keyed.join(cut, same_group(groups)).groupBy(*groups).agg(
         F.avg(F.when(~recent, F.col(score))).alias("historical_mean"), F.avg(F.when(recent, F.col(score))).alias("recent_mean")
     )
     drop = F.try_divide(F.col("historical_mean") - F.col("recent_mean"), F.col("historical_mean"))

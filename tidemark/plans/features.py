@@ -89,9 +89,9 @@ def feature_service(t: Tables):
 )
 def latest_value_table(t: Tables):
     rows = t.events.select(
-        "user_id", "ts", F.when(F.col("value") <= 100, F.col("value")).alias("amount"), F.col("event_type").alias("kind")
+        "user_id", "ts", "event_id", F.when(F.col("value") <= 100, F.col("value")).alias("amount"), F.col("event_type").alias("kind")
     )
-    out = ft.latest_values(rows, "user_id", ["amount", "kind"], "ts", START, NOW, timedelta(days=1))
+    out = ft.latest_values(rows, "user_id", ["amount", "kind"], "ts", START, NOW, timedelta(days=1), ties=["event_id"])
     return out.select(
         "user_id", "amount", "kind", "n_rows", micros("last_ts").alias("last_us"), micros("expire_at").alias("expire_us")
     )
@@ -125,9 +125,9 @@ def interval_plan(t: Tables):
 )
 def incremental_backfill(t: Tables):
     rows = t.events.select(
-        "user_id", "ts", F.when(F.col("value") <= 100, F.col("value")).alias("amount"), F.col("event_type").alias("kind")
+        "user_id", "ts", "event_id", F.when(F.col("value") <= 100, F.col("value")).alias("amount"), F.col("event_type").alias("kind")
     )
-    out = ft.incremental_backfill(rows, "user_id", ["amount", "kind"], "ts", START, 24)
+    out = ft.incremental_backfill(rows, "user_id", ["amount", "kind"], "ts", START, 24, ties=["event_id"])
     return out.select("interval_id", "user_id", "amount", "kind", "n_rows", micros("last_ts").alias("last_us"))
 
 

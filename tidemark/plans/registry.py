@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.ordering import small_input
 from tidemark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,14 +29,10 @@ class Tables:
 
 
     def spread(self, name: str) -> DataFrame:
-        """The table with its rows spread over the cores where it is one small file.
-
-        A small file is a single scan task.  Tables of many files or row groups
-        already have a task each and are returned as they are.
-        """
+        """The table with its rows spread over the cores where its scan has fewer tasks than cores."""
         df = getattr(self, name)
         cores = self.spark.sparkContext.defaultParallelism
-        if small_input(df) and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        if df.rdd.getNumPartitions() < cores:
             return df.repartition(cores, df.columns[0])
         return df
 

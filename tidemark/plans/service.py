@@ -22,8 +22,8 @@ _Q = ", ".join(f"round(quantile_cont(value, {p}), 6) AS {n}" for n, p in sv.LATE
         FROM r WHERE i <= 1000 GROUP BY 1""",
 )
 def latency_summary(t: Tables):
-    recent = sv.last_n_rows(t.events, 1000, "ts", "event_id", ["event_type"], bounded_groups=True)
-    out = sv.latency_summary(recent, "value", ["event_type"], bounded_groups=True)
+    recent = sv.last_n_rows(t.events, 1000, "ts", "event_id", ["event_type"])
+    out = sv.latency_summary(recent, "value", ["event_type"])
     out = sv.sla_check(out, F.lit(0.0), sv.LatencyLimits(160, 500))
     return out.select(
         "event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", *sv.LATENCY_QUANTILES)], "p95_ok", "p99_ok"
@@ -250,7 +250,7 @@ def budget_alerts(t: Tables):
               coalesce((h - r) / h > 0.02, false) AS has_drifted, coalesce((h - r) / h > 0.02 AND (h - r) / h > 0.05, false) AS alerting FROM m""",
 )
 def quality_drift(t: Tables):
-    out = sv.quality_drift(t.events, "value", "ts", "event_id", ["event_type"], 200, 0.02, 0.05, bounded_groups=True)
+    out = sv.quality_drift(t.events, "value", "ts", "event_id", ["event_type"], 200, 0.02, 0.05)
     return out.withColumns({c: F.round(c, 6) for c in ("historical_mean", "recent_mean", "drift")})
 
 

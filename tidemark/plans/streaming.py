@@ -12,9 +12,10 @@ from tidemark.streaming import limits, push, windows
 
 
 def event_stream(t: Tables, *columns: str):
-    """The events table as a file stream with UTC event time."""
-    schema = t.spark.read.parquet(f"{t.sf_dir}/events.parquet").schema
-    rows = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    """The events table, one file or a folder of them, as a file stream with UTC event time."""
+    path = f"{t.sf_dir}/events.parquet"
+    # a stream takes a folder, or a pattern that may match one file
+    rows = t.spark.readStream.schema(t.spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(path[:-1] + "[t]")
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.select(*columns) if columns else rows
 
@@ -47,7 +48,8 @@ def push_ingest(t: Tables):
         push_events(event_stream(t)), sources(t), f"{base}/log", f"{base}/bad", f"{base}/checkpoint", "user_id", "ts", "event_id"
     )
     run.awaitTermination()
-    return t.spark.read.parquet(f"{base}/bad").select("event_id", F.array_join("errors", ";").alias("errors"))
+    rejected = t.spark.read.schema("event_id long, errors array<string>").parquet(f"{base}/bad")
+    return rejected.select("event_id", F.array_join("errors", ";").alias("errors"))
 
 
 @query(
@@ -82,7 +84,7 @@ def stream_routing(t: Tables):
        SELECT user_id, epoch_us(start) AS start_us, count(*)::bigint AS tx_count_last_hour, arg_max(value, ts) AS last_tx_amount FROM s GROUP BY 1, 2""",
 )
 def hourly_windows(t: Tables):
-    out = windows.hourly_features(t.events, "ts", "user_id", "value")
+    out = windows.hourly_features(t.events, "ts", "user_id", "value", ties=["event_id"])
     return out.select("user_id", F.unix_micros("window_start").alias("start_us"), "tx_count_last_hour", "last_tx_amount")
 
 
@@ -99,7 +101,7 @@ def rate_limit(t: Tables):
 )
 def ttl_state(t: Tables):
     rows = t.events.withColumn("is_push", F.col("event_type").isin("click", "view"))
-    out = limits.expiring_table(rows, "user_id", "value", "ts", "is_push")
+    out = limits.expiring_table(rows, "user_id", "value", "ts", "is_push", ["event_id"])
     return out.select("user_id", "value", "pushed", F.unix_micros("written_at").alias("written_us"), F.unix_micros("expire_at").alias("expire_us"))
 
 

@@ -13,15 +13,14 @@ from tidemark.operators.features import clean_categories, derive_features
 def write_features(df: DataFrame, path: str, partition_by: Sequence[str] = (), clean: bool = True) -> None:
     """Clean, derive and write a feature table.
 
-    With partition columns the rows are first brought together per partition
-    value and a hash of the row, so a large partition becomes many files of a
-    sane size and a small one does not become thousands.
+    With partition columns the rows are brought together per partition value;
+    the rebalance cuts a large partition into files of the advisory size and
+    keeps a small one whole.
     """
     out = derive_features(clean_categories(df) if clean else df)
     writer = out.write.mode("overwrite")
     if partition_by:
-        spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-        writer = out.repartition(*partition_by, spread).write.mode("overwrite").partitionBy(*partition_by)
+        writer = out.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by)
     writer.parquet(path)
 
 

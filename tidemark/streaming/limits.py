@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -153,11 +153,12 @@ BATCH_TTL_SECONDS = 24 * 3600
 PUSH_TTL_SECONDS = 3600
 
 
-def expiring_table(df: DataFrame, key: str, value: str, ts: str, pushed: str) -> DataFrame:
-    """Last value per key with its expiry: one hour when pushed, a day when from batch."""
-    at = F.col(ts)
-    last = df.groupBy(key).agg(
-        F.max_by(value, at).alias("value"), F.max_by(pushed, at).alias("pushed"), F.max(at).alias("written_at")
-    )
+def expiring_table(df: DataFrame, key: str, value: str, ts: str, pushed: str, ties: Sequence[str] = ()) -> DataFrame:
+    """Last value per key with its expiry: one hour when pushed, a day when from batch.
+
+    Value and source come from one row; of equal times ``ties`` decide.
+    """
+    newest = F.max_by(F.struct(F.col(value).alias("value"), F.col(pushed).alias("pushed"), F.col(ts).alias("written_at")), F.struct(ts, *ties))
+    last = df.groupBy(key).agg(newest.alias("_n")).select(key, "_n.*")
     ttl = F.when(F.col("pushed"), PUSH_TTL_SECONDS).otherwise(BATCH_TTL_SECONDS)
     return last.withColumn("expire_at", F.col("written_at") + F.make_dt_interval(secs=ttl))

@@ -18,9 +18,12 @@ TX_REQUIRED = ("tx_count_last_hour", "last_tx_amount")
 TX_TYPES = {"tx_count_last_hour": "int", "last_tx_amount": "float", "session_duration_s": "float"}
 
 
-def with_errors(events: DataFrame, payload: str = "payload", required: Sequence[str] = TX_REQUIRED, types: dict[str, str] = TX_TYPES) -> DataFrame:
-    """Add the validation errors of each event; an empty key is an error too."""
-    return push_event_errors(events, payload, required, types)
+def with_errors(
+    events: DataFrame, payload: str = "payload", required: Sequence[str] = TX_REQUIRED, types: dict[str, str] = TX_TYPES,
+    key: str | None = None,
+) -> DataFrame:
+    """Add the validation errors of each event; an empty or missing key is an error too."""
+    return push_event_errors(events, payload, required, types, key)
 
 
 def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,8 +50,9 @@ def newest_per_key(events: DataFrame, key: str, ts: str, order: str, payload: st
 
 
 def delta_rows(newest: DataFrame, key: str, ts: str, payload: str = "payload") -> DataFrame:
-    """One row per key and named feature of the newest event."""
-    return newest.select(key, F.col(ts).alias("ts"), F.explode(F.from_json(payload, "map<string,double>")).alias("feature", "value"))
+    """One row per key and named feature of the newest event: ``text`` as sent, ``value`` where it is a number."""
+    named = newest.select(key, F.col(ts).alias("ts"), F.explode(F.from_json(payload, "map<string,string>")).alias("feature", "text"))
+    return named.withColumn("value", F.col("text").try_cast("double"))
 
 
 def write_delta(events: DataFrame, batch_id: int, path: str, key: str, ts: str, order: str) -> None:
@@ -66,14 +70,14 @@ def latest_features(spark: SparkSession, path: str, key: str, ttl_seconds: int =
 
 
 def fold_deltas(deltas: DataFrame, key: str, ttl_seconds: int = 3600) -> DataFrame:
-    at = F.struct("ts", "batch_id")
-    out = deltas.groupBy(key, "feature").agg(F.max_by("value", at).alias("value"), F.max("ts").alias("ts"))
+    newest = deltas.groupBy(key, "feature").agg(F.max(F.struct("ts", "batch_id", "value", "text")).alias("_n"))
+    out = newest.select(key, "feature", "_n.value", "_n.text", "_n.ts")
     return out.withColumn("expire_at", F.col("ts") + F.make_dt_interval(secs=F.lit(ttl_seconds)))
 
 
 def compact(spark: SparkSession, log: str, base: str, key: str) -> None:
     """Rewrite the log as one delta per (key, feature) in a new folder."""
-    latest = latest_features(spark, log, key).select(key, "ts", "feature", "value").withColumn("batch_id", F.lit(-1).cast("bigint"))
+    latest = latest_features(spark, log, key).select(key, "ts", "feature", "value", "text").withColumn("batch_id", F.lit(-1).cast("bigint"))
     latest.write.mode("errorifexists").partitionBy("batch_id").parquet(base)
 
 
@@ -83,20 +87,22 @@ def start_push_ingest(
 ):
     """Start the ingest: check, route, quarantine the rejects, append the delta.
 
-    Runs until the available files are used up.  The batch is scanned once per
-    sink; counts come from an observation on the way, not from extra jobs.
+    Runs until the available files are used up.  The checked batch is kept while
+    both sinks read it; counts come from an observation on the way.
     """
     def handle(batch: DataFrame, batch_id: int) -> None:
         seen = Observation(f"push_{batch_id}")
         rows = route(batch, sources) if sources is not None else batch
-        rows = with_errors(rows).observe(
+        rows = with_errors(rows, key=key).observe(
             seen, F.count("*").alias("n_events"), F.count_if(F.size("errors") > 0).alias("n_dropped")
         )
+        rows = rows.persist()
         good, bad = split_valid(rows)
         write_delta(good, batch_id, log, key, ts, order)
         bad.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic"
         ).partitionBy("batch_id").parquet(quarantine)
+        rows.unpersist()
         if on_batch is not None:
             on_batch(batch_id, seen.get)
 

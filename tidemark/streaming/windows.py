@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,16 +16,17 @@ MAX_ONLINE_AGE_S = 300
 
 
 def hourly_features(
-    df: DataFrame, ts: str, key: str, amount: str, width: str = "1 hour", slide: str = "5 minutes", watermark: str = "10 minutes"
+    df: DataFrame, ts: str, key: str, amount: str, width: str = "1 hour", slide: str = "5 minutes", watermark: str = "10 minutes",
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Count and last amount per key and sliding window.
+    """Count and last amount per key and sliding window; ``ties`` decide equal times.
 
     On a stream, rows later than the watermark are dropped and a window is
     emitted once it is closed; on a table the watermark has no effect.
     """
     rows = df.withWatermark(ts, watermark) if df.isStreaming else df
     out = rows.groupBy(F.window(ts, width, slide).alias("w"), key).agg(
-        F.count("*").alias("tx_count_last_hour"), F.max_by(amount, ts).alias("last_tx_amount")
+        F.count("*").alias("tx_count_last_hour"), F.max_by(amount, F.struct(ts, *ties)).alias("last_tx_amount")
     )
     return out.select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "tx_count_last_hour", "last_tx_amount")
 
