@@ -37,29 +37,28 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     """
     known = nodes.select(F.col("tree").alias("_t"), F.col("node").alias("_n"))
     start = nodes.join(known, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("parent") == F.col("_n")), "left")
-    jumps = [written(
-        start.select("tree", "node", F.col("_n").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"),
-                     F.lit(1).cast("long").alias("steps"), F.col("_n").alias("parent")), "reply-jumps")]
-    open_before = None
-    while True:
-        left = jumps[-1].where("up is not null").count()
-        # a round that ends no node's way only circles
-        if not left or left == open_before:
-            break
-        open_before = left
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        both = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")), "left")
-        jumps.append(written(both.select(
-            "a.tree", "a.node", F.col("b.up").alias("up"), (F.col("a.score") + F.coalesce(F.col("b.score"), F.lit(0.0))).alias("score"),
-            (F.col("a.steps") + F.coalesce(F.col("b.steps"), F.lit(0))).alias("steps"), "a.parent"), "reply-jumps"))
-    done = jumps[-1].where("up is null")
+    first = written(start.select(
+        "tree", "node", F.col("_n").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"), F.lit(1).cast("long").alias("steps"),
+        F.col("_n").alias("parent")), "reply-jumps")
+    # nodes on their way, one table per round, and all that have met their root
+    jumps, done = [first.where("up is not null")], first.where("up is null")
+    left, before = jumps[0].count(), None
+    # a round that ends no node's way only circles
+    while left and left != before:
+        a, b = jumps[-1].alias("a"), jumps[-1].unionByName(done).alias("b")
+        both = a.join(b, F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
+        moved = written(both.select(
+            "a.tree", "a.node", "b.up", (F.col("a.score") + F.col("b.score")).alias("score"), (F.col("a.steps") + F.col("b.steps")).alias("steps"), "a.parent"
+        ), "reply-jumps")
+        jumps, done = [*jumps, moved.where("up is not null")], done.unionByName(moved.where("up is null"))
+        left, before = jumps[-1].count(), left
     parents = done.select(F.col("tree").alias("_t"), F.col("parent").alias("_n")).where("_n is not null").distinct()
     leaves = done.join(parents, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("node") == F.col("_n")), "left_anti")
     order = Window.partitionBy("tree").orderBy(F.col("score").desc(), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     paths = written(chosen.select("tree", F.col("node").alias("leaf"), "rank", "node", F.col("steps").alias("depth")), "reply-paths")
-    for k in reversed(range(len(jumps) - 1)):
-        p, j = paths.alias("p"), jumps[k].where("up is not null").alias("j")
+    for jump in reversed(jumps[:-1]):
+        p, j = paths.alias("p"), jump.alias("j")
         higher = p.join(j, F.col("p.tree").eqNullSafe(F.col("j.tree")) & (F.col("p.node") == F.col("j.node"))).select(
             "p.tree", "leaf", "rank", F.col("j.up").alias("node"), (F.col("depth") - F.col("j.steps")).alias("depth")
         )
