@@ -38,14 +38,11 @@ def test_max_age_and_shared_views(spark):
 @given(
     feats=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 30)), min_size=1, max_size=40),
     ents=st.lists(st.tuples(st.integers(0, 3), st.integers(0, 30)), min_size=1, max_size=15),
-    limit=st.sampled_from(["1", "67108864"]),
 )
-def test_join_equals_brute_force(spark, feats, ents, limit):
-    spark.conf.set("spark.tidemark.smallInputBytes", limit)
+def test_join_equals_brute_force(spark, feats, ents):
     f = spark.createDataFrame([(k, day(t), i) for i, (k, t) in enumerate(feats)], "id int, fts timestamp, seq int")
     e = spark.createDataFrame([(k, day(t), i) for i, (k, t) in enumerate(ents)], "id int, ts timestamp, row int")
     out = ft.point_in_time_join(e, f, "id", ["seq"], "ts", "fts", ties=["seq"]).collect()
-    spark.conf.unset("spark.tidemark.smallInputBytes")
     assert len(out) == len(ents)
     for r in out:
         seen = [(t, i) for i, (k, t) in enumerate(feats) if k == r["id"] and day(t) <= r["ts"]]

@@ -20,29 +20,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.hashing import md5_bucket
-from tidemark.functions.ordering import hash_sample, quantiles
+from tidemark.functions.ordering import quantiles
 from tidemark.operators.evaluation import stratified_folds
 from tidemark.operators.governance import table_fingerprint
 
 # --- batch scoring ------------------------------------------------------------
 
-CHUNK_ROWS = 1024
-
 
 def batch_score(df: DataFrame, predict: Callable[[pd.DataFrame], np.ndarray], features: Sequence[str], version: str, threshold: float = 0.5) -> DataFrame:
-    """Input plus score, label and model version; ``predict`` sees Arrow batches.
+    """Input plus score, label and model version; ``predict`` sees Arrow batches of the features alone.
 
     Set ``spark.sql.execution.arrow.maxRecordsPerBatch`` for the chunk size;
     the model travels with the function.
     """
     names = list(features)
-    schema = StructType([*df.schema.fields, StructField("score", DoubleType())])
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(score=np.asarray(predict(batch[names]), dtype=float))
+    @F.pandas_udf("double")
+    def score(rows: pd.DataFrame) -> pd.Series:
+        return pd.Series(np.asarray(predict(rows[names]), dtype=float))
 
-    out = df.mapInPandas(score, schema)
+    out = df.withColumn("score", score(F.struct(*[F.col(f"`{c}`") for c in names])))
     return out.withColumns({"predicted_label": (F.col("score") >= threshold).cast("int"), "model_version": F.lit(version)})
 
 
@@ -188,7 +185,9 @@ def fit_isolation_trees(df: DataFrame, features: Sequence[str], trees: int = N_T
     """
     names = list(features)
     clean = df.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
-    picked = hash_sample(clean, trees * rows, names, "_cellno").withColumn("_tree", F.pmod("_cellno", F.lit(trees)))
+    # by row, not by content: copies count as often as they stand in the table
+    numbered = clean.withColumn("_row", F.xxhash64(F.monotonically_increasing_id()))
+    picked = numbered.orderBy("_row").limit(trees * rows).withColumn("_tree", F.pmod(F.xxhash64("_row"), F.lit(trees)))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["_tree"].iloc[0])

@@ -10,12 +10,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidemark.functions.hashing import short_sha256
 from tidemark.functions.ordering import top_k
+from tidemark.operators.governance import row_number_of
 from tidemark.functions.text import (
     chunk_count, fixed_chunks, missing_names, pattern_hits, recursive_chunks, render, sentences, terms,
 )
@@ -245,11 +248,9 @@ def _batch_scorer(sent, k: int):
 
 
 def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
-    """Mean vector per group; one value per (group, position) reaches the final step."""
-    cells = df.select(group, F.posexplode(vector).alias("_i", "_v")).groupBy(group, "_i").agg(F.avg("_v").alias("_m"))
-    # One entry per vector position.
-    out = cells.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_c"))
-    return out.select(group, F.transform("_c", lambda x: x["_m"]).alias("centroid"))
+    """Mean vector per group, summed on the map side."""
+    out = df.groupBy(group).agg(Summarizer.mean(array_to_vector(F.col(vector).cast("array<double>"))).alias("_c"))
+    return out.select(group, vector_to_array("_c").alias("centroid"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -329,7 +330,7 @@ def chunk_documents(
 def index_version(chunks: DataFrame, documents: DataFrame, version: str, model: str, strategy: str) -> DataFrame:
     """One row: counts, the short hash of the build and a content fingerprint."""
     n_docs = documents.agg(F.count("*").alias("n"))
-    print_ = F.sum(F.xxhash64(*chunks.columns).cast("decimal(38,0)"))
+    print_ = F.sum(row_number_of(chunks.columns))
     out = chunks.agg(F.count("*").alias("num_chunks"), F.coalesce(print_, F.lit(0).cast("decimal(38,0)")).alias("fingerprint"))
     out = out.withColumn("num_documents", n_docs.scalar())
     raw = F.concat_ws(":", F.lit(model), F.lit(strategy), F.col("num_chunks").cast("string"))

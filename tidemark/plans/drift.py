@@ -58,20 +58,13 @@ def keyed_periods(t: Tables):
     return rows.where(first).drop("ts"), rows.where(~first).drop("ts")
 
 
-# The first 500 rows per feature and side in hash order: the operator's own sample.
 _MMD = f"""
-    {PERIODS_SQL.replace("SELECT day(ts)", "SELECT event_id, day(ts)").replace("SELECT is_ref, '", "SELECT event_id, is_ref, '")
-      .replace("SELECT is_ref, 'hour'", "SELECT event_id, is_ref, 'hour'")},
-    mh AS (SELECT *, row_number() OVER (PARTITION BY feature, is_ref ORDER BY ('0x' || substr(md5(event_id::varchar), 1, 8))::bigint, event_id) AS i
-           FROM long WHERE v IS NOT NULL),
-    ms AS (SELECT feature, is_ref, v, i FROM mh WHERE i <= 500),
-    mk AS (SELECT a.feature,
-             sum(exp(-(a.v - b.v) * (a.v - b.v))) FILTER (a.is_ref AND b.is_ref AND a.i <> b.i) AS rr,
-             sum(exp(-(a.v - b.v) * (a.v - b.v))) FILTER (NOT a.is_ref AND NOT b.is_ref AND a.i <> b.i) AS cc,
-             sum(exp(-(a.v - b.v) * (a.v - b.v))) FILTER (a.is_ref AND NOT b.is_ref) AS rc
-           FROM ms a JOIN ms b ON a.feature = b.feature GROUP BY 1),
-    mn AS (SELECT feature, count(*) FILTER (is_ref) AS n, count(*) FILTER (NOT is_ref) AS m FROM ms GROUP BY 1),
-    mmd AS (SELECT feature, sqrt(abs(rr / (n * (n - 1)) + cc / (m * (m - 1)) - 2 * rc / (n * m))) AS mmd FROM mk JOIN mn USING (feature))
+    {PERIODS_SQL},
+    mw AS (SELECT feature, w, sum(cos(w * v)) FILTER (is_ref) AS cx, sum(sin(w * v)) FILTER (is_ref) AS sx, sum(cos(w * v)) FILTER (NOT is_ref) AS cy,
+             sum(sin(w * v)) FILTER (NOT is_ref) AS sy, count(*) FILTER (is_ref) AS n, count(*) FILTER (NOT is_ref) AS m
+           FROM long, (SELECT unnest({dr.fourier_frequencies()}) AS w) WHERE v IS NOT NULL GROUP BY 1, 2),
+    mk AS (SELECT feature, max(n)::double AS n, max(m)::double AS m, avg(cx * cx + sx * sx) AS xx, avg(cy * cy + sy * sy) AS yy, avg(cx * cy + sx * sy) AS xy FROM mw GROUP BY 1),
+    mmd AS (SELECT feature, sqrt(abs((xx - n) / (n * (n - 1)) + (yy - m) / (m * (m - 1)) - 2 * xy / (n * m))) AS mmd FROM mk)
 """
 
 
@@ -122,7 +115,7 @@ def js_distance(t: Tables):
 @query("a14_mmd_rbf", f"WITH {_MMD} SELECT feature, round(mmd, 6) AS mmd FROM mmd")
 def mmd_rbf(t: Tables):
     a, b = keyed_periods(t)
-    return dr.mmd_rbf(dr.pair(a, b, FEATURES, ["event_id"]), "event_id").withColumn("mmd", F.round("mmd", 6))
+    return dr.mmd_rbf(dr.pair(a, b, FEATURES, ["event_id"])).withColumn("mmd", F.round("mmd", 6))
 
 
 @query("a15_two_sample_auc", f"WITH {LONG_SQL}, {AUC_SQL} SELECT feature, round(auc, 9) AS classifier_auc FROM auc")
