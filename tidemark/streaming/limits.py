@@ -75,19 +75,25 @@ def rate_limit(
 
 
 class RateLimiter(StatefulProcessor):
-    """Accepted request times per client as list state; the list is bounded by the limit."""
+    """Accepted request times per client as list state; the list is bounded by the limit.
 
-    def __init__(self, max_requests: int = MAX_REQUESTS, window_seconds: float = WINDOW_SECONDS):
+    All rows of a client in a micro-batch are put in time order first.  With
+    ``idle_seconds``, a client that stays away for so long is forgotten.
+    """
+
+    def __init__(self, max_requests: int = MAX_REQUESTS, window_seconds: float = WINDOW_SECONDS, idle_seconds: float | None = None):
         self.max_requests = max_requests
         self.window_us = int(window_seconds * 1_000_000)
+        self.idle_ms = None if idle_seconds is None else int(max(window_seconds, idle_seconds) * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("accepted", StructType([StructField("us", LongType())]))
+        self.times = handle.getListState("accepted", StructType([StructField("us", LongType())]), self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         accepted = deque(t[0] for t in self.times.get())
-        for batch in rows:
-            batch = batch.sort_values(["us", "request"], kind="stable")
+        arrived = list(rows)
+        if arrived:
+            batch = pd.concat(arrived).sort_values(["us", "request"], kind="stable")
             allowed, remaining = [], []
             for us in batch["us"]:
                 while accepted and accepted[0] <= us - self.window_us:
@@ -110,11 +116,17 @@ class RateLimiter(StatefulProcessor):
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_rate_limit(stream: DataFrame, max_requests: int = MAX_REQUESTS, window_seconds: float = WINDOW_SECONDS) -> DataFrame:
-    """Streaming form on (client bigint, request bigint, us bigint); needs the RocksDB state store."""
+def stream_rate_limit(
+    stream: DataFrame, max_requests: int = MAX_REQUESTS, window_seconds: float = WINDOW_SECONDS, idle_seconds: float | None = None
+) -> DataFrame:
+    """Streaming form on (client bigint, request bigint, us bigint); needs the RocksDB state store.
+
+    Set ``idle_seconds`` on a stream that runs on; a run over the files at hand
+    would wait for the clients to expire.
+    """
     out = "client bigint, request bigint, allowed boolean, remaining bigint"
     return stream.groupBy("client").transformWithStateInPandas(
-        RateLimiter(max_requests, window_seconds), out, "append", "None"
+        RateLimiter(max_requests, window_seconds, idle_seconds), out, "append", "None" if idle_seconds is None else "ProcessingTime"
     )
 
 
