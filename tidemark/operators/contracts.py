@@ -120,31 +120,46 @@ def _failures(df: DataFrame, rule: Rule) -> dict[str, Column]:
     return out
 
 
+def with_violations(df: DataFrame, contract: Contract, name: str = "_violations") -> DataFrame:
+    """Add the broken checks of each row as an array of (column, check, value), in one pass.
+
+    Uniqueness is not seen here.  The array comes through a generator, so that a
+    later filter on it is not moved below it and does not repeat every check.
+    """
+    checks = [
+        F.when(F.coalesce(cond, F.lit(False)), F.struct(
+            F.lit(r.column).alias("column"), F.lit(n).alias("check"), F.col(f"`{r.column}`").cast("string").alias("value")))
+        for r in contract.rules if r.column in df.columns for n, cond in _failures(df, r).items()
+    ]
+    found = F.filter(F.array(*checks), lambda c: c.isNotNull())
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], F.explode(F.array(found)).alias(name))
+
+
 def row_violations(df: DataFrame, contract: Contract, keys: Sequence[str]) -> DataFrame:
     """Every broken check of every row: (keys, column, check, value).
 
     Row checks are one narrow pass; uniqueness groups by the key first, so a
     key with many copies is combined before the shuffle.
     """
-    present = [r for r in contract.rules if r.column in df.columns]
-    failures = [(r.column, n, F.coalesce(cond, F.lit(False))) for r in present for n, cond in _failures(df, r).items()]
-    checks = [
-        F.when(cond, F.struct(F.lit(c).alias("column"), F.lit(n).alias("check"), F.col(f"`{c}`").cast("string").alias("value")))
-        for c, n, cond in failures
-    ]
-    # Good rows leave before the check list of a row is built.
-    any_broken = reduce(lambda a, b: a | b, [cond for _, _, cond in failures])
-    broken = df.where(any_broken).select(*keys, F.explode(F.array(*checks)).alias("_v")).where(F.col("_v").isNotNull())
-    out = broken.select(*keys, "_v.*")
-    for r in present:
-        if not r.unique:
+    checked = with_violations(df, contract).select(*keys, "_violations")
+    return checked.select(*keys, F.explode("_violations").alias("_v")).select(*keys, "_v.*").unionByName(_copies(df, contract, keys))
+
+
+def _copies(df: DataFrame, contract: Contract, keys: Sequence[str]) -> DataFrame:
+    """Rows whose value of a unique column stands in more rows."""
+    out = None
+    for r in contract.rules:
+        if not r.unique or r.column not in df.columns:
             continue
-        dup = df.groupBy(F.col(f"`{r.column}`").alias("_same")).agg(F.count("*").alias("_n")).where("_n > 1").select("_same")
-        rows = df.join(dup, F.col(f"`{r.column}`") == F.col("_same"), "left_semi").select(
-            *keys, F.lit(r.column).alias("column"), F.lit("unique").alias("check"),
-            F.col(f"`{r.column}`").cast("string").alias("value"),
+        column = F.col(f"`{r.column}`")
+        dup = df.groupBy(column.alias("_same")).agg(F.count("*").alias("_n")).where("_n > 1").select("_same")
+        rows = df.join(dup, column == F.col("_same"), "left_semi").select(
+            *keys, F.lit(r.column).alias("column"), F.lit("unique").alias("check"), column.cast("string").alias("value")
         )
-        out = out.unionByName(rows)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        text = [F.lit(None).cast("string").alias(c) for c in ("column", "check", "value")]
+        out = df.select(*keys, *text).limit(0)
     return out
 
 

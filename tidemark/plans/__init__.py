@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tidemark.plans import registry
 
-MODULES = ["features", "quality", "evaluation", "drift", "labels", "service", "retrieval", "governance", "streaming", "models"]
+MODULES = ["features", "quality", "evaluation", "drift", "labels", "service", "retrieval", "governance", "streaming", "models", "contracts"]
 
 
 def _load() -> None:
