@@ -145,14 +145,16 @@ def row_violations(df: DataFrame, contract: Contract, keys: Sequence[str]) -> Da
     return checked.select(*keys, F.explode("_violations").alias("_v")).select(*keys, "_v.*").unionByName(_copies(df, contract, keys))
 
 
+def _repeated(df: DataFrame, contract: Contract) -> list[tuple[Rule, Column, DataFrame]]:
+    """Each unique rule with its column and the values that stand in more than one row."""
+    found = [(r, F.col(f"`{r.column}`")) for r in contract.rules if r.unique and r.column in df.columns]
+    return [(r, c, df.groupBy(c.alias("_same")).agg(F.count("*").alias("_n")).where("_n > 1").select("_same")) for r, c in found]
+
+
 def _copies(df: DataFrame, contract: Contract, keys: Sequence[str]) -> DataFrame:
     """Rows whose value of a unique column stands in more rows."""
     out = None
-    for r in contract.rules:
-        if not r.unique or r.column not in df.columns:
-            continue
-        column = F.col(f"`{r.column}`")
-        dup = df.groupBy(column.alias("_same")).agg(F.count("*").alias("_n")).where("_n > 1").select("_same")
+    for r, column, dup in _repeated(df, contract):
         rows = df.join(dup, column == F.col("_same"), "left_semi").select(
             *keys, F.lit(r.column).alias("column"), F.lit("unique").alias("check"), column.cast("string").alias("value")
         )
@@ -307,8 +309,11 @@ def enforce(df: DataFrame, contract: Contract, keys: Sequence[str], now: datetim
     single action that raises in strict mode.
     """
     violations = row_violations(df, contract, keys)
-    bad = violations.select(*keys).distinct()
-    passed = df.join(bad, list(keys), "left_anti") if contract.mode == "strict" else df
+    passed = df
+    if contract.mode == "strict":
+        passed = with_violations(df, contract).where(F.size("_violations") == 0).drop("_violations")
+        for _, column, dup in _repeated(df, contract):
+            passed = passed.join(dup, column == F.col("_same"), "left_anti")
     age = (
         (now - contract.created_at).total_seconds() / 3600 if contract.created_at is not None else 0.0
     )
