@@ -95,9 +95,13 @@ def test_feedback_needs_ten_rows_and_loop_moves_the_baseline(spark):
 
 def test_latency_last_n_and_bucket_quantile(spark):
     df = spark.createDataFrame([(i, T0 + timedelta(seconds=i), float(i), "a") for i in range(100)], "id int, ts timestamp, v double, g string")
-    last = sv.last_n_rows(df, 10, "ts", "id", ["g"], True)
+    last = sv.last_n_rows(df, 10, "ts", "id", ["g"])
     assert sorted(r["id"] for r in last.collect()) == list(range(90, 100))
     assert sorted(r["id"] for r in sv.last_n_rows(df, 10, "ts", "id").collect()) == list(range(90, 100))
+    nulls = df.withColumn("g", F.when(F.col("id") % 2 == 0, "a"))
+    assert {r["g"]: r["p50"] for r in sv.latency_summary(nulls, "v", ["g"]).collect()} == {"a": 49.0, None: 50.0}
+    assert sorted(r["id"] for r in sv.last_n_rows(nulls, 2, "ts", "id", ["g"]).collect()) == [96, 97, 98, 99]
+    assert sv.quality_drift(nulls, "v", "ts", "id", ["g"], 5).count() == 2
     s = sv.latency_summary(df, "v").first()
     assert s["p50"] == pytest.approx(49.5) and s["p99"] == pytest.approx(98.01)
     empty = sv.latency_summary(df.where("false"), "v").first()
