@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, text_of, written
+from tidemark.llm.common import WORD, bounded_sample, text_of, written
 
 UNKNOWN = "unknown"
 #: Variants of each template that train (even) and calibrate (odd), and the share of words each leaves out, in percent.
@@ -120,7 +120,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Li
     drop = F.filter(words, lambda w, i: F.pmod(F.xxhash64("variant", i, w), F.lit(100)) >= F.when(F.col("variant") < 2, 0).otherwise(DROPPED))
     made = _templates(docs).withColumn("variant", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))))
     made = made.select("family", "variant", F.array_join(drop, " ").alias("text"))
-    sample = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")).orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(UNKNOWN_DOCUMENTS)
+    sample = bounded_sample(docs.select(F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text")), UNKNOWN_DOCUMENTS, ["id", "text"])
     plain = with_terms(sample.select(F.explode(paragraphs(F.col("text"))).alias("text")))
     listed = [r["grams"] for r in template_grams(docs).collect()]
     known = sorted({g for grams in listed for g in grams})

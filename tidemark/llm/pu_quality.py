@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import text_of, written
+from tidemark.llm.common import bounded_sample, text_of, written
 from tidemark.llm.spans import Hashes, steps, words
 
 #: Bounds of the fit: labelled rows and unlabelled rows, the first in hash order of their ids.
@@ -204,9 +204,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     measured = written(given.mapInArrow(_measure, "doc_id long, features binary"), "quality-features")
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     learn = measured.where(F.col("doc_id").isNotNull() & ~held_out())
-    order = [F.xxhash64("doc_id"), "doc_id", "features"]
-    seen = _matrix(learn.join(known, "doc_id").orderBy(*order).limit(LABELLED_ROWS), ["quality"])
-    rest = _matrix(learn.join(known, "doc_id", "left_anti").orderBy(*order).limit(UNLABELLED_ROWS), [])
+    seen = _matrix(bounded_sample(learn.join(known, "doc_id"), LABELLED_ROWS, ["doc_id", "features"]), ["quality"])
+    rest = _matrix(bounded_sample(learn.join(known, "doc_id", "left_anti"), UNLABELLED_ROWS, ["doc_id", "features"]), [])
 
     def rows(t: pa.Table) -> np.ndarray:
         return np.frombuffer(b"".join(t["features"].to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)

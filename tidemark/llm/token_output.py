@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import many, text_of, written
+from tidemark.llm.common import bounded_sample, many, text_of, written
 from tidemark.llm.tokens import encoder
 
 #: Text bytes of a shard; documents and id bytes of a block.
@@ -43,8 +43,8 @@ def serialized(ids: np.ndarray, width: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, text_col: str, vocabulary: str, end_id: int, width: int, folded: bool) -> bytes:
     """A dictionary from serialized ids of a sample of whole documents; plain content where the sample is too small."""
-    text = text_of(text_col)
-    sample = docs.select(text.alias("text")).where(F.octet_length("text") <= DICT_DOC_BYTES).orderBy(F.xxhash64("text"), "text").limit(DICT_SAMPLE)
+    short = docs.where(F.octet_length(text_col) <= DICT_DOC_BYTES)
+    sample = bounded_sample(short.select("doc_id", F.col(text_col).alias("text")), DICT_SAMPLE, ["doc_id", "text"])
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
