@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import struct_of, text_of, with_verdict, written
@@ -67,16 +67,20 @@ def judge_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prefixes = shared_slots(level1.where(shared_length), F.col("prefix_slot"), "prefixes")
     level2 = level1.join(prefixes, F.when(shared_length, F.shiftright("prefix_slot", 6)) == F.col("prefixes"), "left")
     digest = F.when(shared_length & in_slots(F.col("prefix_slot"), "prefixes"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    # row tags are read back as they were written, so a group's one kept row is the same for every reader
-    rows = written(level2.select(F.monotonically_increasing_id().alias("row"), "id", digest.alias("digest"), "doc"), "exact-rows")
+    rows = level2.select("id", digest.alias("digest"), "doc")
+    hashed, alone = rows.where("digest is not null"), rows.where("digest is null")
 
-    groups = rows.where("digest is not null").groupBy("digest").agg(
-        F.count("*").alias("group_size"), F.max(F.struct("id", "row")).alias("keep")
-    )
+    by_id = hashed.groupBy("digest", "id").agg(F.count("*").alias("n"))
+    groups = by_id.groupBy("digest").agg(F.sum("n").alias("group_size"), F.max(F.struct("id", "n")).alias("keep"))
+    # only groups of two rows or more are needed; written, so that the join below can split a large one
     groups = written(groups.where("group_size > 1"), "exact-groups")
-    hashed = rows.where("digest is not null").join(groups, "digest", "left")
-    alone = rows.where("digest is null").withColumns({"group_size": F.lit(None).cast("long"), "keep": F.lit(None).cast(groups.schema["keep"].dataType)})
-    return hashed.unionByName(alone).select(
-        "doc", F.coalesce("keep.id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(F.col("row") == F.col("keep.row"), F.lit(True)).alias("kept"),
+    joined = hashed.join(groups, "digest", "left").withColumn("stays", F.col("id").eqNullSafe(F.col("keep.id")) | F.col("keep").isNull())
+    again = F.col("stays") & (F.coalesce("keep.n", F.lit(0)) > 1)
+    # rows that repeat the kept id and its text: one of them stays
+    one = F.row_number().over(Window.partitionBy("digest").orderBy("id")) == 1
+    judged = joined.where(~again).withColumn("kept", F.col("stays")).unionByName(joined.where(again).withColumn("kept", one))
+    empty = {"group_size": F.lit(None).cast("long"), "keep": F.lit(None).cast(groups.schema["keep"].dataType), "stays": F.lit(True), "kept": F.lit(True)}
+    return judged.unionByName(alone.withColumns(empty)).select(
+        "doc", F.when(F.col("keep").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), "kept",
     )

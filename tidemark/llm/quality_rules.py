@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, struct_of, text_of, with_verdict, words_of, written
+from tidemark.llm.common import WORD, parted, struct_of, text_of, with_verdict, words_of, written
 
 ALPHA, DELTA = 0.01, 0.05
 #: What one rejected good document costs, in rejected bad ones.
@@ -145,15 +145,18 @@ def judge_quality(
         struct_of(docs.columns if carry is None else carry).alias("doc"), F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{stratum_col}`").cast("string"), F.lit("")).alias("stratum"), F.col(f"`{text_col}`").alias("text"),
     )
-    rows = written(measured(packed, "text").drop("text"), "quality-rows")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("id")).agg((F.min("quality") == 1).alias("good"))
+    known = written(known, "quality-labels")
+    # only labelled documents are measured for the cutoffs; the others pass by a bitmap of ids
+    maybe, _ = parted(packed.select("id", "stratum", "text"), "id", known)
     half = F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 1) < "8"
-    labelled = rows.select("id", "stratum", "values").join(known, "id").select(
+    labelled = measured(maybe, "text").select("id", "stratum", "values").join(known, "id").select(
         "stratum", F.explode("values").alias("v"), "good", half.alias("certify")
     )
     cutoffs = select_cutoffs(labelled.select("stratum", "v.rule", "v.value", "good", "certify"), alpha, delta)
     by_stratum = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
     # a small table: where its files are below the session's threshold, Spark broadcasts it
+    rows = measured(packed, "text").drop("text")
     judged = rows.join(written(by_stratum, "quality-cutoffs"), "stratum", "left")
     failed = F.filter("values", lambda v: F.coalesce(v["value"] > F.try_element_at("cutoffs", v["rule"]), F.lit(False)))
     judged = judged.withColumn("rules_failed", F.transform(failed, lambda v: v["rule"]))
