@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from odd_documents import COLUMNS, VOCABULARY, odd_rows, prose
+from tidemark.llm import near_dedup as near_dedup_module
 from tidemark.llm.chat import best_paths, format_trees, format_turns, masked_text, read_turns, thread_nodes
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.graph import components
@@ -278,6 +279,37 @@ def test_near_dedup(spark, which, size):
         assert all(r["kept"] for r in empty) and got[0]["row"] == "r"
 
 
+def star(n, first=0, base=True, seed=3):
+    """A base text and ``n`` copies, each with five words of its own: 0.8 or more to the base, less to each other."""
+    rng = random.Random(seed)
+    own = [f"w{seed}x{k}" for k in range(203)]
+    rows = [(first, " ".join(own))] if base else []
+    for k in range(1, n + 1):
+        text = list(own)
+        for place in rng.sample(range(4, 199, 5), 5):
+            text[place] = f"c{seed}x{k}x{place}"
+        rows.append((first + k, " ".join(text)))
+    return rows
+
+
+@pytest.mark.parametrize("n", [50, 300, 1000])
+def test_near_dedup_of_a_star(spark, n):
+    rows = star(n)
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=4).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == collections.Counter(plain_near(rows, 4))
+    assert [r["doc_id"] for r in got if r["kept"]] == [0]
+
+
+def test_near_dedup_in_a_crowd(spark, monkeypatch):
+    """Pairs and a second star inside a crowd that links with nothing, in many blocks."""
+    monkeypatch.setattr(near_dedup_module, "BLOCK_ROWS", 50)
+    rows = star(300, base=False)
+    rows += [(1000 + i, f"{text} tail") for i, text in rows[::10]]
+    rows += star(80, first=2000, seed=4)
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size=4).collect()
+    assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == collections.Counter(plain_near(rows, 4))
+
+
 def test_near_dedup_of_nothing(none):
     assert near_dedup(none).count() == 0
 

@@ -5,6 +5,11 @@ from 4t on, round and round.  Neighbours in an order that share a prefix of four
 values or more are candidates.  In a thin region these are all texts with that
 prefix; in a crowded one sorting brings those together that share more of it,
 so the depth follows the crowd.  Candidates are confirmed on full sets.
+
+A prefix that more texts share than a neighbour window holds is a crowded run.
+Where its texts do not form one component yet, all are compared with the run's
+best linked text, and those of different components then with each other, in
+blocks of bounded size: no pair with a common prefix is left out.
 """
 
 from __future__ import annotations
@@ -30,6 +35,8 @@ NEIGHBOURS = 4
 MARGIN = 0.2
 #: Partners per text that are confirmed first; the rest only where they may join two components.
 FIRST = 2
+#: Rows, and bytes of shingle sets, of a block of a crowded run.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 16 << 20
 
 VERDICT = ["n_shingles", "component_id", "kept"]
 
@@ -124,7 +131,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """``a, b, votes``: pairs of rows that are neighbours in ``votes`` orders (at most 256 partners per row)."""
+    """``a, b, votes``: pairs of rows that are neighbours in ``votes`` orders (at most 256 partners per row; see ``crowded_runs``)."""
     sorted_rows = signed.mapInArrow(_orders, "tree int, turned binary, row long")
     parts = signed.sparkSession.conf.get("spark.sql.shuffle.partitions")
     sorted_rows = sorted_rows.repartitionByRange(int(parts), "tree", "turned", "row").sortWithinPartitions("tree", "turned", "row")
@@ -169,23 +176,125 @@ def _sets(size: int):
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [np.unique(h[a:z]).tobytes() for h, at in shingle_sets(b["text"], size) for a, z in zip(at[:-1], at[1:], strict=True)]
-            yield pa.record_batch({"row": b["row"], "shingles": pa.array(out, pa.binary())})
+            yield pa.record_batch({"row": b["row"], "bytes": pa.array([len(x) for x in out], pa.int64()), "shingles": pa.array(out, pa.binary())})
 
     return made
 
 
+def _sets_of(texts: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    near, _ = parted(texts, "row", members)
+    return written(near.join(members, "row", "left_semi").select("row", "text").mapInArrow(_sets(size), "row long, bytes long, shingles binary"), "near-sets")
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each signature's prefix in each order."""
+    for b in batches:
+        signed = np.frombuffer(b"".join(b["signature"].to_pylist()), ">u2").reshape(b.num_rows, VALUES)
+        for t in range(ORDERS):
+            head = np.ascontiguousarray(np.roll(signed, -t * (VALUES // ORDERS), axis=1)[:, :PREFIX]).view("<i8").ravel()
+            yield pa.record_batch({"tree": pa.array(np.full(b.num_rows, t, np.int32)), "head": pa.array(head), "row": b["row"]})
+
+
+def crowded_runs(signed: DataFrame) -> DataFrame:
+    """``run, row``: the rows of each prefix that more rows share than a neighbour window holds."""
+    heads = signed.select("row", "signature").mapInArrow(_prefixes, "tree int, head long, row long").select(F.xxhash64("tree", "head").alias("run"), "row")
+    runs = written(heads.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > NEIGHBOURS + 1).select("run"), "near-runs")
+    some, _ = parted(heads, "run", runs)
+    return written(some.join(runs, "run", "left_semi"), "near-crowded")
+
+
+def _open_runs(crowded: DataFrame, root: DataFrame) -> DataFrame:
+    """``run, row, root`` of the runs that hold several components; of runs with the same rows, one."""
+    here = crowded.join(root.withColumnRenamed("node", "row"), "row", "left").select("run", "row", F.coalesce("root", "row").alias("root"))
+    runs = here.groupBy("run").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("mark"),
+    )
+    once = runs.where("low <> high").groupBy("n", "mark").agg(F.min("run").alias("run"))
+    return written(here.join(once.select("run"), "run", "left_semi"), "near-open")
+
+
+def _linked(percent: int):
+    """Confirmed links of a cell that join two components: of side 0 with side 1, or inside side 0 where it is alone."""
+
+    def compare(cell: pa.Table) -> pa.Table:
+        side, row = (cell[c].to_numpy() for c in ("side", "row"))
+        _, group = np.unique(cell["root"].to_numpy(), return_inverse=True)
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for c in cell["shingles"].chunks for v in c]
+        size = np.array([len(x) for x in sets])
+        at = np.append(0, np.cumsum(size))
+        codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        own, two = np.zeros(int(codes.max()) + 1, bool), bool((side == 1).any())
+        a, b = [], []
+        for x in np.flatnonzero(side == 0):
+            other = group != group[x]
+            other &= side == 1 if two else np.arange(len(row)) > x
+            if not other.any():
+                continue
+            mine = codes[at[x] : at[x + 1]]
+            own[mine] = True
+            common = np.add.reduceat(own[codes], at[:-1], dtype=np.int64)
+            own[mine] = False
+            for y in np.flatnonzero(other & (100 * common >= percent * (size + size[x] - common))):
+                if group[y] != group[x]:
+                    a.append(min(row[x], row[y]))
+                    b.append(max(row[x], row[y]))
+                    group[group == group[y]] = group[x]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return compare
+
+
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """``key, blocks``: how many blocks the rows of a key make."""
+    count = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES))
+    return rows.groupBy(key).agg(count.cast("int").alias("blocks"))
+
+
+def _compared(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` found in cells ``key, i, j, side, row, root``."""
+    filled = cells.join(sets.select("row", "shingles"), "row")
+    return written(filled.groupBy("key", "i", "j").applyInArrow(_linked(percent), "a long, b long").distinct(), "near-links")
+
+
+def hub_links(rows: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the rows of each run with its row that has the most links."""
+    degree = found.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
+    ranked = rows.join(degree, "row", "left")
+    hubs = ranked.groupBy("run").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("row").alias("hub"), F.col("root").alias("hub_root"))).alias("best"))
+    pairs = rows.join(hubs.select("run", "best.hub", "best.hub_root"), "run").where("root <> hub_root").select("hub", "hub_root", "row", "root").distinct()
+    pairs = written(pairs.join(sets.select("row", "bytes"), "row"), "near-hubs")
+    blocks = written(_blocks(pairs, "hub").join(pairs.select("hub", "hub_root").distinct(), "hub"), "near-blocks")
+    spread = pairs.join(blocks.select("hub", "blocks"), "hub").select(
+        F.col("hub").alias("key"), F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("i"), F.lit(0).alias("j"), F.lit(1).alias("side"), "row", "root"
+    )
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    heads = blocks.select(F.col("hub").alias("key"), each.alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), F.col("hub").alias("row"), F.col("hub_root").alias("root"))
+    return _compared(spread.unionByName(heads), sets, percent)
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of each run: every block of its rows meets every other."""
+    sized = written(rows.join(sets.select("row", "bytes"), "row"), "near-sized")
+    dealt = sized.join(_blocks(sized, "run"), "run").withColumn("own", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+    met = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = met.select(
+        F.col("run").alias("key"), F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"), (F.col("own") > F.col("met")).cast("int").alias("side"), "row", "root"
+    )
+    return _compared(cells, sets, percent)
+
+
 def links(texts: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
     """``node, root`` of all distinct texts that are linked with another.
 
     Each text's best partners are confirmed first.  Of the other candidates only
     those between different components can change the result; all of them are
-    confirmed then.
+    confirmed then.  Crowded runs that still hold several components are compared
+    as a whole.
     """
     found = written(candidate_pairs(signed), "near-pairs")
     pairs = written(likely(found, signed, percent / 100), "near-likely")
     members = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    near, _ = parted(texts, "row", members)
-    sets = written(near.join(members, "row", "left_semi").select("row", "text").mapInArrow(_sets(size), "row long, shingles binary"), "near-sets")
+    sets = _sets_of(texts, members, size)
     ends = pairs.select(F.col("a").alias("row"), "a", "b", "votes").unionByName(pairs.select(F.col("b").alias("row"), "a", "b", "votes"))
     # at most 256 partners a row
     best = Window.partitionBy("row").orderBy(F.col("votes").desc(), "a", "b")
@@ -197,7 +306,18 @@ def links(texts: DataFrame, signed: DataFrame, size: int, percent: int) -> DataF
         rest = rest.join(root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
     apart = ~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))
     second = written(confirmed(rest.where(apart).select("a", "b"), sets, percent), "near-links")
-    return components(first.unionByName(second))
+    found = first.unionByName(second)
+    root = components(found)
+    crowded = crowded_runs(signed)
+    rows = _open_runs(crowded, root)
+    if rows.isEmpty():
+        return root
+    members = rows.select("row").distinct()
+    sets = sets.unionByName(_sets_of(texts, members.join(sets.select("row"), "row", "left_anti"), size))
+    found = found.unionByName(hub_links(rows, found, sets, percent))
+    root = components(found)
+    rows = _open_runs(crowded, root)
+    return root if rows.isEmpty() else components(found.unionByName(block_links(rows, sets, percent)))
 
 
 def near_dedup(
