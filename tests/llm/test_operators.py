@@ -279,14 +279,14 @@ def test_near_dedup(spark, which, size):
         assert all(r["kept"] for r in empty) and got[0]["row"] == "r"
 
 
-def star(n, first=0, base=True, seed=3):
-    """A base text and ``n`` copies, each with five words of its own: 0.8 or more to the base, less to each other."""
+def star(n, first=0, base=True, seed=3, changed=5):
+    """A base text and ``n`` copies, each with a few words of its own: 0.8 or more to the base, less to each other."""
     rng = random.Random(seed)
     own = [f"w{seed}x{k}" for k in range(203)]
     rows = [(first, " ".join(own))] if base else []
     for k in range(1, n + 1):
         text = list(own)
-        for place in rng.sample(range(4, 199, 5), 5):
+        for place in rng.sample(range(4, 199, 5), changed):
             text[place] = f"c{seed}x{k}x{place}"
         rows.append((first + k, " ".join(text)))
     return rows

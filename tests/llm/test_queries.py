@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from harness import check, duck
 from odd_documents import COLUMNS, VOCABULARY, odd_rows
-from test_operators import plain_base, plain_near, words
+from test_operators import plain_base, plain_near, star, words
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -46,6 +46,13 @@ def test_stages_on_odd_rows(spark, odd, none, tmp_path):
     assert COLUMNS and odd_rows()
 
 
+def test_near_stage_keeps_one_of_a_star(spark):
+    rows = star(300, changed=4)
+    assert {c for _, _, c in plain_near(rows, 5)} == {0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, SF).collect()] == [0]
+
+
 def test_pipeline_equals_plain_stages(spark, tmp_path):
     """Quality, exact and near stages row by row; mixing and packing by their sums."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
