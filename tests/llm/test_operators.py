@@ -142,6 +142,7 @@ def test_substring_dedup_of_nothing(none):
 # --- token output and packing ---------------------------------------------
 
 ODD_TEXTS = ["", " ", "a \n b", "x \x1c\x85 y", "don't  it's\r\n\r\nHELLO", "<|endoftext|> a <|startoftext|>b", "a\u00a0 b \u0301c", "日本語 テスト。 x.y,z!! 12", "ΑΣ. İx", "\t\tb  \n\n\nd ", " .", ".a", "é . a"]
+ODD_TEXTS += ["<|ENDOFTEXT|>", "a<|EndOfText|>b C", "<|endoftext|> <|ENDOFTEXT|> X", "<|StartOfText|>", *[f"{c}{m} {c.lower()}{m} A{c}{m}" for c, m in zip("JHTWYK", "\u030c\u0331\u0308\u030a\u030a\u0301")]]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])

@@ -19,7 +19,9 @@ class Encoder:
     """Ids as the tokenizer gives them for whole texts, from a bounded memory of pieces.
 
     ``folded`` is for a vocabulary that makes letters small one by one and drops
-    blanks: pieces that differ in these alone are then encoded once.
+    blanks: ASCII pieces that differ in these alone are then encoded once.  Others
+    keep their capitals: added tokens match, and marks compose, before letters
+    are made small.
     """
 
     def __init__(self, path: str, folded: bool = False):
@@ -72,7 +74,12 @@ class Encoder:
         begins, body = starts, data
         if self.folded:
             solid = np.append(np.flatnonzero(~SPACE[data]), len(data))
-            begins, body = np.minimum(solid[np.searchsorted(solid, starts)], ends), LOWER[data]
+            # a piece is followed by an ASCII blank, an ASCII point or nothing, so no mark composes with its end
+            odd = data >= 0x80
+            odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+            plain = ~np.logical_or.reduceat(odd, starts)
+            begins = np.minimum(solid[np.searchsorted(solid, starts)], ends)
+            body = np.where(np.repeat(plain, ends - starts), LOWER[data], data)
         codes, distinct = pd.factorize(self.hashes.texts(body, begins, ends))
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes))[::-1]
