@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import sql
 from tidemark.llm.chat import format_trees, masked_text, read_turns, thread_nodes
 from tidemark.llm.common import text_of
+from tidemark.llm.conversation_repair import repair_conversations
+from tidemark.llm.damage import with_faults, with_planted_runs
 from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.license_scan import scan_licences, train
 from tidemark.llm.mixing import mix
 from tidemark.llm.near_dedup import near_dedup
 from tidemark.llm.packing import pack
+from tidemark.llm.periodic_runs import periodic_runs, strongest
 from tidemark.llm.pu_quality import quality_scores
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.substring_dedup import substring_dedup
@@ -102,6 +107,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(docs, train(docs))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, and its text without their repeats; a tenth of the texts has a planted run."""
+    found = periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")), carry=["doc_id"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    best = found.withColumn("best", strongest("runs"))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("kept_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after the query has damaged its rows."""
+    given = table(spark, sf_dir, "conversations")
+    report = repair_conversations(with_faults(given))
+    said = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    report = report.withColumn("repaired_sha256", F.sha2(said.cast("binary"), 256)).withColumnRenamed("conv_id", "_id").drop("repaired")
+    # a conversation that lost all its rows is reported too
+    ids = given.select("conv_id").distinct()
+    whole = ids.join(report, F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    none = {c: 0 for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return whole.fillna(none | {"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline over ``documents``."""
     from corpus_pipeline import run
@@ -114,6 +144,7 @@ QUERIES = {
     "op4_token_output": op4_token_output,
     "op5_quality_classifier": op5_quality_classifier, "op6_near_dedup": op6_near_dedup, "op7_mixing": op7_mixing,
     "op8_packing": op8_packing, "op9_chat_format": op9_chat_format,
-    "op10_license_scan": op10_license_scan, "pipeline": pipeline,
+    "op10_license_scan": op10_license_scan, "op11_periodic_runs": op11_periodic_runs, "op12_conversation_repair": op12_conversation_repair, "pipeline": pipeline,
 }
-ORACLES = {"op1_exact_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op3_substring_dedup": sql.OP3, "op7_mixing": sql.OP7, "op9_chat_format": sql.OP9}
+ORACLES = {"op1_exact_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op3_substring_dedup": sql.OP3, "op7_mixing": sql.OP7, "op9_chat_format": sql.OP9,
+           "op11_periodic_runs": sql.OP11, "op12_conversation_repair": sql.OP12}

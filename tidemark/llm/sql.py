@@ -104,3 +104,107 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
        sum(length(regexp_replace(role, '[\\<\[]', '..', 'g')) + length(regexp_replace(text, '[\\<\[]', '..', 'g')) + 17)::bigint as formatted_chars
 from rows group by conv_id
 """
+
+
+def crc32(text: str) -> str:
+    """Unsigned checksum of an ASCII text, bit by bit: each byte is followed by seven zeros, one for each further shift."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::bigint, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {bits}), lambda a, b: {step}), 4294967295)"
+
+
+#: A run is a longest stretch over which words ``period`` apart are equal.  Where
+#: it starts, 16 words stand again one period on, since it has 24 words and three
+#: periods at least: all distances of equal 16 words are tried as periods.
+OP11 = rf"""
+with given as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words, {crc32("doc_id::varchar")} as h from documents),
+placed as (select *, len(words) as n, h // 10 as g from given),
+cuts as (select *, case when h % 10 = 0 and n > 0 then g % n else n end as a from placed),
+docs as (
+  select row_number() over () as doc, doc_id, n,
+         case when a = n then words else list_transform(range(0, n), lambda i: words[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end]) end as words
+  from cuts),
+grams as (select doc, n, unnest(range(1, n - 14)) as pos, words from docs where n >= 24),
+keyed as (select doc, n, pos, hash(list_slice(words, pos, pos + 15)) as k from grams),
+periods as (select distinct x.doc, y.pos - x.pos as q from keyed x join keyed y on x.doc = y.doc and x.k = y.k and x.pos < y.pos and 3 * (y.pos - x.pos) <= x.n),
+equal as (
+  select doc, q, unnest(list_filter(range(1, n - q + 1), lambda i: words[i] = words[i + q])) as pos
+  from periods join docs using (doc)),
+islands as (select doc, q, pos, pos - row_number() over (partition by doc, q order by pos) as island from equal),
+stretches as (select doc, q, min(pos) - 1 as start, count(*) + q as length from islands group by doc, q, island),
+runs as (select doc, start, length, min(q) as period from stretches where length >= greatest(24, 3 * q) group by doc, start, length),
+listed as (
+  select doc, count(*) as n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' order by start, period) as lines
+  from runs group by doc),
+best as (select * from runs qualify row_number() over (partition by doc order by length::double / period desc, start, period) = 1),
+dropped as (select doc, list(distinct pos) as gone from (select doc, unnest(range(start + period, start + length)) as pos from runs) group by doc)
+select doc_id, coalesce(n_runs, 0) as n_runs, best.start, best.length, best.period, (1000 * best.length) // best.period as exponent_milli,
+       sha256(coalesce(lines, '')) as runs_sha256,
+       sha256(array_to_string(case when gone is null then words else list_filter(words, lambda w, i: not list_contains(gone, i - 1)) end, ' ')) as collapsed_sha256
+from docs left join listed using (doc) left join best using (doc) left join dropped using (doc)
+"""
+
+def put(cost: str, letter: str, best: str) -> str:
+    """``best`` with one more edit in front."""
+    return f"lpad((left({best}, 8)::bigint + {cost})::varchar, 8, '0') || '{letter}' || substr({best}, 9)"
+
+
+#: States of the edits: 1 nothing yet, 2 after s, 3 after u, 4 after a.  A state's
+#: best edits are its cost, eight digits wide, and its audit in one string, built
+#: from the last row on; each row is one step, then two steps insert rows.
+OP12 = rf"""
+with given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         {crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as fault
+  from conversations),
+damaged as (
+  select conv_id, turn, case when fault = 4 then 'user' else role end as role,
+         case when fault = 1 then '' when fault = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(range(0, case when fault = 3 then 2 else 1 end)) as copy
+  from given where fault <> 0),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as k from damaged),
+seen as (select *, row_number() over (partition by conv_id, role, text order by k) > 1 as again, lag(role) over (partition by conv_id order by k) as before from numbered),
+judged as (
+  select *, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when again then 'duplicate'
+                 when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 'truncated' else '' end as fault
+  from seen),
+gathered as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+         count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (k > 1 and left(before, 1) || left(role, 1) not in ('su', 'ua', 'au')) as illegal,
+         list(role order by k) as roles, list(text order by k) as texts,
+         list({{'kind': 'row', 'role': left(role, 1), 'gone': fault in ('blank', 'duplicate'), 'short': (fault = 'truncated')::bigint, 'best': null::varchar[]}}
+              order by k desc) as rows
+  from judged group by conv_id),
+steps as (
+  select *, list_concat([{{'kind': 'end', 'role': '', 'gone': false, 'short': 0::bigint, 'best': ['00000000', '00000004II', '00000002I', '00000000']}}],
+    flatten(list_transform(rows, lambda r: [r, {{'kind': 'add', 'role': '', 'gone': false, 'short': 0::bigint, 'best': null::varchar[]}},
+                                            {{'kind': 'add', 'role': '', 'gone': false, 'short': 0::bigint, 'best': null::varchar[]}}]))) as todo
+  from gathered),
+solved as (
+  select *, list_reduce(todo, lambda x, y: {{'kind': 'row', 'role': '', 'gone': false, 'short': 0::bigint, 'best':
+    case when y.kind = 'add'
+    then [least(x.best[1], {put("2", "I", "x.best[3]")}), least(x.best[2], {put("2", "I", "x.best[3]")}),
+          least(x.best[3], {put("2", "I", "x.best[4]")}), least(x.best[4], {put("2", "I", "x.best[3]")})]
+    else list_transform(x.best, lambda b, state: least({put("3", "D", "b")},
+      case when not y.gone then {put("2 + y.short", "R", "x.best[case when state = 3 then 4 else 3 end]")} end,
+      case when not y.gone and y.role = 's' and state = 1 then {put("y.short", "K", "x.best[2]")}
+           when not y.gone and y.role = 'u' and state <> 3 then {put("y.short", "K", "x.best[3]")}
+           when not y.gone and y.role = 'a' and state = 3 then {put("y.short", "K", "x.best[4]")} end)) end}}).best[1] as won
+  from steps),
+told as (
+  select *, left(won, 8)::bigint as cost, substr(won, 9) as audit,
+    list_reduce(list_concat([{{'letter': '', 'state': 1, 'k': 0, 'said': ''}}],
+                            list_transform(string_split(substr(won, 9), ''), lambda c: {{'letter': c, 'state': 0, 'k': 0, 'said': ''}})),
+      lambda x, y: {{'letter': '',
+        'state': case when y.letter in ('D', '') then x.state when y.letter = 'K' and left(roles[x.k + 1], 1) = 's' then 2 when x.state = 3 then 4 else 3 end,
+        'k': case when y.letter in ('I', '') then x.k else x.k + 1 end,
+        'said': case when y.letter in ('D', '') then x.said
+          else x.said || chr(10) || case when y.letter = 'K' then roles[x.k + 1] when x.state = 3 then 'assistant' else 'user' end || ':'
+               || case when y.letter = 'I' then '' else texts[x.k + 1] end end}}).said as said
+  from solved),
+ids as (select distinct conv_id from conversations)
+select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+       coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(substr(said, 2), '')) as repaired_sha256
+from ids left join told on ids.conv_id is not distinct from told.conv_id
+"""
