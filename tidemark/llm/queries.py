@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import sql
 from tidemark.llm.chat import format_trees, masked_text, read_turns, thread_nodes
-from tidemark.llm.common import text_of
+from tidemark.llm.common import text_of, written
 from tidemark.llm.conversation_repair import repair_conversations
 from tidemark.llm.damage import with_faults, with_planted_runs
 from tidemark.llm.exact_dedup import exact_dedup
@@ -22,6 +22,7 @@ from tidemark.llm.pu_quality import quality_scores
 from tidemark.llm.quality_rules import quality_rules
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.token_output import read_tokens, write_tokens
+from tidemark.llm.warc import convert_arc, read_warc, with_referred, write_arc
 from tidemark.session import configure, scratch_dir
 
 
@@ -132,6 +133,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.fillna(none | {"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as legacy archives, converted to WARC and read back, equal payloads stored once."""
+    legacy = write_arc(table(spark, sf_dir, "pages"), scratch_dir(spark, "arc"))
+    records = written(read_warc(convert_arc(legacy, scratch_dir(spark, "warc"))), "warc-rows")
+    return with_referred(records).select(
+        "page_id", "payload_bytes", F.col("payload_sha1").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_page").alias("refers_to"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline over ``documents``."""
     from corpus_pipeline import run
@@ -144,7 +153,7 @@ QUERIES = {
     "op4_token_output": op4_token_output,
     "op5_quality_classifier": op5_quality_classifier, "op6_near_dedup": op6_near_dedup, "op7_mixing": op7_mixing,
     "op8_packing": op8_packing, "op9_chat_format": op9_chat_format,
-    "op10_license_scan": op10_license_scan, "op11_periodic_runs": op11_periodic_runs, "op12_conversation_repair": op12_conversation_repair, "pipeline": pipeline,
+    "op10_license_scan": op10_license_scan, "op11_periodic_runs": op11_periodic_runs, "op12_conversation_repair": op12_conversation_repair, "op13_warc": op13_warc, "pipeline": pipeline,
 }
 ORACLES = {"op1_exact_dedup": sql.OP1, "op2_quality_rules": sql.OP2, "op3_substring_dedup": sql.OP3, "op7_mixing": sql.OP7, "op9_chat_format": sql.OP9,
-           "op11_periodic_runs": sql.OP11, "op12_conversation_repair": sql.OP12}
+           "op11_periodic_runs": sql.OP11, "op12_conversation_repair": sql.OP12, "op13_warc": sql.OP13}

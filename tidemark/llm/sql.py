@@ -208,3 +208,11 @@ select ids.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coal
        coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(substr(said, 2), '')) as repaired_sha256
 from ids left join told on ids.conv_id is not distinct from told.conv_id
 """
+
+OP13 = """
+with given as (select page_id, coalesce(html, '') as html from pages),
+kept as (select *, strlen(html) as bytes, max(page_id) over (partition by html) as last from given)
+select page_id, bytes as payload_bytes, sha1(html) as payload_digest, case when bytes >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+       case when bytes >= 1000 and page_id <> last then last end as refers_to
+from kept
+"""
