@@ -3,6 +3,7 @@
 import json
 import math
 import os
+import random
 from collections import Counter, deque
 from datetime import datetime, timedelta
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import terms
 from tidemark.operators import retrieval as rt
 from tidemark.operators import service as sv
+from tidemark.operators.text_index import build_text_index, search_text_index
 from tidemark.streaming import limits, push, windows
 
 T0 = datetime(2024, 1, 1)
@@ -22,7 +24,8 @@ DOCS = [(1, "The cat sat on the mat. The end!"), (2, "A dog; a DOG and a cat"),
 def test_bm25_equals_the_formula(spark):
     docs = spark.createDataFrame(DOCS, "d int, text string")
     asked = spark.createDataFrame([(10, "cat the the"), (11, "été dog"), (12, "unknown")], "q int, text string")
-    got = {(r["q"], r["d"]): (r["score"], r["rank"]) for r in rt.bm25_top_k(docs, asked, "d", "text", "q", "text", k=2, block=1).collect()}
+    index = build_text_index(docs, "d", "text", shards=2)
+    got = {(r["q"], r["doc"]): (r["score"], r["rank"]) for r in search_text_index(index, asked, "q", "text", k=2).collect()}
     words = {d: [w for w in "".join(c.lower() if c.isalnum() else " " for c in t).split()] for d, t in DOCS}
     avg = sum(map(len, words.values())) / len(words)
     want = {}
@@ -134,6 +137,44 @@ def test_rate_limit_equals_a_loop(spark):
     assert not all(got.values())
 
 
+def plain_limit(rows, most, window_us):
+    out, accepted = {}, {}
+    for c, k, us in sorted(rows, key=lambda r: (str(r[0]), r[2], r[1])):
+        kept = [x for x in accepted.get(c, []) if x > us - window_us]
+        ok = len(kept) < most
+        accepted[c] = kept + [us] * ok
+        out[k] = (ok, most - len(accepted[c]))
+    return out
+
+
+@pytest.mark.parametrize(("most", "every"), [(1, 40), (3, 20), (8, 12), (200, 5)])
+def test_rate_limit_of_bursts(spark, most, every):
+    """Calm and crowded stretches, equal times, a client with a third of all requests, a null client."""
+    rng = random.Random(most)
+    rows, k = [], 0
+    for c, n in ((1, 1500), (2, 400), (None, 300), (3, 1)):
+        us = 0
+        for _ in range(n):
+            us += rng.choice([0, 0, 1_000_000, every * 1_000_000, 60_000_000, 59_999_999]) if rng.random() < 0.3 else rng.randint(0, 2 * every * 1_000_000)
+            rows.append((c, k, us))
+            k += 1
+    df = spark.createDataFrame(rows + [(1, -1, None)], "client long, req long, us long").withColumn("ts", F.timestamp_micros("us"))
+    got = {r["key"]: (r["allowed"], r["remaining"]) for r in limits.rate_limit(df.repartition(6), "client", "ts", "req", most, 60.0).collect()}
+    assert got.pop(-1) == (None, None)
+    assert got == plain_limit(rows, most, 60_000_000)
+
+
+def test_only_crowded_stretches_are_read_in_order(spark):
+    """Of a busy client's calm requests none goes through the ordered pass."""
+    rows = [(1, k, 1_000_000 * k) for k in range(5000)] + [(1, 10_000 + k, 2_000_000_000) for k in range(50)]
+    df = spark.createDataFrame(rows, "client long, req long, us long").withColumn("ts", F.timestamp_micros("us"))
+    demand = limits.with_demand(df.select(F.col("client").alias("_client"), F.col("us").alias("_us"), F.col("req").alias("_key")), 60_000_000)
+    full = {r["_span"] for r in demand.where("_demand > 70").collect()}
+    assert full == {33, 34} and demand.count() == len(rows)  # two of 84 minutes
+    got = {r["key"]: (r["allowed"], r["remaining"]) for r in limits.rate_limit(df, "client", "ts", "req", 70, 60.0).collect()}
+    assert got == plain_limit(rows, 70, 60_000_000)
+
+
 def write_json(folder, name, rows):
     folder.mkdir(exist_ok=True)
     (folder / name).write_text("\n".join(json.dumps(r) for r in rows))

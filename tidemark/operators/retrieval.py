@@ -8,8 +8,6 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -86,51 +84,6 @@ def poisoning_suspects(
 # --- ranking ------------------------------------------------------------------
 
 QUERY_BLOCK = 2048
-DOC_BLOCK = 256
-
-
-def bm25_top_k(
-    documents: DataFrame, queries: DataFrame, doc: str, doc_text: str, query: str, query_text: str,
-    k: int = 50, k1: float = 1.2, b: float = 0.75, block: int = QUERY_BLOCK,
-) -> DataFrame:
-    """Okapi BM25: (query, doc, score, rank).
-
-    Action: reads the query terms, in blocks of at most ``block`` queries that
-    are sent to the tasks; more queries are further passes.  A first pass
-    counts document frequencies of the query terms, one row per term and batch.
-    The second one scores each batch of documents against all queries of the
-    block and keeps the best ``k`` per query, so neither postings nor
-    (query, document) pairs are shuffled.
-    """
-    spark = documents.sparkSession
-    words = documents.select(F.col(doc).cast("string").alias("_d"), terms(F.col(doc_text)).alias("_w"))
-    asked = queries.select(F.col(query).cast("string").alias("_q"), F.array_distinct(terms(F.col(query_text))).alias("_t"))
-    out = None
-    for part in _blocks(asked, "_q", block):
-        vocabulary = sorted({t for r in part for t in r["_t"]})
-        at = {t: i for i, t in enumerate(vocabulary)}
-        sums = dict(
-            words.mapInArrow(_term_counter(vocabulary), "term int, n double").groupBy("term").agg(F.sum("n").alias("n")).collect()
-        )
-        n_docs, n_words = sums.get(-1, 0.0), sums.get(-2, 0.0)
-        frequency = np.array([sums.get(i, 0.0) for i in range(len(vocabulary))])
-        idf = np.log(1 + (n_docs - frequency + 0.5) / (frequency + 0.5))
-        weights = np.zeros((len(vocabulary), len(part)))
-        for j, r in enumerate(part):
-            for t in r["_t"]:
-                weights[at[t], j] = idf[at[t]]
-        sent = spark.sparkContext.broadcast(([r["_q"] for r in part], vocabulary, weights))
-        scorer = _document_scorer(sent, k, k1, b, n_words / n_docs if n_docs else 1.0)
-        found = words.mapInArrow(scorer, "_q string, _d string, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "_q string, _d string, score double")
-    typed = out.select(
-        F.col("_q").cast(dict(queries.dtypes)[query]).alias(query), F.col("_d").cast(dict(documents.dtypes)[doc]).alias(doc), "score"
-    )
-    # Equal scores by document id; scores are rounded so that the order of additions cannot decide.
-    order = [F.round("score", 9).desc(), F.col(doc).asc()]
-    return top_k(typed, k, order, [query], [doc]).select(query, doc, "score", "rank")
 
 
 def _blocks(rows: DataFrame, key: str, block: int) -> Iterator[list]:
@@ -144,59 +97,6 @@ def _blocks(rows: DataFrame, key: str, block: int) -> Iterator[list]:
             yield found[start:start + block]
 
 
-def _term_matrix(words: pa.ListArray, known: pa.Array, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the known terms, and the number of all words, for documents start..stop."""
-    part = words.slice(start, stop - start)
-    lengths = np.asarray(pc.list_value_length(part).fill_null(0))
-    place = np.asarray(pc.index_in(pc.list_flatten(part), value_set=known).fill_null(-1))
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    hit = place >= 0
-    flat = np.bincount(row[hit] * len(known) + place[hit], minlength=len(lengths) * len(known))
-    return flat.reshape(len(lengths), len(known)).astype(float), lengths.astype(float)
-
-
-def _term_counter(vocabulary: list[str]):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(vocabulary, pa.string())
-        for batch in batches:
-            words = batch.column("_w")
-            documents, total = np.zeros(len(known)), 0.0
-            for start in range(0, len(words), DOC_BLOCK):
-                tf, lengths = _term_matrix(words, known, start, min(start + DOC_BLOCK, len(words)))
-                documents += (tf > 0).sum(axis=0)
-                total += lengths.sum()
-            term = np.concatenate([np.arange(len(known)), [-1, -2]]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(term), pa.array(np.concatenate([documents, [float(len(words)), total]]))], names=["term", "n"]
-            )
-    return count
-
-
-def _document_scorer(sent, k: int, k1: float, b: float, avg_len: float):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, vocabulary, weights = sent.value
-        known = pa.array(vocabulary, pa.string())
-        queries = np.array(names, dtype=object)
-        for batch in batches:
-            words, ids = batch.column("_w"), np.array(batch.column("_d").to_pylist(), dtype=object)
-            parts = []
-            for start in range(0, len(words), DOC_BLOCK):
-                tf, lengths = _term_matrix(words, known, start, min(start + DOC_BLOCK, len(words)))
-                scale = k1 * (1 - b + b * lengths / avg_len)
-                parts.append((tf * (k1 + 1) / np.maximum(tf + scale[:, None], 1e-300)) @ weights)
-            if not parts:
-                continue
-            scores = np.concatenate(parts)
-            top = min(k, len(scores))
-            # Ties at the cut stay in: the exact order is settled in the final step.
-            cut = np.partition(scores, len(scores) - top, axis=0)[len(scores) - top]
-            d, q = np.nonzero((scores >= cut - 1e-8) & (scores > 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(queries[q], pa.string()), pa.array(ids[d], pa.string()), pa.array(scores[d, q])], names=["_q", "_d", "score"]
-            )
-    return score
-
-
 def vector_top_k(
     vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int = 10,
     block: int = QUERY_BLOCK,

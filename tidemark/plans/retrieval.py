@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import md5_bucket
 from tidemark.operators import retrieval as rt
+from tidemark.operators.text_index import TextIndex, build_text_index, search_text_index
+from tidemark.operators.vectors import build_vector_index, search_vector_index, semantic_cache_near
 from tidemark.plans.registry import Tables, query
 
 NOW = datetime(2024, 1, 31)
@@ -113,8 +115,12 @@ def bm25_sql(name: str, k: int, k1: float, b: float) -> str:
     {name} AS (SELECT item_id, doc_id, score, rank FROM {p}r WHERE rank <= {k})"""
 
 
-def bm25(t: Tables, k: int = 50, k1: float = 1.2, b: float = 0.75):
-    return rt.bm25_top_k(t.spread("documents"), t.benchmark, "doc_id", "text", "item_id", "text", k, k1, b)
+def indexed(t: Tables) -> TextIndex:
+    return build_text_index(t.documents, "doc_id", "text")
+
+
+def bm25(t: Tables, index: TextIndex, k: int = 50, k1: float = 1.2, b: float = 0.75):
+    return search_text_index(index, t.benchmark, "item_id", "text", k, k1, b).withColumnRenamed("doc", "doc_id")
 
 
 @query(
@@ -122,7 +128,7 @@ def bm25(t: Tables, k: int = 50, k1: float = 1.2, b: float = 0.75):
     f"WITH {bm25_sql('a', 50, 1.2, 0.75)} SELECT item_id, doc_id, round(score, 6) AS score, rank::int AS rank FROM a",
 )
 def bm25_top_k(t: Tables):
-    return bm25(t).withColumn("score", F.round("score", 6))
+    return bm25(t, indexed(t)).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -132,7 +138,8 @@ def bm25_top_k(t: Tables):
         FROM (SELECT * FROM a UNION ALL SELECT * FROM z) GROUP BY 1, 2""",
 )
 def rrf_fuse(t: Tables):
-    out = rt.rrf_fuse([bm25(t), bm25(t, 50, 2.0, 0.0)], "item_id", "doc_id")
+    index = indexed(t)
+    out = rt.rrf_fuse([bm25(t, index), bm25(t, index, 50, 2.0, 0.0)], "item_id", "doc_id")
     return out.withColumn("rrf_score", F.round("rrf_score", 9))
 
 
@@ -146,7 +153,7 @@ def rrf_fuse(t: Tables):
 )
 def rerank_gain(t: Tables):
     score = md5_bucket(F.concat_ws(":", "item_id", "doc_id"), 1000)
-    rows = bm25(t).select("item_id", "doc_id", F.col("rank").alias("initial_rank"), score.alias("rerank_score"))
+    rows = bm25(t, indexed(t)).select("item_id", "doc_id", F.col("rank").alias("initial_rank"), score.alias("rerank_score"))
     return rt.rerank_gain(rows, "item_id", "doc_id", "initial_rank", "rerank_score", 10)
 
 
@@ -173,6 +180,23 @@ def vector_top_k(t: Tables):
     return label_top(t, 10).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "t5_vector_index",
+    """SELECT vec_id AS query, least((SELECT count(*) FROM embeddings), 10)::int AS n_found, vec_id AS best, true AS recall_reached
+       FROM embeddings WHERE vec_id % 100 = 0""",
+)
+def vector_index(t: Tables):
+    """Neighbours by the stored index of every row whose id is divisible by 100, held against the exact ones."""
+    asked = t.embeddings.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("asked"))
+    index = build_vector_index(t.embeddings, "vec_id", "embedding")
+    found = search_vector_index(index, asked, "query", "asked", 10)
+    exact = rt.vector_top_k(t.embeddings, asked, "vec_id", "embedding", "query", "asked", 10).select("query", F.col("vec_id").alias("key"), F.lit(1).alias("is_exact"))
+    each = found.join(exact, ["query", "key"], "left").groupBy("query").agg(
+        F.count("*").cast("int").alias("n_found"), F.max(F.when(F.col("rank") == 1, F.col("key"))).alias("best"), F.count("is_exact").alias("hits"))
+    recall = each.agg(F.sum("hits") / F.sum("n_found")).scalar()
+    return each.select("query", "n_found", "best", (recall >= 0.9).alias("recall_reached"))
+
+
 @query(
     "a46_recall_at_k",
     f"""WITH {_TOP}, h AS (SELECT query, count(*)::bigint AS n_found FROM rk WHERE rank <= 50 AND query = label GROUP BY 1),
@@ -210,6 +234,26 @@ def semantic_cache(t: Tables):
     return out.select("vec_id", F.round("similarity", 6).alias("similarity"), "response", "hit", F.round(rate.scalar(), 9).alias("hit_rate"))
 
 
+@query(
+    "j10_semantic_cache_near",
+    """WITH e AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings),
+       r AS (SELECT vec_id, list_transform(v, lambda x, i: x + ((vec_id * 31 + i * 17) % 13 - 6) * (0.004 + 0.002 * (vec_id % 5))) AS v FROM e),
+       p AS (SELECT r.vec_id, e.vec_id AS entry, round(list_cosine_similarity(r.v, e.v), 9) AS similarity FROM r, e WHERE label < 7),
+       b AS (SELECT * FROM p WHERE similarity >= 0.95 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, entry) = 1)
+       SELECT r.vec_id, round(similarity, 6) AS similarity, 'answer ' || entry AS response, entry IS NOT NULL AS hit,
+              round(count(entry) OVER () / count(*) OVER (), 9) AS hit_rate FROM r LEFT JOIN b USING (vec_id)""",
+)
+def semantic_cache_nearest(t: Tables):
+    """Questions near a cached one, up to noise, get its answer; the similarity is found, not given."""
+    noise = lambda x, i: x + (F.pmod(F.col("vec_id") * 31 + (i + 1) * 17, F.lit(13)) - 6) * (0.004 + 0.002 * F.pmod("vec_id", F.lit(5)))
+    asked = t.embeddings.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), noise).alias("asked"))
+    cached = t.embeddings.where("label < 7").select(
+        F.col("vec_id").alias("entry"), "embedding", F.concat(F.lit("answer "), F.col("vec_id").cast("string")).alias("response"))
+    out = semantic_cache_near(asked, cached, "vec_id", "asked", "entry", "embedding", 0.95).drop("asked")
+    rate = rt.hit_rate(out).select("hit_rate")
+    return out.select("vec_id", F.round("similarity", 6).alias("similarity"), "response", "hit", F.round(rate.scalar(), 9).alias("hit_rate"))
+
+
 @query(
     "j11_cache_invalidate",
     """WITH c AS (SELECT left(sha256(text), 12) AS query_hash, 'index-' || source AS index_version_id, 'prompt-' || lang AS prompt_version FROM documents)

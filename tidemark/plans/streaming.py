@@ -88,9 +88,17 @@ def hourly_windows(t: Tables):
     return out.select("user_id", F.unix_micros("window_start").alias("start_us"), "tx_count_last_hour", "last_tx_amount")
 
 
-@query("r5_sliding_rate_limit")
+@query(
+    "r5_sliding_rate_limit",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+       s AS (SELECT user_id, event_id, n, true AS allowed, [us] AS accepted FROM e WHERE n = 1 UNION ALL
+             SELECT user_id, event_id, n, len(kept) < 2, CASE WHEN len(kept) < 2 THEN list_append(kept, us) ELSE kept END FROM (
+               SELECT e.user_id, e.event_id, e.n, e.us, list_filter(s.accepted, lambda x: x > e.us - 86400000000) AS kept
+               FROM e JOIN s ON e.user_id = s.user_id AND e.n = s.n + 1))
+       SELECT user_id AS client, event_id AS key, allowed, 2 - len(accepted) AS remaining FROM s""",
+)
 def rate_limit(t: Tables):
-    """Rows only: each decision depends on the accepted requests before it."""
+    """Each decision depends on the accepted requests before it."""
     return limits.rate_limit(t.events, "user_id", "ts", "event_id", max_requests=2, window_seconds=24 * 3600.0)
 
 

@@ -6,72 +6,94 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tidemark.functions.ordering import running_totals
+from tidemark.session import scratch_dir
 
 MAX_REQUESTS = 100
 WINDOW_SECONDS = 60.0
 
 
-def busy_periods(df: DataFrame, client: str, ts: str, key: str, window_seconds: float = WINDOW_SECONDS, bucket_seconds: int = 3600) -> DataFrame:
-    """Number the stretches of each client without a pause as long as the window.
+def with_demand(requests: DataFrame, window_us: int) -> DataFrame:
+    """``_client, _us, _key`` with ``_span`` (number of the window-long span of time) and ``_demand``: requests of the client in the window that ends here, this one included.
 
-    After such a pause the limiter has forgotten everything, so the stretches
-    are independent.  The previous request is looked up inside (client, time
-    bucket); the last request of earlier buckets comes from one row per bucket,
-    so no window holds all rows of a busy client.
+    A request also stands in the span after its own, so that each (client, span)
+    has all that its windows reach back to, and no ordered group is longer than two spans.
     """
-    us = F.unix_micros(ts)
-    rows = df.withColumns({"_us": us, "_bucket": F.floor(us / F.lit(bucket_seconds * 1_000_000))})
-    per_bucket = rows.groupBy(F.col(client).alias("_client"), F.col("_bucket").alias("_b")).agg(F.max("_us").alias("_last"))
-    before = Window.partitionBy("_client").orderBy("_b")
-    carried = per_bucket.select("_client", "_b", F.lag("_last").over(before).alias("_carried"))
-    inside = Window.partitionBy(client, "_bucket").orderBy("_us", key)
-    joined = rows.withColumn("_prev", F.lag("_us").over(inside)).join(
-        carried, (F.col(client) == F.col("_client")) & (F.col("_bucket") == F.col("_b")), "left"
-    )
-    previous = F.coalesce("_prev", "_carried")
-    starts = F.when(previous.isNull() | (F.col("_us") - previous >= window_seconds * 1_000_000), 1).otherwise(0).cast("long")
-    marked = joined.withColumn("_starts", starts).select(*df.columns, "_us", "_starts")
-    return running_totals(marked, "_us", [client], {"period": F.col("_starts")}, [key]).drop("_starts")
+    spans = requests.withColumn("_span", F.floor(F.col("_us") / F.lit(window_us)))
+    both = spans.withColumn("_shift", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_span", F.col("_span") + F.col("_shift"))
+    own = Window.partitionBy("_client", "_span")
+    place = F.row_number().over(own.orderBy("_us", "_key"))
+    left_behind = F.count("*").over(own.orderBy("_us").rangeBetween(Window.unboundedPreceding, -window_us))
+    return both.withColumn("_demand", place - left_behind).where("_shift = 0").drop("_shift")
 
 
 def rate_limit(
     df: DataFrame, client: str, ts: str, key: str, max_requests: int = MAX_REQUESTS, window_seconds: float = WINDOW_SECONDS
 ) -> DataFrame:
-    """(client, key, allowed, remaining) for every request, in time order per client.
-
-    Whether a request is accepted depends on the accepted ones before it, so a
-    busy stretch is read in order.  It is streamed through its task in Arrow
-    batches with at most ``max_requests`` times as state, never held as a group.
+    """(client, key, allowed, remaining) for every request, in the order of time and key per client.
+
+    Whether a request is accepted depends on the accepted ones before it, but
+    most need no look at them: where the demand of a window, rejected requests
+    included, is within the limit, its last request is accepted, and while no
+    demand of the last two windows was above the limit, all counted ones were.
+    So time is cut into spans as long as the window.  Only spans with an
+    overflow, and the one after, are read in order, starting one span before;
+    such stretches are streamed through a task each, with at most
+    ``max_requests`` times as state.  All else is windows of two spans at most,
+    also for a client that sends a third of all requests.
+
+    A null client is a client; a request without a time is answered with nulls.
     """
-    periods = busy_periods(df, client, ts, key, window_seconds)
-    ordered = periods.select(F.col(client).alias("_client"), "period", "_us", F.col(key).alias("_key"))
-    ordered = ordered.repartition("_client", "period").sortWithinPartitions("_client", "period", "_us", "_key")
     window_us = int(window_seconds * 1_000_000)
-
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = dict(df.dtypes)
+    given = df.select(F.col(client).alias("_client"), F.unix_micros(ts).alias("_us"), F.col(key).alias("_key"))
+    path = scratch_dir(df.sparkSession, "request-demand")
+    with_demand(given.where("_us is not null"), window_us).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    full = rows.where(F.col("_demand") > max_requests).select("_client", "_span").distinct()
+    # neighbouring full spans are one stretch; one row per client and span
+    stretch = F.col("_span") - F.row_number().over(Window.partitionBy("_client").orderBy("_span"))
+    reach = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("_off")
+    touched = full.withColumn("_stretch", stretch).select(F.col("_client").alias("_c"), F.col("_span").alias("_full"), "_stretch", reach)
+    touched = touched.groupBy("_c", (F.col("_full") + F.col("_off")).alias("_s"), "_stretch").agg(F.max(F.col("_off") >= 0).alias("_decides"))
+    joined = rows.join(touched, F.col("_client").eqNullSafe(F.col("_c")) & (F.col("_span") == F.col("_s")), "left")
+    calm = ~F.coalesce(F.col("_decides"), F.lit(False))
+    # a span before one stretch may be the last of another, which then decides it
+    decided = touched.where("_decides").select(F.col("_c").alias("_dc"), F.col("_s").alias("_ds"))
+    loose = joined.where(calm).join(decided, F.col("_client").eqNullSafe(F.col("_dc")) & (F.col("_span") == F.col("_ds")), "left_anti")
+    quiet = loose.select("_client", "_key", F.lit(True).alias("allowed"), (F.lit(max_requests) - F.col("_demand")).cast("long").alias("remaining"))
+
+    schema = StructType.fromDDL(f"_client {kinds[client]}, _key {kinds[key]}, allowed boolean, remaining long")
+    target = to_arrow_schema(schema)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, accepted = None, deque()
         for batch in batches:
             allowed, remaining = [], []
-            for c, p, us in zip(batch["_client"], batch["period"], batch["_us"]):
-                if (c, p) != current:
-                    current, accepted = (c, p), deque()
+            for at, us in zip(zip(*[batch.column(c).to_pylist() for c in ("_client", "_stretch")], strict=True), batch.column("_us").to_pylist(), strict=True):
+                if at != current:
+                    current, accepted = at, deque()
                 while accepted and accepted[0] <= us - window_us:
                     accepted.popleft()
                 ok = len(accepted) < max_requests
                 if ok:
                     accepted.append(us)
                 allowed.append(ok)
-                remaining.append(max(0, max_requests - len(accepted)))
-            yield pd.DataFrame({"client": batch["_client"], "key": batch["_key"], "allowed": allowed, "remaining": remaining})
-
-    kinds = dict(df.dtypes)
-    return ordered.mapInPandas(decide, f"client {kinds[client]}, key {kinds[key]}, allowed boolean, remaining long")
+                remaining.append(max_requests - len(accepted))
+            out = [batch.column("_client"), batch.column("_key"), pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, schema=target).filter(batch.column("_decides"))
+
+    ordered = joined.where("_stretch is not null").select("_client", "_stretch", "_us", "_key", "_decides")
+    ordered = ordered.repartition("_client", "_stretch").sortWithinPartitions("_client", "_stretch", "_us", "_key")
+    busy = ordered.mapInArrow(decide, schema)
+    untimed = given.where("_us is null").select("_client", "_key", F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("long").alias("remaining"))
+    return quiet.unionByName(busy).unionByName(untimed).select(F.col("_client").alias("client"), F.col("_key").alias("key"), "allowed", "remaining")
 
 
 class RateLimiter(StatefulProcessor):
