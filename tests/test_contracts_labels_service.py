@@ -1,10 +1,13 @@
 """Contracts, labels, feedback, logs and governance on hand tables."""
 
+import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import calibration as cal
 from tidemark.operators import contracts as ct
 from tidemark.operators import feedback as fb
 from tidemark.operators import governance as gv
@@ -187,6 +190,38 @@ def test_profile_store_and_alignment(spark, tmp_path):
     assert sorted(tuple(r) for r in wr.alignment(loaded, df.drop("y").withColumn("z", F.lit(1))).collect()) == [("y", "missing"), ("z", "extra")]
 
 
+def plain_isotonic(points):
+    """Greatest least mean: the best rising fit at each distinct score."""
+    merged = {}
+    for x, y in points:
+        n, t = merged.get(x, (0, 0.0))
+        merged[x] = (n + 1, t + y)
+    xs = sorted(merged)
+    n = np.cumsum([0] + [merged[x][0] for x in xs])
+    t = np.cumsum([0] + [merged[x][1] for x in xs])
+    mean = lambda j, k: (t[k + 1] - t[j]) / (n[k + 1] - n[j])
+    ys = [max(min(mean(j, k) for k in range(i, len(xs))) for j in range(i + 1)) for i in range(len(xs))]
+    return xs, ys
+
+
+@pytest.mark.parametrize(("most", "sent"), [(10, 0), (9, 1000)])
+def test_isotonic_over_ranges(spark, most, sent):
+    """Pooling reaches over range borders; sent blocks and the sorted join read the same line."""
+    rng = random.Random(most)
+    for shape in (lambda x: x, lambda x: 1 - x, lambda x: float(x > 0.6)):
+        points = [(x, float(rng.random() < shape(x))) for x in (round(rng.random(), 2) for _ in range(400))]
+        held = spark.createDataFrame([*points, (None, 1.0), (float("nan"), 0.0), (0.5, None)], "s double, y double")
+        fit = cal.fit_isotonic(held, "y", "s", most)
+        xs, ys = plain_isotonic(points)
+        asked = [*xs, 0.0, -3.0, 1.5, 0.333, 0.0055, 0.9999]
+        df = spark.createDataFrame([(k, x) for k, x in enumerate(asked)] + [(-1, None), (-2, float("nan"))], "k int, s double")
+        got = {r["k"]: r["calibrated"] for r in cal.apply_isotonic(df, fit, "s", sent=sent).collect()}
+        assert got.pop(-1) is None and got.pop(-2) is None
+        assert [got[k] for k in range(len(asked))] == pytest.approx(np.interp(asked, xs, ys).tolist())
+    none = cal.fit_isotonic(held.where("false"), "y", "s")
+    assert {r["calibrated"] for r in cal.apply_isotonic(df, none, "s", sent=sent).collect()} == {None}
+
+
 def test_calibration_and_outliers(spark):
     rows = [(float(i) / 200, int(i > 120)) for i in range(200)]
     df = spark.createDataFrame(rows, "score double, y int")

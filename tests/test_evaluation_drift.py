@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import drift as dr
 from tidemark.operators import evaluation as ev
 from tidemark.operators import profile as pf
+from tidemark.operators import sketches as sk
 
 ROWS = [(0, 0.1), (0, 0.4), (1, 0.35), (1, 0.8), (0, 0.8), (1, 1.0), (0, 0.0), (1, 0.3)]
 
@@ -162,13 +163,52 @@ def test_mmd_uses_all_rows_and_is_near_the_exact_one(spark):
 
 def test_snapshot_skew_sees_a_shift(spark):
     ref = spark.createDataFrame([(float(v),) for v in normal(5, n=2000)], "f double")
-    same = spark.createDataFrame([(float(v),) for v in normal(6, n=2000)], "f double")
-    moved = spark.createDataFrame([(float(v),) for v in normal(6, 2.0, n=2000)], "f double")
-    snap = dr.take_snapshot(ref, ["f"], "v1")
-    a, b = dr.snapshot_skew(same, snap, ["f"]).first(), dr.snapshot_skew(moved, snap, ["f"]).first()
+    same = spark.createDataFrame([(float(v), k % 3) for k, v in enumerate(normal(6, n=2000))], "f double, day int")
+    moved = spark.createDataFrame([(float(v), k % 3) for k, v in enumerate(normal(6, 2.0, n=2000))], "f double, day int")
+    snap = sk.take_snapshot(ref, ["f"], "v1")
+    a, b = (sk.snapshot_skew(sk.merge_summaries(sk.summarize_current(x, snap, ["f"], ["day"])), snap).first() for x in (same, moved))
     assert a["severity"] == "stable" and a["ks"] < 0.06 and b["severity"] == "major" and b["ks"] > 0.5
 
 
+@pytest.mark.parametrize("rows", [40, 3000, 30_000])
+def test_merged_days_are_one_pass(spark, rows):
+    """Counts and moments are equal, sketches within their errors; below the size of a sketch all is exact."""
+    values = np.random.default_rng(rows).lognormal(size=rows).round(3)
+    data = [(float(v) if k % 7 else None, f"s{int(v * 50)}", k % 9) for k, v in enumerate(values)] + [(float("nan"), None, 3), (None, None, 77)]
+    df = spark.createDataFrame(data, "x double, s string, day int")
+    days = sk.profile_sketches(df, by=["day"])
+    merged = {r["column"]: r for r in sk.sketched_profile(sk.merge_profiles(days)).collect()}
+    once = {r["column"]: r for r in sk.sketched_profile(sk.profile_sketches(df.drop("day"))).collect()}
+    exact = {r["column"]: r for r in pf.column_profile(df.drop("day")).collect()}
+    kept = np.sort([v for v, *_ in data if v is not None and v == v])
+    for c in ("x", "s"):
+        for n in ("n_rows", "n_null", "null_rate"):
+            assert merged[c][n] == once[c][n] == exact[c][n]
+        assert max(abs(x[c]["n_unique"] / exact[c]["n_unique"] - 1) for x in (merged, once)) < 0.04
+    assert merged["s"]["mean"] is None and merged["s"]["p50"] is None
+    for n in ("mean", "std"):
+        assert merged["x"][n] == pytest.approx(exact["x"][n]) and once["x"][n] == pytest.approx(exact["x"][n])
+    for q, p in pf.PROFILE_QUANTILES.items():
+        error = sk.rank_error() if rows > sk.KLL_SIZE else 1 / len(kept)
+        for found in (merged["x"][q], once["x"][q]):
+            low, high = np.searchsorted(kept, found, "left") / len(kept), np.searchsorted(kept, found, "right") / len(kept)
+            assert low - 2 * error <= p <= high + 2 * error
+    assert sk.merge_profiles(days.where("day = 77")).where("column = 'x'").select("n_rows", "n_null", "mean").first()[:] == (1, 1, None)
+
+
+def test_snapshot_ks_error(spark):
+    a, b = normal(1, n=20_000), normal(2, 0.15, n=30_000)
+    ref = spark.createDataFrame([(float(v),) for v in a], "f double")
+    cur = spark.createDataFrame([(float(v), k % 5) for k, v in enumerate(b)], "f double, day int")
+    snap = sk.take_snapshot(ref, ["f"], "v1")
+    got = sk.snapshot_skew(sk.merge_summaries(sk.summarize_current(cur, snap, ["f"], ["day"])), snap).first()
+    one = sk.snapshot_skew(sk.summarize_current(cur.drop("day"), snap, ["f"]), snap).first()
+    at = np.sort(np.concatenate([a, b]))
+    exact = np.abs(np.searchsorted(np.sort(a), at, "right") / len(a) - np.searchsorted(np.sort(b), at, "right") / len(b)).max()
+    assert abs(got["ks"] - exact) <= sk.ks_error() < 0.005 and abs(one["ks"] - exact) <= sk.ks_error()
+    assert (got["psi"], got["js_distance"], got["m"]) == pytest.approx((one["psi"], one["js_distance"], one["m"]))
+
+
 def test_profile_and_checks_on_missing_values(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), None), (3.0, "a"), (None, "b"), (1.0, "")], "x double, s string")
     got = {r["column"]: r for r in pf.column_profile(df).collect()}

@@ -68,7 +68,7 @@ def _ranges(rows: DataFrame) -> DataFrame:
     )
 
 
-def _bin(v: Column, lo: Column, hi: Column) -> Column:
+def bin_of(v: Column, lo: Column, hi: Column) -> Column:
     """Index 0..9 of equal-width bins; the last bin is closed."""
     step = (hi - lo) / BINS
     out = F.lit(0)
@@ -83,7 +83,7 @@ def _histogram(rows: DataFrame, ranges: DataFrame, lo: Column, hi: Column, insid
     if inside is not None:
         rows = rows.where(inside)
     keys = [c for c in ranges.columns if c != "feature"]
-    return rows.withColumn("_bin", _bin(F.col("value"), lo, hi)).groupBy("feature", "_bin", *keys).agg(
+    return rows.withColumn("_bin", bin_of(F.col("value"), lo, hi)).groupBy("feature", "_bin", *keys).agg(
         F.sum("_r").alias("_r"), F.sum("_c").alias("_c")
     )
 
@@ -332,75 +332,3 @@ def train_serve_skew(
         )
         out = out.unionByName(p)
     return out
-
-
-# --- skew against a stored snapshot -----------------------------------------
-
-KNOTS = 1000
-
-
-def take_snapshot(reference: DataFrame, features: Sequence[str], model_version: str) -> DataFrame:
-    """Range, ten bin counts and quantile knots per feature: what later checks need."""
-    long = to_long(reference, features, name="feature").where(F.col("value").isNotNull())
-    probs = [i / KNOTS for i in range(KNOTS + 1)]
-    stats = long.groupBy("feature").agg(
-        F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n"),
-        F.percentile_approx("value", probs, 10000).alias("knots"),
-    )
-    counted = long.join(F.broadcast(stats.select("feature", "lo", "hi")), "feature").groupBy("feature").agg(
-        *[F.count_if(_bin(F.col("value"), F.col("lo"), F.col("hi")) == i).alias(f"bin{i}") for i in range(BINS)]
-    )
-    out = stats.join(F.broadcast(counted), "feature")
-    return out.select(
-        F.lit(model_version).alias("model_version"), "feature", "lo", "hi", "n", "knots",
-        F.array(*[f"bin{i}" for i in range(BINS)]).alias("counts"),
-    )
-
-
-def snapshot_skew(current: DataFrame, snapshot: DataFrame, features: Sequence[str]) -> DataFrame:
-    """PSI, KS with p-value and JS of current rows against a stored snapshot.
-
-    One pass: each current row is placed in a bin and between two knots; the
-    snapshot has one row per column and is broadcast.  Values outside the
-    stored range fall in the outer bins for JS and out of the bins for PSI.
-    """
-    long = to_long(current, features, name="feature").where(F.col("value").isNotNull())
-    rows = long.join(F.broadcast(snapshot), "feature")
-    v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
-    inside = (v >= lo - 1e-8) & (v <= hi + 1e-8)
-    # Knots <= v, found in two levels of 40.
-    width = 40
-    coarse = F.filter("knots", lambda _, i: i % width == width - 1)
-    placed = rows.select(
-        "feature", inside.alias("_in"), _bin(v, lo, hi).alias("_bin"), v.alias("_v"), "knots",
-        F.size(F.filter(coarse, lambda k: k <= v)).alias("_b"),
-    ).withColumn("_k", F.col("_b") * width + F.size(
-        F.filter(F.slice("knots", F.col("_b") * width + 1, width), lambda k: k <= F.col("_v"))))
-    cells = placed.groupBy("feature", "_bin", "_k").agg(F.count("*").alias("_c"), F.count_if("_in").alias("_ci"))
-    per_bin = cells.groupBy("feature").agg(
-        F.sum("_c").alias("m"),
-        *[F.coalesce(F.sum(F.when(F.col("_bin") == i, F.col("_ci"))), F.lit(0)).alias(f"i{i}") for i in range(BINS)],
-        *[F.coalesce(F.sum(F.when(F.col("_bin") == i, F.col("_c"))), F.lit(0)).alias(f"c{i}") for i in range(BINS)],
-        # At most 1,002 (position, count) cells times ten bins per column.
-        F.collect_list(F.struct("_k", "_c")).alias("_cells"),
-    )
-    out = snapshot.join(F.broadcast(per_bin), "feature")
-    psi, js, tn, tm = F.lit(0.0), F.lit(0.0), F.col("n") + BINS * SMOOTH, F.col("m") + BINS * SMOOTH
-    for i in range(BINS):
-        r = F.element_at("counts", i + 1)
-        p, q = r / F.col("n") + SMOOTH, F.col(f"i{i}") / F.col("m") + SMOOTH
-        psi = psi + (q - p) * F.ln(q / p)
-        a, b = (r + SMOOTH) / tn, (F.col(f"c{i}") + SMOOTH) / tm
-        mid = (a + b) / 2
-        js = js + (a * F.ln(a / mid) + b * F.ln(b / mid)) / 2
-    below = F.transform(
-        F.sequence(F.lit(1), F.lit(KNOTS)),
-        lambda j: F.abs(
-            F.aggregate(F.filter("_cells", lambda c: c["_k"] < j + 1), F.lit(0).cast("long"), lambda s, c: s + c["_c"])
-            / F.col("m") - j / KNOTS
-        ),
-    )
-    out = out.select("model_version", "feature", "n", "m", psi.alias("psi"), F.sqrt(js).alias("js_distance"), F.array_max(below).alias("ks"))
-    out = out.withColumn("p_value", kolmogorov_pvalue(F.col("ks"), F.col("n"), F.col("m")))
-    severity = F.when(F.col("psi") > 0.2, "major").when((F.col("psi") > 0.1) | (F.col("p_value") < 0.05), "moderate").otherwise("stable")
-    return out.withColumn("severity", severity).withColumn("flag", F.col("severity") != "stable")

@@ -13,7 +13,6 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.hashing import md5_bucket
 from tidemark.functions.ordering import quantiles
+from tidemark.operators.calibration import IsotonicFit, apply_isotonic, fit_isotonic
 from tidemark.operators.evaluation import stratified_folds
 from tidemark.operators.governance import table_fingerprint
 
@@ -146,19 +146,19 @@ def fit_calibrator(held_out: DataFrame, label: str, score: str, method: str = "i
     """Action: fit a score calibrator on held-out rows."""
     rows = held_out.select(F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("_s"))
     if method == "isotonic":
-        return IsotonicRegression(featuresCol="_s", labelCol="label").fit(rows)
+        return fit_isotonic(rows, "label", "_s")
     if method == "sigmoid":
         vec = VectorAssembler(inputCols=["_s"], outputCol="_f")
-        return Pipeline(stages=[vec, LogisticRegression(featuresCol="_f", labelCol="label", maxIter=200)]).fit(rows)
+        return Pipeline(stages=[vec, LogisticRegression(featuresCol="_f", labelCol="label", maxIter=200, tol=1e-9)]).fit(rows)
     raise ValueError("method must be isotonic or sigmoid")
 
 
 def calibrate_scores(df: DataFrame, model, score: str, name: str = "calibrated") -> DataFrame:
     """Add the calibrated score, clipped to [0, 1]; scores beyond the fitted range take its ends."""
-    rows = df.withColumn("_s", F.col(score).cast("double"))
-    out = model.transform(rows)
-    raw = vector_to_array("probability")[1] if "probability" in out.columns else F.col("prediction")
-    out = out.withColumn(name, F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)))
+    if isinstance(model, IsotonicFit):
+        return apply_isotonic(df, model, score, name)
+    out = model.transform(df.withColumn("_s", F.col(score).cast("double")))
+    out = out.withColumn(name, F.least(F.greatest(vector_to_array("probability")[1], F.lit(0.0)), F.lit(1.0)))
     return out.select(*df.columns, name)
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import calibration as cal
 from tidemark.operators import models as md
 from tidemark.operators.evaluation import confusion, rank_metrics
-from tidemark.plans.evaluation import scored
+from tidemark.plans.evaluation import SCORED_SQL, scored
 from tidemark.plans.registry import Tables, query
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -59,13 +60,41 @@ def cross_validated_search(t: Tables):
     return md.cross_validated_search(lines(t), FEATURES, "label", "line_id", trials=2, space=space)
 
 
-@query("u4_calibrate_scores")
+@query(
+    "u4_calibrate_scores",
+    f"""WITH {SCORED_SQL},
+        a AS (SELECT line_id, label, round(score, 3) AS x FROM s),
+        d AS (SELECT x, count(*) AS n, sum(label) AS s, row_number() OVER (ORDER BY x) AS i FROM a WHERE line_id % 2 = 0 GROUP BY x),
+        c AS (SELECT *, sum(n) OVER (ORDER BY x) AS cn, sum(s) OVER (ORDER BY x) AS cs FROM d),
+        p AS (SELECT l.i AS j, h.i, (h.cs - l.cs + l.s) / (h.cn - l.cn + l.n) AS mean FROM c l JOIN c h ON h.i >= l.i),
+        m AS (SELECT i, max(low) AS y FROM (SELECT i, min(mean) OVER (PARTITION BY j ORDER BY i DESC) AS low FROM p) GROUP BY i),
+        f AS (SELECT x, y FROM c JOIN m USING (i)),
+        u AS (SELECT DISTINCT x FROM a),
+        b AS (SELECT u.x, l.x AS x0, l.y AS y0, h.x AS x1, h.y AS y1 FROM u ASOF LEFT JOIN f l ON u.x >= l.x ASOF LEFT JOIN f h ON u.x <= h.x)
+        SELECT line_id, label, x AS score,
+               round(CASE WHEN x0 = x1 THEN y0 ELSE coalesce(y0 + (x - x0) * (y1 - y0) / (x1 - x0), y0, y1) END, 9) AS isotonic FROM a JOIN b USING (x)""",
+)
 def calibrate_scores(t: Tables):
-    """Rows only: isotonic and sigmoid calibration fitted on one half, applied to all rows."""
+    """Isotonic calibration fitted on one half, applied to all rows; the twin is the formula of greatest least means."""
+    rows = scored(t).select("line_id", "label", F.round("score", 3).alias("score"))
+    fit = cal.fit_isotonic(rows.where("line_id % 2 = 0"), "label", "score")
+    return cal.apply_isotonic(rows, fit, "score", "isotonic").withColumn("isotonic", F.round("isotonic", 9))
+
+
+@query(
+    "u4_sigmoid_calibration",
+    f"""WITH {SCORED_SQL} SELECT count(*) FILTER (line_id % 2 = 0)::bigint AS n_fitted, count(*)::bigint AS n, true AS sums_agree, true AS weighted_sums_agree FROM s""",
+)
+def sigmoid_calibration(t: Tables):
+    """Sigmoid calibration; at the best fit, scores and labels of the fitted rows agree in sum and in sum weighted by score."""
     rows = scored(t).select("line_id", "label", "score")
-    held = rows.where(F.pmod(F.xxhash64("line_id"), F.lit(2)) == 0)
-    out = md.calibrate_scores(rows, md.fit_calibrator(held, "label", "score", "isotonic"), "score", "isotonic")
-    return md.calibrate_scores(out, md.fit_calibrator(held, "label", "score", "sigmoid"), "score", "sigmoid")
+    fitted = F.col("line_id") % 2 == 0
+    out = md.calibrate_scores(rows, md.fit_calibrator(rows.where(fitted), "label", "score", "sigmoid"), "score", "sigmoid")
+    off = F.when(fitted, F.col("sigmoid") - F.col("label"))
+    return out.agg(
+        F.count_if(fitted).alias("n_fitted"), F.count("*").alias("n"), (F.abs(F.avg(off)) < 1e-4).alias("sums_agree"),
+        (F.abs(F.avg(off * F.col("score"))) < 1e-4).alias("weighted_sums_agree"),
+    )
 
 
 @query("u5_outlier_report")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import contracts as ct
 from tidemark.operators import profile as pf
+from tidemark.operators import sketches as sk
 from tidemark.plans.registry import Tables, query
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -43,6 +44,33 @@ def column_profile(t: Tables):
     return out.select("column", "n_rows", "n_null", F.round("null_rate", 9).alias("null_rate"), "n_unique", *rounded)
 
 
+@query(
+    "a1_profile_by_day",
+    _each(
+        """SELECT '{c}' AS "column", count(*)::bigint AS n_rows, (count(*) - count({c}))::bigint AS n_null,
+           round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, true AS n_unique_close, true AS quantiles_close
+           FROM (SELECT l_quantity, l_extendedprice, CASE WHEN l_discount > 0 THEN l_discount END AS l_discount, l_tax FROM lineitem)""",
+        NUMBERS,
+    )
+    + """ UNION ALL SELECT 'l_returnflag', count(*), count(*) - count(l_returnflag), NULL, NULL, true, true FROM lineitem""",
+)
+def profile_by_day(t: Tables):
+    """One row of sketches per ship date and column, merged over all days; estimates held against exact values."""
+    rows = t.lineitem.select(
+        "l_quantity", "l_extendedprice", F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("l_discount"), "l_tax", "l_returnflag", "l_shipdate")
+    out = sk.sketched_profile(sk.merge_profiles(sk.profile_sketches(rows, by=["l_shipdate"])))
+    exact = pf.column_profile(rows.drop("l_shipdate")).select("column", F.col("n_unique").alias("exact_unique"))
+    near = 2 * sk.rank_error()
+    bounds = pf.to_long(rows, NUMBERS).where("value is not null").groupBy("column").agg(*[
+        F.percentile("value", F.array(F.lit(max(p - near, 0.0)), F.lit(min(p + near, 1.0)))).alias(f"_{q}") for q, p in pf.PROFILE_QUANTILES.items()])
+    held = F.lit(True)
+    for q in pf.PROFILE_QUANTILES:
+        held = held & F.coalesce(F.col(q).between(F.col(f"_{q}")[0], F.col(f"_{q}")[1]), F.col(q).isNull())
+    close = F.abs(F.col("n_unique") / F.col("exact_unique") - 1) <= 0.04  # five standard errors
+    return out.join(exact, "column").join(bounds, "column", "left").select(
+        "column", "n_rows", "n_null", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), close.alias("n_unique_close"), held.alias("quantiles_close"))
+
+
 def periods(t: Tables, *columns: str):
     """Events of the first and of the later days, with a nullable amount and an hour."""
     rows = t.events.select(
