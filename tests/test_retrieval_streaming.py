@@ -249,3 +249,40 @@ def test_streaming_windows_equal_their_batch_twin(spark, tmp_path):
 def test_terms_split_on_anything_but_letters_and_digits(spark):
     df = spark.createDataFrame([("Ça-va? 2x, OK__",)], "t string")
     assert df.select(terms(F.col("t")).alias("w")).first()["w"] == ["ça", "va", "2x", "ok"]
+
+
+def test_latest_merge_replays_and_late_batches(spark, tmp_path):
+    """A repeated batch changes nothing, a broken one is written over, older values overwrite nothing newer."""
+    root = str(tmp_path / "latest")
+    push.start_latest(spark, root)
+    assert push.read_latest(spark, root, "user_id").count() == 0
+
+    def deltas(*rows):
+        df = spark.createDataFrame([(u, T0 + timedelta(minutes=m), f, v) for u, m, f, v in rows], "user_id long, ts timestamp, feature string, value double")
+        return df.withColumn("text", F.col("value").cast("string"))
+
+    def now():
+        return {(r["user_id"], r["feature"]): r["value"] for r in push.read_latest(spark, root, "user_id").collect()}
+
+    first = deltas((1, 10, "a", 1.0), (1, 10, "b", 2.0), (2, 5, "a", 3.0))
+    assert push.merge_latest(first, 0, root, "user_id") and not push.merge_latest(deltas((1, 99, "a", 9.0)), 0, root, "user_id")
+    assert now() == {(1, "a"): 1.0, (1, "b"): 2.0, (2, "a"): 3.0}
+    # files of a merge that broke off before its manifest are not seen, and then replaced
+    deltas((1, 50, "a", 7.0)).withColumn("bucket", F.lit(3)).write.partitionBy("bucket").parquet(f"{root}/data/version=1")
+    assert now()[1, "a"] == 1.0
+    assert push.merge_latest(deltas((1, 3, "a", 8.0), (1, 10, "b", 4.0), (3, 1, "c", 5.0)), 1, root, "user_id")
+    assert now() == {(1, "a"): 1.0, (1, "b"): 4.0, (2, "a"): 3.0, (3, "c"): 5.0}
+    assert push.merge_latest(deltas((2, 6, "a", 6.0)).where("false"), 2, root, "user_id")
+    assert len(now()) == 4
+
+
+def test_windows_drop_late_rows(spark, tmp_path):
+    def write(name, rows):
+        spark.createDataFrame([(k, T0 + timedelta(minutes=m), v) for k, m, v in rows], "k int, ts timestamp, v double").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+    write("p=0", [(1, 1, 1.0), (1, 59, 3.0), (1, 70, 9.0)])
+    stream = spark.readStream.schema("k int, ts timestamp, v double, p int").parquet(str(tmp_path / "in"))
+    out = windows.service_windows(stream, "ts", "v", F.col("v") > 5, "1 hour", "10 minutes")
+    arrivals = [lambda: None, lambda: write("p=1", [(1, 65, 2.0), (1, 300, 1.0)]), lambda: write("p=2", [(1, 301, 4.0)]), lambda: write("p=3", [(1, 2, 100.0), (1, 241, 7.0)])]
+    got = windows.run_updates(out, str(tmp_path / "run"), ["window_start"], arrivals).orderBy("window_start").collect()
+    assert [(r["n"], r["n_errors"], r["latency_p50"], r["latency_p95"]) for r in got] == [(2, 0, 1.0, 3.0), (2, 1, 2.0, 9.0), (1, 1, 7.0, 7.0), (2, 0, 1.0, 4.0)]

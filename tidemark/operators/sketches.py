@@ -22,7 +22,7 @@ KLL_SIZE = 4096
 #: Buckets of a distinct-value sketch, as a power of two: a standard error of about 1.04 / 2 ** (HLL_BITS / 2).
 HLL_BITS = 14
 #: Equal steps in which a sketch is read where its whole distribution counts.
-STEPS = 2000
+STEPS = 1000
 
 
 def rank_error(size: int = KLL_SIZE) -> float:

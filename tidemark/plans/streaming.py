@@ -20,6 +20,22 @@ def event_stream(t: Tables, *columns: str):
     return rows.select(*columns) if columns else rows
 
 
+#: Events arrive eleven days at a time; every 20th comes three arrivals late.
+_PART = "(day(ts) - 1) // 11 + CASE WHEN event_id % 20 = 0 THEN 3 ELSE 0 END"
+
+
+def arriving(t: Tables):
+    """The events as a file stream, and functions that each let the next part of them arrive."""
+    part = F.floor((F.dayofmonth("ts") - 1) / 11) + F.when(F.col("event_id") % 20 == 0, 3).otherwise(0)
+    folder, rows = scratch_dir(t.spark, "arriving"), t.events.withColumn("part", part.cast("int"))
+
+    def arrive(k: int):
+        return lambda: rows.where(F.col("part") == k).drop("part").write.mode("append").parquet(folder)
+
+    arrive(0)()  # the source looks for its folder when it is made
+    return t.spark.readStream.schema(t.events.schema).parquet(folder), [lambda: None, *[arrive(k) for k in range(1, 6)]]
+
+
 def sources(t: Tables):
     """Known push sources; purchases are not one of them."""
     return t.events.where("event_type <> 'purchase'").select(F.col("event_type").alias("source_name")).distinct()
@@ -69,6 +85,25 @@ def push_latest(t: Tables):
     return out.select("user_id", "feature", "value", F.unix_micros("ts").alias("ts_us"), F.unix_micros("expire_at").alias("expire_us"))
 
 
+@query(
+    "r2_push_latest_stream",
+    f"""WITH g AS (SELECT *, {_PART} AS part FROM events WHERE event_type NOT IN ('purchase', 'error')),
+       n AS (SELECT part, user_id, arg_max(event_id, (ts, -event_id)) AS event_id FROM g GROUP BY 1, 2),
+       l AS (SELECT g.user_id, g.ts, g.part, json_extract(props, '$.k')::double AS k, value, event_type FROM g JOIN n USING (event_id)),
+       f AS (SELECT user_id, ts, part, 'tx_count_last_hour' AS feature, k AS value FROM l UNION ALL SELECT user_id, ts, part, 'last_tx_amount', value FROM l
+             UNION ALL SELECT user_id, ts, part, 'session_duration_s', k + 0.5 FROM l WHERE event_type = 'click')
+       SELECT user_id, feature, arg_max(value, (ts, part)) AS value, epoch_us(max(ts)) AS ts_us FROM f GROUP BY 1, 2""",
+)
+def push_latest_stream(t: Tables):
+    """A streaming run over six arrivals: each micro-batch is merged into the latest table; older events that come late overwrite nothing newer."""
+    root = scratch_dir(t.spark, "latest")
+    stream, parts = arriving(t)
+    for arrive in parts:
+        arrive()
+        push.start_latest_merge(push_events(stream), root, f"{root}-checkpoint", "user_id", "ts", "event_id", sources(t), buckets=8).awaitTermination()
+    return push.read_latest(t.spark, root, "user_id").select("user_id", "feature", "value", F.unix_micros("ts").alias("ts_us"))
+
+
 @query(
     "r3_stream_routing",
     """SELECT event_type AS source_name, count(*)::bigint AS n, event_type <> 'purchase' AS known FROM events GROUP BY 1""",
@@ -88,6 +123,24 @@ def hourly_windows(t: Tables):
     return out.select("user_id", F.unix_micros("window_start").alias("start_us"), "tx_count_last_hour", "last_tx_amount")
 
 
+_ON_TIME = """w AS (SELECT max(ts) - INTERVAL 10 MINUTE AS closed FROM events WHERE event_id % 20 <> 0)"""
+
+
+@query(
+    "r4_hourly_windows_stream",
+    f"""WITH {_ON_TIME}, b AS (SELECT event_id, user_id, ts, value, unnest(generate_series(0, 11)) AS i, time_bucket(INTERVAL 5 MINUTE, ts) AS b FROM events),
+       s AS (SELECT event_id, user_id, ts, value, b - i * INTERVAL 5 MINUTE AS start FROM b)
+       SELECT user_id, epoch_us(start) AS start_us, count(*)::bigint AS tx_count_last_hour, arg_max(value, (ts, event_id)) AS last_tx_amount
+       FROM s, w WHERE event_id % 20 <> 0 OR start + INTERVAL 1 HOUR > closed GROUP BY 1, 2""",
+)
+def hourly_windows_stream(t: Tables):
+    """A streaming run over six arrivals; events that come three arrivals late find their windows closed by the watermark and are dropped."""
+    stream, parts = arriving(t)
+    out = windows.hourly_features(stream, "ts", "user_id", "value", ties=["event_id"])
+    last = windows.run_updates(out, scratch_dir(t.spark, "hourly-windows"), ["user_id", "window_start"], parts)
+    return last.select("user_id", F.unix_micros("window_start").alias("start_us"), "tx_count_last_hour", "last_tx_amount")
+
+
 @query(
     "r5_sliding_rate_limit",
     """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -127,6 +180,20 @@ def service_windows(t: Tables):
     )
 
 
+@query(
+    "r7_service_metrics_stream",
+    f"""WITH {_ON_TIME} SELECT epoch_us(date_trunc('hour', ts)) AS start_us, count(*)::bigint AS n, count_if(event_type = 'error')::bigint AS n_errors,
+        round(avg(value), 6) AS latency_mean, quantile_disc(value, 0.5) AS latency_p50, quantile_disc(value, 0.95) AS latency_p95, quantile_disc(value, 0.99) AS latency_p99
+        FROM events, w WHERE event_id % 20 <> 0 OR date_trunc('hour', ts) + INTERVAL 1 HOUR > closed GROUP BY 1""",
+)
+def service_windows_stream(t: Tables):
+    """A streaming run over six arrivals with a quantile sketch as state of each window; late events are dropped."""
+    stream, parts = arriving(t)
+    out = windows.service_windows(stream, "ts", "value", F.col("event_type") == "error")
+    last = windows.run_updates(out, scratch_dir(t.spark, "service-windows"), ["window_start"], parts)
+    return last.select(F.unix_micros("window_start").alias("start_us"), "n", "n_errors", F.round("latency_mean", 6).alias("latency_mean"), *windows.LATENCY_QUANTILES)
+
+
 @query(
     "r7_push_health",
     """SELECT epoch_us(date_trunc('hour', ts)) AS start_us, max(value * 2) AS max_lag_ms, round(avg((event_type = 'error')::int), 9) AS drop_rate,

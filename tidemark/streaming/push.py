@@ -81,6 +81,83 @@ def compact(spark: SparkSession, log: str, base: str, key: str) -> None:
     latest.write.mode("errorifexists").partitionBy("batch_id").parquet(base)
 
 
+#: Buckets of keys in the latest table: a batch rewrites the buckets that it touches.
+LATEST_BUCKETS = 64
+LATEST = "ts timestamp, feature string, value double, text string"
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    """``bucket, version`` of the newest merge; no rows before the first."""
+    every = spark.read.schema("bucket int, version bigint, batch bigint").parquet(f"{root}/manifest")
+    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).select("bucket", "version")
+
+
+def start_latest(spark: SparkSession, root: str) -> None:
+    """An empty latest table under ``root``; batch ids of merges start at 0."""
+    empty = spark.createDataFrame([], "bucket int, version bigint, batch bigint")
+    empty.write.mode("ignore").parquet(f"{root}/manifest")
+
+
+def read_latest(spark: SparkSession, root: str, key: str, key_type: str = "bigint") -> DataFrame:
+    """The latest value of every key and feature as of the newest complete merge."""
+    current = _manifest(spark, root)  # one row per bucket
+    if current.isEmpty():
+        return spark.createDataFrame([], f"{key} {key_type}, {LATEST}")
+    data = spark.read.schema(f"{key} {key_type}, {LATEST}, version bigint, bucket int").parquet(f"{root}/data")
+    return data.join(F.broadcast(current), ["version", "bucket"]).drop("version", "bucket")
+
+
+def merge_latest(deltas: DataFrame, batch_id: int, root: str, key: str, buckets: int = LATEST_BUCKETS) -> bool:
+    """Merge one batch of ``delta_rows`` into the latest table; False where this batch was merged before.
+
+    The newest time wins per key and feature, the batch itself on equal times;
+    features that a batch does not name stay.  Only buckets that the batch
+    touches are written, as files of a new version.  One small manifest file
+    then names the version of every bucket; readers follow the newest manifest,
+    so they see all of a merge or nothing of it.  A merge that broke off before
+    is written over, and a batch that comes again after its manifest changes
+    nothing.
+    """
+    spark = deltas.sparkSession
+    done = spark.read.schema("bucket int, version bigint, batch bigint").parquet(f"{root}/manifest").agg(F.max("batch")).first()[0]
+    if done is not None and batch_id <= done:
+        return False
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    new = deltas.select(key, "ts", "feature", "value", "text", bucket.alias("bucket"), F.lit(1).alias("_new"))
+    current = _manifest(spark, root)
+    if done is not None:
+        data = spark.read.schema(f"{key} {dict(deltas.dtypes)[key]}, {LATEST}, version bigint, bucket int").parquet(f"{root}/data")
+        touched = new.select("bucket").distinct()  # a row per bucket at most, as in the manifest
+        held = data.join(F.broadcast(current.join(touched, "bucket")), ["version", "bucket"]).drop("version").withColumn("_new", F.lit(0))
+        new = new.unionByName(held)
+    newest = new.groupBy("bucket", key, "feature").agg(F.max_by(F.struct("ts", "value", "text"), F.struct("ts", "_new")).alias("_n"))
+    rows = newest.select(key, "_n.ts", "feature", "_n.value", "_n.text", "bucket")
+    # a bucket is one file, or several where it is large
+    rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/data/version={batch_id}")
+    written = spark.read.schema("bucket int").parquet(f"{root}/data/version={batch_id}").select("bucket").distinct()
+    kept = current.join(written, "bucket", "left_anti")
+    manifest = kept.unionByName(written.withColumn("version", F.lit(batch_id).cast("bigint"))).coalesce(1)
+    manifest.write.mode("overwrite").parquet(f"{root}/manifest/batch={batch_id}")
+    return True
+
+
+def start_latest_merge(
+    stream: DataFrame, root: str, checkpoint: str, key: str, ts: str, order: str, sources: DataFrame | None = None, buckets: int = LATEST_BUCKETS,
+):
+    """Start a stream that merges the good events of each micro-batch into the latest table under ``root``.
+
+    The number of buckets must stay the same for the life of a table.
+    """
+    start_latest(stream.sparkSession, root)
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = route(batch, sources) if sources is not None else batch
+        good, _ = split_valid(with_errors(rows, key=key))
+        merge_latest(delta_rows(newest_per_key(good, key, ts, order), key, ts), batch_id, root, key, buckets)
+
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def start_push_ingest(
     stream: DataFrame, sources: DataFrame | None, log: str, quarantine: str, checkpoint: str,
     key: str, ts: str, order: str, on_batch: Callable[[int, dict], None] | None = None,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from tidemark.operators.service import LATENCY_BUCKETS
+from tidemark.operators.sketches import KLL_SIZE
 
 # Alert limits of the push path.
 MAX_LAG_MS = 500
@@ -31,22 +33,51 @@ def hourly_features(
     return out.select(key, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "tx_count_last_hour", "last_tx_amount")
 
 
+#: Latency quantiles per window, read from a sketch that is exact up to KLL_SIZE requests.
+LATENCY_QUANTILES = {"latency_p50": 0.5, "latency_p95": 0.95, "latency_p99": 0.99}
+
+
 def service_windows(
     df: DataFrame, ts: str, latency: str, is_error: Column, width: str = "1 hour", watermark: str = "10 minutes"
 ) -> DataFrame:
-    """Counts, error ratio, mean latency and histogram per window."""
+    """Counts, error ratio, mean latency, quantiles and histogram per window.
+
+    The state of a window is its counts and one quantile sketch of bounded size.
+    """
     rows = df.withWatermark(ts, watermark) if df.isStreaming else df
     v = F.col(latency)
     out = rows.groupBy(F.window(ts, width).alias("w")).agg(
         F.count("*").alias("n"), F.count_if(is_error).alias("n_errors"), F.avg(v).alias("latency_mean"),
+        F.kll_sketch_agg_double(v.cast("double"), F.lit(KLL_SIZE)).alias("sketch"), F.count(v).alias("n_timed"),
         *[F.count_if(v <= b).alias(f"le_{b}") for b in LATENCY_BUCKETS],
     )
     return out.select(
         F.col("w.start").alias("window_start"), "n", "n_errors", (F.col("n_errors") / F.col("n")).alias("error_ratio"),
-        "latency_mean", *[f"le_{b}" for b in LATENCY_BUCKETS],
+        "latency_mean", *[F.when(F.col("n_timed") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(p))).alias(q) for q, p in LATENCY_QUANTILES.items()],
+        *[f"le_{b}" for b in LATENCY_BUCKETS],
     )
 
 
+def run_updates(out: DataFrame, folder: str, keys: Sequence[str], arrivals: Sequence[Callable[[], None]] = (lambda: None,)) -> DataFrame:
+    """Run a windowed stream over the files at hand, once after each of ``arrivals``; the last state of each window that it emitted.
+
+    A run goes on from the checkpoint of the one before.  Each micro-batch writes the windows that it changed into its own folder, so
+    a repeated batch replaces itself.
+    """
+    spark = out.sparkSession
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/windows/batch={batch_id}")
+
+    writer = out.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    for arrive in arrivals:
+        arrive()
+        writer.start().awaitTermination()
+    every = spark.read.schema(StructType([*out.schema.fields]).add("batch", LongType())).parquet(f"{folder}/windows")
+    last = every.groupBy(*keys).agg(F.max_by(F.struct(*out.columns), "batch").alias("_w"))
+    return last.select("_w.*")
+
+
 def push_health(df: DataFrame, ts: str, received: str, dropped: Column, width: str = "1 hour", watermark: str = "10 minutes") -> DataFrame:
     """Push lag and drop rate per window against their limits."""
     rows = df.withWatermark(ts, watermark) if df.isStreaming else df
