@@ -161,6 +161,22 @@ def test_mmd_uses_all_rows_and_is_near_the_exact_one(spark):
     assert near == pytest.approx(want, abs=0.1)
 
 
+@pytest.mark.parametrize("shape", ["normal", "uniform", "lognormal", "whole"])
+def test_mmd_error_is_below_the_limits(spark, shape):
+    """Between no shift and one beyond the alarm limits the distance is within 0.01 of that of all pairs."""
+    rng = np.random.default_rng(11)
+    draw = {"normal": lambda s: rng.normal(s, 1, 400), "uniform": lambda s: rng.uniform(0, 20, 400) + 5 * s,
+            "lognormal": lambda s: rng.lognormal(s, 1, 400), "whole": lambda s: rng.integers(0, 24, 400) + round(10 * s)}[shape]
+    pairs = {f"f{i}": (draw(0.0), draw(s)) for i, s in enumerate((0.0, 0.05, 0.1, 0.2, 0.4))}
+    rows = [(f, ref, float(v)) for f, sides in pairs.items() for ref, side in zip((True, False), sides) for v in side]
+    got = {r["feature"]: r["mmd"] for r in dr.mmd_rbf(spark.createDataFrame(rows, "feature string, is_ref boolean, value double")).collect()}
+    k = lambda a, b: np.exp(-((a[:, None] - b[None, :]) ** 2)).sum()
+    for f, (x, y) in pairs.items():
+        n, m = len(x), len(y)
+        want = math.sqrt(abs((k(x, x) - n) / (n * (n - 1)) + (k(y, y) - m) / (m * (m - 1)) - 2 * k(x, y) / (n * m)))
+        assert abs(got[f] - want) < 0.01
+
+
 def test_snapshot_skew_sees_a_shift(spark):
     ref = spark.createDataFrame([(float(v),) for v in normal(5, n=2000)], "f double")
     same = spark.createDataFrame([(float(v), k % 3) for k, v in enumerate(normal(6, n=2000))], "f double, day int")

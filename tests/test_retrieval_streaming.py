@@ -286,3 +286,17 @@ def test_windows_drop_late_rows(spark, tmp_path):
     arrivals = [lambda: None, lambda: write("p=1", [(1, 65, 2.0), (1, 300, 1.0)]), lambda: write("p=2", [(1, 301, 4.0)]), lambda: write("p=3", [(1, 2, 100.0), (1, 241, 7.0)])]
     got = windows.run_updates(out, str(tmp_path / "run"), ["window_start"], arrivals).orderBy("window_start").collect()
     assert [(r["n"], r["n_errors"], r["latency_p50"], r["latency_p95"]) for r in got] == [(2, 0, 1.0, 3.0), (2, 1, 2.0, 9.0), (1, 1, 7.0, 7.0), (2, 0, 1.0, 4.0)]
+
+
+def test_scan_for_many_patterns(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abAB é\n") for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", "aaaa"]
+    patterns = ["".join(rng.choice("abAB é") for _ in range(rng.randint(1, 4))) for _ in range(300)] + ["", None, "aa", "aaa", "AA"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d int, text string")
+    listed = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    want = {d: sorted({p for p in patterns if p and t and p.lower() in t.lower()}) for d, t in enumerate(texts)}
+    for chars in (8_000_000, 200):
+        monkeypatch.setattr(rt, "PATTERN_CHARS", chars)
+        got = rt.injection_scan_many(docs, "text", listed).collect()
+        assert {r["d"]: r["hits"] for r in got} == want and all(r["is_safe"] == (not want[r["d"]]) for r in got)
+    assert rt.injection_scan_many(docs, "text", listed.where("false")).where("not is_safe").count() == 0

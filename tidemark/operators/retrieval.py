@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 from datetime import datetime
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -46,6 +47,47 @@ def injection_scan(df: DataFrame, text: str, patterns: Sequence[str] = INJECTION
     return df.withColumn("hits", pattern_hits(F.col(text), patterns)).withColumn("is_safe", F.size("hits") == 0)
 
 
+#: Characters of patterns that are sent to the tasks at once; longer lists are further passes over the texts.
+PATTERN_CHARS = 8_000_000
+
+
+def injection_scan_many(df: DataFrame, text: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
+    """As ``injection_scan`` for a table of any number of patterns: ``hits`` holds the found ones in their order as text.
+
+    All patterns are looked for in one pass over a text with one automaton, so
+    the time follows the text and not the number of patterns.  Case is ignored;
+    patterns that differ only in case are found together, empty and null ones
+    never.  A null text has no hits.
+    """
+    spark = df.sparkSession
+    listed = patterns.select(F.col(pattern).alias("p"), F.lower(pattern).alias("low")).where(F.length("p") > 0).distinct()
+    sizes = listed.agg(F.sum(F.length("p"))).first()[0] or 0
+    passes = -(-sizes // PATTERN_CHARS)
+    found = []
+    for k in range(passes):
+        block = listed.where(F.pmod(F.xxhash64("p"), F.lit(passes)) == k).collect()  # about PATTERN_CHARS characters
+        found.append(_automaton_hits(spark.sparkContext.broadcast([(r["low"], r["p"]) for r in block]))(F.lower(F.col(text))))
+    hits = F.array_sort(F.concat(*found)) if found else F.array().cast("array<string>")
+    return df.withColumn("hits", hits).withColumn("is_safe", F.size("hits") == 0)
+
+
+def _automaton_hits(sent):
+    @F.pandas_udf("array<string>")
+    def hits(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        spelled: dict[str, list[str]] = {}
+        for low, p in sent.value:
+            spelled.setdefault(low, []).append(p)
+        automaton = ahocorasick.Automaton()
+        for low, names in spelled.items():
+            automaton.add_word(low, names)
+        automaton.make_automaton()
+        for some in texts:
+            # a pattern inside a longer match ends at the same place and is told as well
+            yield pd.Series([sorted({p for _, names in automaton.iter(t) for p in names}) if t else [] for t in some.fillna("")])
+
+    return hits
+
+
 def trust_gate(df: DataFrame, trust: str, minimum: float = 0.5) -> DataFrame:
     return df.where(F.col(trust) >= minimum)
 

@@ -50,6 +50,23 @@ def injection_scan(t: Tables):
     return out.select("doc_id", F.array_join("hits", ";").alias("hits"), "is_safe")
 
 
+@query(
+    "p10_injection_scan_many",
+    """WITH w AS (SELECT list_filter(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark),
+       p AS (SELECT DISTINCT array_to_string(list_slice(w, i, i + 1), ' ') AS pattern FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)),
+       h AS (SELECT doc_id, pattern FROM documents, p WHERE contains(lower(text), lower(pattern))),
+       f AS (SELECT doc_id, count(*)::bigint AS n_hits, string_agg(pattern, ';' ORDER BY pattern) AS hits FROM h GROUP BY 1)
+       SELECT doc_id, coalesce(n_hits, 0) AS n_hits, coalesce(hits, '') AS hits, n_hits IS NULL AS is_safe FROM documents LEFT JOIN f USING (doc_id)""",
+)
+def injection_scan_many(t: Tables):
+    """Every pair of neighbouring words of the benchmark as a pattern, over a thousand of them."""
+    words = F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda w: w != "")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    patterns = t.benchmark.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(pairs).alias("pattern")).distinct()
+    out = rt.injection_scan_many(t.documents.select("doc_id", "text"), "text", patterns)
+    return out.select("doc_id", F.size("hits").cast("long").alias("n_hits"), F.array_join("hits", ";").alias("hits"), "is_safe")
+
+
 @query("p11_trust_gate", f"WITH {_CORPUS} SELECT doc_id, trust FROM corpus WHERE trust >= 0.5")
 def trust_gate(t: Tables):
     return rt.trust_gate(corpus(t), "trust").select("doc_id", "trust")
