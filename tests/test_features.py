@@ -1,5 +1,6 @@
 """Hand tables for joins, latest values, intervals and derived features."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tidemark.operators import features as ft
+from tidemark.operators.stored_features import store_view, stored_view_join
 
 
 def day(n, h=0):
@@ -89,3 +91,44 @@ def test_freshness(spark):
     want = spark.createDataFrame([(x,) for x in "abcd"], "v string")
     got = {r["v"]: r["status"] for r in ft.freshness_status(df, "v", "ts", day(10), expected=want).collect()}
     assert got == {"a": "FRESH", "b": "STALE", "c": "MISSING", "d": "MISSING"}
+
+
+def test_stored_view_equals_the_join(spark):
+    e = spark.createDataFrame(ENTITIES + [("C1", None, 7)], "id string, ts timestamp, row int")
+    f = spark.createDataFrame([*HISTORY, (None, day(1), 0.9, 8), ("C1", None, 0.9, 9)], "id string, fts timestamp, ratio double, seq int")
+    view = store_view(f, "id", ["ratio", "seq"], "fts", ["seq"], timedelta(days=40), buckets=3)
+    got = {r["row"]: (r["ratio"], r["seq"]) for r in stored_view_join(e, view, "id", "ts").collect()}
+    assert got == {1: (0.10, 1), 2: (0.40, 3), 3: (None, None), 4: (None, 5), 5: (None, None), 6: (None, None), 7: (None, None)}
+    late = spark.createDataFrame([("C2", day(900), 1)], "id string, ts timestamp, row int")
+    assert stored_view_join(late, view, "id", "ts").first()["seq"] == 5
+    assert stored_view_join(late, view, "id", "ts", timedelta(days=30)).first()["seq"] is None
+    none = store_view(f.where("false"), "id", ["ratio"], "fts")
+    assert stored_view_join(e, none, "id", "ts").where("ratio is null").count() == 7
+
+
+def test_stored_view_of_a_busy_key(spark):
+    """A key with a third of all rows; several spans, equal times, entities repeated."""
+    rng = random.Random(3)
+    hist = [(0 if k % 3 == 0 else k % 50, day(0) + timedelta(minutes=rng.randrange(20_000)), k) for k in range(3000)]
+    asked = [(rng.choice([0, rng.randrange(60)]), day(0) + timedelta(minutes=rng.randrange(-100, 30_000)), k) for k in range(400)]
+    f = spark.createDataFrame(hist, "id int, fts timestamp, seq int")
+    view = store_view(f, "id", ["seq"], "fts", ["seq"], timedelta(hours=6), buckets=4)
+    per_bucket = spark.table(view.table).where("_key = 0").groupBy("_span").count().count()
+    assert per_bucket > 50  # the busy key lies under as many bucket keys as it has spans
+    got = {r["row"]: r["seq"] for r in stored_view_join(spark.createDataFrame(asked, "id int, ts timestamp, row int"), view, "id", "ts").collect()}
+    for i, ts, row in asked:
+        seen = [(t, s) for k, t, s in hist if k == i and t <= ts]
+        assert got[row] == (max(seen)[1] if seen else None)
+
+
+def test_stored_side_is_not_shuffled(spark):
+    f = spark.createDataFrame([(k % 7, day(k % 90), k) for k in range(500)], "id int, fts timestamp, seq int")
+    view = store_view(f, "id", ["seq"], "fts", ["seq"], timedelta(days=10), buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = spark.createDataFrame([(k % 7, day(k % 120), k) for k in range(300)], "id int, ts timestamp, row int")
+        plan = stored_view_join(e, view, "id", "ts")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

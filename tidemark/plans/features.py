@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from tidemark.operators import features as ft
+from tidemark.operators.stored_features import store_view, stored_view_join
 from tidemark.plans.registry import Tables, micros, query
 
 START = datetime(2024, 1, 1)
@@ -30,16 +31,16 @@ def history(t: Tables, *kinds: str):
     )
 
 
-@query(
-    "j1_point_in_time_join",
-    """
+_POINT_IN_TIME_SQL = """
     SELECT p.event_id, p.user_id, epoch_us(p.ts) AS ts_us,
            CASE WHEN h.value <= 100 THEN h.value END AS amount, h.event_type AS kind, coalesce(h.event_id, -1) AS src_id
     FROM (SELECT * FROM events WHERE event_type = 'purchase') p
     ASOF LEFT JOIN (SELECT * FROM events WHERE event_type <> 'purchase') h
       ON p.user_id = h.user_id AND p.ts >= h.ts
-    """,
-)
+    """
+
+
+@query("j1_point_in_time_join", _POINT_IN_TIME_SQL)
 def point_in_time(t: Tables):
     out = ft.point_in_time_join(
         purchases(t), history(t), "user_id", ["amount", "kind", "src_id"], "ts", "feature_ts", ties=["src_id"]
@@ -48,6 +49,14 @@ def point_in_time(t: Tables):
                       F.coalesce("src_id", F.lit(-1)).alias("src_id"))
 
 
+@query("j1_point_in_time_stored", _POINT_IN_TIME_SQL)
+def point_in_time_stored(t: Tables):
+    """The same join against a stored view, whose side is not shuffled again."""
+    view = store_view(history(t), "user_id", ["amount", "kind", "src_id"], "feature_ts", ["src_id"], timedelta(days=1), buckets=8)
+    out = stored_view_join(purchases(t), view, "user_id", "ts")
+    return out.select("event_id", "user_id", micros("ts").alias("ts_us"), "amount", "kind", F.coalesce("src_id", F.lit(-1)).alias("src_id"))
+
+
 _SERVICE_SQL = """
     SELECT p.event_id, p.user_id,
            c.value AS click_value, coalesce(c.event_id, -1) AS click_id,
@@ -61,6 +70,19 @@ _SERVICE_SQL = """
 """
 
 
+@query("j2_feature_service_stored", _SERVICE_SQL)
+def feature_service_stored(t: Tables):
+    """Two stored views joined in turn."""
+    out = purchases(t)
+    for kind, max_age in (("click", None), ("view", timedelta(days=1))):
+        rows = t.events.where(F.col("event_type") == kind).select(
+            "user_id", F.col("ts").alias("feature_ts"), F.col("value").alias(f"{kind}_value"), F.col("event_id").alias(f"{kind}_id"))
+        view = store_view(rows, "user_id", [f"{kind}_value", f"{kind}_id"], "feature_ts", [f"{kind}_id"], timedelta(days=1), buckets=8)
+        out = stored_view_join(out, view, "user_id", "ts", max_age)
+    return out.select("event_id", "user_id", "click_value", F.coalesce("click_id", F.lit(-1)).alias("click_id"),
+                      "view_value", F.coalesce("view_id", F.lit(-1)).alias("view_id"))
+
+
 @query("j2_feature_service_join", _SERVICE_SQL)
 def feature_service(t: Tables):
     def view(kind: str, max_age=None):
