@@ -166,6 +166,28 @@ def ttl_state(t: Tables):
     return out.select("user_id", "value", "pushed", F.unix_micros("written_at").alias("written_us"), F.unix_micros("expire_at").alias("expire_us"))
 
 
+@query(
+    "r6_ttl_state_stream",
+    f"""WITH {_ON_TIME}, e AS (SELECT user_id, ts, event_id, value, event_type IN ('click', 'view') AS pushed FROM events, w WHERE event_id % 20 <> 0 OR ts > closed),
+        l AS (SELECT user_id, arg_max(value, (ts, event_id)) AS value, arg_max(pushed, (ts, event_id)) AS pushed, epoch_us(max(ts)) AS us FROM e GROUP BY 1),
+        x AS (SELECT *, us + CASE WHEN pushed THEN 3600000000 ELSE 86400000000 END AS expire_us FROM l)
+        SELECT user_id, value, us AS written_us, expire_us, expire_us <= (SELECT epoch_us(max(ts)) - 600000000 FROM events) AS expired FROM x""",
+)
+def ttl_state_stream(t: Tables):
+    """A streaming run over six arrivals with one value and one timer per key; late events are dropped, old values expire with the watermark."""
+    stream, parts = arriving(t)
+    given = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(given, None)
+    t.spark.conf.set(given, limits.ROCKSDB)
+    try:
+        rows = stream.withColumn("is_push", F.col("event_type").isin("click", "view"))
+        out = limits.stream_expiring_table(rows, "user_id", "value", "ts", "is_push", "event_id")
+        last = windows.run_updates(out, scratch_dir(t.spark, "expiring"), ["key"], parts, ties=["us", "expired"])
+    finally:
+        t.spark.conf.set(given, before) if before else t.spark.conf.unset(given)
+    return last.select(F.col("key").alias("user_id"), "value", F.col("us").alias("written_us"), "expire_us", "expired")
+
+
 @query(
     "r7_streaming_service_metrics",
     "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, count(*)::bigint AS n, count_if(event_type = 'error')::bigint AS n_errors, "

@@ -182,6 +182,60 @@ def stream_expiring_values(stream: DataFrame, ttl_seconds: int = 3600) -> DataFr
     )
 
 
+class ValuesExpiringInEventTime(StatefulProcessor):
+    """Newest value per key, forgotten once the watermark passes its expiry; a timer tells when.
+
+    The state of a key is one value and one timer.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        kinds = [("value", DoubleType()), ("us", LongType()), ("nth", LongType()), ("expire_us", LongType())]
+        self.value = handle.getValueState("value", StructType([StructField(n, k) for n, k in kinds]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = tuple(self.value.get()) if self.value.exists() else None
+        newest = before
+        for batch in rows:
+            top = batch.sort_values(["us", "nth"]).iloc[-1]
+            if newest is None or (int(top["us"]), int(top["nth"])) > newest[1:3]:
+                newest = (float(top["value"]), int(top["us"]), int(top["nth"]), int(top["expire_us"]))
+        if newest != before:
+            if before is not None:
+                self.handle.deleteTimer(before[3] // 1000)
+            self.handle.registerTimer(newest[3] // 1000)
+            self.value.update(newest)
+        yield self._told(key, newest, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.value.exists():
+            yield self._told(key, tuple(self.value.get()), True)
+            self.value.clear()
+
+    def _told(self, key, state: tuple, expired: bool) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "value": [state[0]], "us": [state[1]], "expire_us": [state[3]], "expired": [expired]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_expiring_table(stream: DataFrame, key: str, value: str, ts: str, pushed: str, order: str, watermark: str = "10 minutes") -> DataFrame:
+    """Streaming form of ``expiring_table``: ``key, value, us, expire_us, expired`` for each key that a batch changes.
+
+    Rows later than the watermark are dropped.  A value expires an hour after
+    its event time where it was pushed, a day after where it came from batch,
+    as the watermark goes; a newer value takes its place and its timer.  Needs
+    the RocksDB state store.
+    """
+    us = F.unix_micros(ts)
+    ttl = F.when(F.col(pushed), PUSH_TTL_SECONDS).otherwise(BATCH_TTL_SECONDS).cast("long") * 1_000_000
+    rows = stream.withWatermark(ts, watermark).select(
+        F.col(key).cast("long").alias("key"), F.col(value).cast("double").alias("value"), F.col(ts).alias("ts"), us.alias("us"),
+        F.col(order).cast("long").alias("nth"), (us + ttl).alias("expire_us"))
+    out = "key bigint, value double, us bigint, expire_us bigint, expired boolean"
+    return rows.groupBy("key").transformWithStateInPandas(ValuesExpiringInEventTime(), out, "update", "EventTime")
+
+
 # Time to live of batch and pushed features.
 BATCH_TTL_SECONDS = 24 * 3600
 PUSH_TTL_SECONDS = 3600

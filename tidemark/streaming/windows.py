@@ -58,10 +58,12 @@ def service_windows(
     )
 
 
-def run_updates(out: DataFrame, folder: str, keys: Sequence[str], arrivals: Sequence[Callable[[], None]] = (lambda: None,)) -> DataFrame:
-    """Run a windowed stream over the files at hand, once after each of ``arrivals``; the last state of each window that it emitted.
+def run_updates(
+    out: DataFrame, folder: str, keys: Sequence[str], arrivals: Sequence[Callable[[], None]] = (lambda: None,), ties: Sequence[str] = (),
+) -> DataFrame:
+    """Run a stream over the files at hand, once after each of ``arrivals``; the last row that it emitted per ``keys``, ``ties`` within a batch.
 
-    A run goes on from the checkpoint of the one before.  Each micro-batch writes the windows that it changed into its own folder, so
+    A run goes on from the checkpoint of the one before.  Each micro-batch writes what it changed into its own folder, so
     a repeated batch replaces itself.
     """
     spark = out.sparkSession
@@ -74,7 +76,7 @@ def run_updates(out: DataFrame, folder: str, keys: Sequence[str], arrivals: Sequ
         arrive()
         writer.start().awaitTermination()
     every = spark.read.schema(StructType([*out.schema.fields]).add("batch", LongType())).parquet(f"{folder}/windows")
-    last = every.groupBy(*keys).agg(F.max_by(F.struct(*out.columns), "batch").alias("_w"))
+    last = every.groupBy(*keys).agg(F.max_by(F.struct(*out.columns), F.struct("batch", *ties)).alias("_w"))
     return last.select("_w.*")
 
 
