@@ -14,14 +14,15 @@ INVENTORY = (
     + [f"u{i}" for i in range(1, 7)]
 )
 ROWS_ONLY = {
-    "a18_snapshot_skew", "x5_reference_text_scores", "r5_sliding_rate_limit", "u2_train_classifier",
-    "u3_cross_validated_search", "u4_calibrate_scores", "u5_outlier_report",
+    "x5_reference_text_scores", "u2_train_classifier", "u3_cross_validated_search", "u5_outlier_report",
 }
 # One query per area keeps the suite short; the harness runs all of them.
 COMPARED = [
     "j1_point_in_time_join", "w3_incremental_backfill", "p5_row_contract_check", "a6_validation_gate", "a16_drift_report", "a25_threshold_sweep",
     "a32_champion_challenger", "j4_delayed_outcome_join", "a31_retrain_decision", "a36_slo_report", "t4_bm25_top_k", "a51_payload_schema_compat",
-    "r2_push_latest_upsert",
+    "r2_push_latest_upsert", "t5_vector_index", "j10_semantic_cache_near", "r5_sliding_rate_limit", "a18_snapshot_skew", "a1_profile_by_day",
+    "u4_calibrate_scores", "r2_push_latest_stream", "r4_hourly_windows_stream", "r6_ttl_state_stream", "r7_service_metrics_stream",
+    "p10_injection_scan_many", "j1_point_in_time_stored", "j2_feature_service_stored",
 ]
 
 

@@ -24,7 +24,7 @@ DOCS = [(1, "The cat sat on the mat. The end!"), (2, "A dog; a DOG and a cat"),
 def test_bm25_equals_the_formula(spark):
     docs = spark.createDataFrame(DOCS, "d int, text string")
     asked = spark.createDataFrame([(10, "cat the the"), (11, "été dog"), (12, "unknown")], "q int, text string")
-    index = build_text_index(docs, "d", "text", shards=2)
+    index = build_text_index(docs, "d", "text", shard_postings=2)
     got = {(r["q"], r["doc"]): (r["score"], r["rank"]) for r in search_text_index(index, asked, "q", "text", k=2).collect()}
     words = {d: [w for w in "".join(c.lower() if c.isalnum() else " " for c in t).split()] for d, t in DOCS}
     avg = sum(map(len, words.values())) / len(words)

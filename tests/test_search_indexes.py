@@ -127,14 +127,14 @@ def plain_bm25(docs, asked, k, k1, b):
     return out
 
 
-@pytest.mark.parametrize(("k", "k1", "b", "shards"), [(5, 1.2, 0.75, 3), (50, 2.0, 0.0, 1), (1, 1.2, 1.0, 7)])
+@pytest.mark.parametrize(("k", "k1", "b", "shards"), [(5, 1.2, 0.75, 300), (50, 2.0, 0.0, 1), (1, 1.2, 1.0, 1_000_000)])
 def test_text_index_equals_the_formula(spark, k, k1, b, shards):
     rng = random.Random(k)
     vocabulary = [f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(5000)]
     docs = [(d, " ".join(rng.choices(vocabulary, k=rng.randint(1, 60))) + " common") for d in range(600)] + [(600 + d, "same text here common") for d in range(200)]
     docs += [(900, None), (901, "")]
     asked = [(f"q{i}", " ".join(rng.choices(vocabulary, k=rng.randint(1, 12)))) for i in range(30)] + [("all", "common same"), ("no", "unknown"), ("twice", "w1 w1 common common")]
-    index = build_text_index(spark.createDataFrame(docs, "d long, text string").repartition(5), "d", "text", shards=shards)
+    index = build_text_index(spark.createDataFrame(docs, "d long, text string").repartition(5), "d", "text", shard_postings=shards)
     got = search_text_index(index, spark.createDataFrame(asked, "q string, t string"), "q", "t", k, k1, b).collect()
     want = plain_bm25(docs, asked, k, k1, b)
     assert {(r["q"], r["rank"]): r["doc"] for r in got} == {(q, i + 1): d for q, ds in want.items() for i, d in enumerate(ds)}

@@ -1,11 +1,12 @@
 """Inverted index over documents, and BM25 ranking on it.
 
-The index is dealt by document: a shard holds the postings of its documents, one
-row per (shard, term), so a term that stands in every document is one short row
-in each shard.  A search sends blocks of queries to the shards and only reads
+The index is dealt by document: a shard holds the postings of some documents
+that were read together, one row per (shard, term), so a term that stands in
+every document is one short row in each shard, and building shuffles no
+posting.  A search sends blocks of queries to the shards and only reads
 postings of asked terms; a shard scores a query's documents term by term, the
 rarest first, and stops to take in new documents once no unseen one can reach
-the best ``k``.  At most ``k`` documents a query leave a shard.
+the best ``k``.  At most ``k`` documents a query, and ties at the cut, leave a shard.
 """
 
 from __future__ import annotations
@@ -15,26 +16,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructType
 
 from tidemark.functions.ordering import top_k
 from tidemark.functions.text import terms
 from tidemark.session import scratch_dir
 
-#: Documents of a shard and queries of a block, about; both bound what a task holds.
-SHARD_DOCUMENTS = 1 << 16
+#: Postings of a shard, about, and queries of a block; both bound what a task holds.
+SHARD_POSTINGS = 2_000_000
 QUERY_BLOCK = 1024
+#: Terms in one Arrow batch of postings.
+TERMS_AT_ONCE = 5_000
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """A stored index: ``postings`` by shard and term, ``terms`` with their document counts, and the corpus totals."""
+    """A stored index: ``postings`` by shard and term, ``terms`` with their document counts, ``shards``, and the corpus totals."""
 
     path: str
-    shards: int
     documents: int
     mean_words: float
 
@@ -42,49 +46,76 @@ class TextIndex:
         return spark.read.parquet(f"{self.path}/{name}")
 
 
-def _counted(words: DataFrame) -> DataFrame:
-    """``doc, shard, words, term, tf``: the terms of each document, counted inside its Arrow batch."""
-    schema = StructType([words.schema["doc"], words.schema["shard"]]).add("words", IntegerType()).add("term", StringType()).add("tf", IntegerType())
-    target = to_arrow_schema(schema)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("terms")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = pa.table({"row": np.repeat(np.arange(batch.num_rows), sizes), "term": lists.flatten()})
-            found = flat.group_by(["row", "term"]).aggregate([([], "count_all")])
-            row = found["row"].combine_chunks()
-            out = [
-                batch.column("doc").take(row), batch.column("shard").take(row), pa.array(sizes[row.to_numpy()], pa.int32()),
-                found["term"].combine_chunks(), found["count_all"].combine_chunks().cast(pa.int32()),
-            ]
-            yield pa.RecordBatch.from_arrays(out, schema=target)
-
-    return words.mapInArrow(count, schema)
-
-
-def build_text_index(documents: DataFrame, doc: str, text: str, path: str | None = None, shards: int | None = None) -> TextIndex:
+class _Shard:
+    """Postings of the documents that a task has read since its last shard."""
+
+    def __init__(self) -> None:
+        self.docs, self.terms, self.rows, self.tfs, self.words, self.size, self.count = [], [], [], [], [], 0, 0
+
+    def add(self, docs: pa.Array, lists: pa.Array) -> None:
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = pa.table({"row": np.repeat(np.arange(len(docs)), sizes), "term": lists.flatten()})
+        found = flat.group_by(["row", "term"]).aggregate([([], "count_all")])
+        row = found["row"].combine_chunks().to_numpy()
+        self.docs.append(docs)
+        self.terms.append(found["term"].combine_chunks())
+        self.rows.append(row + self.count)
+        self.tfs.append(found["count_all"].combine_chunks().to_numpy().astype(np.int32))
+        self.words.append(sizes[row].astype(np.int32))
+        self.count += len(docs)
+        self.size += len(row)
+
+    def postings(self, number: int, target: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """One row per term, in the order of the terms."""
+        terms = pa.concat_arrays(self.terms).dictionary_encode()
+        by_name = pc.sort_indices(terms.dictionary)
+        place = np.empty(len(by_name), dtype=np.int64)
+        place[by_name.to_numpy()] = np.arange(len(by_name))
+        code = place[terms.indices.to_numpy()]
+        order = np.argsort(code, kind="stable")
+        ends = np.searchsorted(code[order], np.arange(len(by_name) + 1)).astype(np.int32)
+        docs = pa.concat_arrays(self.docs).take(pa.array(np.concatenate(self.rows)[order]))
+        columns = [docs, pa.array(np.concatenate(self.tfs)[order]), pa.array(np.concatenate(self.words)[order])]
+        lists = [pa.ListArray.from_arrays(pa.array(ends), c).cast(f.type) for c, f in zip(columns, list(target)[2:], strict=True)]
+        whole = pa.RecordBatch.from_arrays([pa.array(np.full(len(by_name), number)), terms.dictionary.take(by_name), *lists], schema=target)
+        for low in range(0, len(by_name), TERMS_AT_ONCE):
+            yield whole.slice(low, TERMS_AT_ONCE)
+
+
+def build_text_index(documents: DataFrame, doc: str, text: str, path: str | None = None, shard_postings: int = SHARD_POSTINGS) -> TextIndex:
     """The index of all documents under ``path``; document ids are unique, a null text has no terms.
 
-    A document's words are counted where it is read; only (term, document)
-    pairs are shuffled, by shard and term.
+    Each task makes shards of the documents that it reads; only the document
+    counts of the terms are shuffled, pre-added per task.
     """
     spark = documents.sparkSession
     path = path or scratch_dir(spark, "text-index")
     words = documents.select(F.col(doc).alias("doc"), F.coalesce(terms(F.col(text)), F.array().cast("array<string>")).alias("terms"))
-    total = documents.count()
-    number = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_DOCUMENTS))
-    dealt = words.withColumn("shard", F.pmod(F.xxhash64("doc"), F.lit(number)).cast("int"))
-    posting = F.struct("doc", "tf", "words")
-    postings = _counted(dealt).groupBy("shard", "term").agg(F.collect_list(posting).alias("all"))
-    # sorted by term in each file: a search skips the row groups without an asked term
-    flat = postings.select("shard", "term", F.col("all.doc").alias("docs"), F.col("all.tf").alias("tfs"), F.col("all.words").alias("words"))
-    flat.sortWithinPartitions("term", "shard").write.mode("overwrite").parquet(f"{path}/postings")
+    kind = words.schema["doc"].dataType
+    schema = StructType().add("shard", LongType()).add("term", StringType()).add("docs", ArrayType(kind)).add(
+        "tfs", ArrayType(IntegerType())).add("words", ArrayType(IntegerType()))
+    target = to_arrow_schema(schema)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, number = _Shard(), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            shard.add(batch.column("doc"), batch.column("terms"))
+            if shard.size >= shard_postings:
+                yield from shard.postings(number, target)
+                shard, number = _Shard(), number + 1
+        if shard.size:
+            yield from shard.postings(number, target)
+
+    # in the order of the terms within a shard: a search skips the pages without an asked term
+    words.mapInArrow(gather, schema).write.mode("overwrite").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
     occurring = F.aggregate("tfs", F.lit(0).cast("long"), lambda n, tf: n + tf)
-    counts = spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.sum(occurring).alias("n_words"))
+    counts = stored.groupBy("term").agg(F.sum(F.size("docs")).alias("df"), F.sum(occurring).alias("n_words"))
     counts.write.mode("overwrite").parquet(f"{path}/terms")
+    stored.select("shard").distinct().write.mode("overwrite").parquet(f"{path}/shards")
     n_words = spark.read.parquet(f"{path}/terms").agg(F.sum("n_words")).first()[0] or 0
-    return TextIndex(path, number, total, n_words / max(total, 1))
+    total = documents.count()
+    return TextIndex(path, total, n_words / max(total, 1))
 
 
 def best_documents(lists: list[tuple[float, np.ndarray, np.ndarray]], size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +165,9 @@ def search_text_index(index: TextIndex, queries: DataFrame, query: str, query_te
     postings = index.table(spark, "postings")
     read = postings.join(wanted, "term").select("shard", "block", "term", "idf", "docs", "tfs", "words")
     per_block = spark.read.parquet(path).groupBy("block", "query").agg(F.collect_list("term").alias("terms"))
-    per_shard = per_block.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))))
+    # every shard sees every query: shards by blocks are few rows, which then meet the queries of their block
+    pairs = index.table(spark, "shards").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    per_shard = pairs.join(per_block, "block")
     doc_type = postings.schema["docs"].dataType.elementType
     schema = StructType([weighed.schema["query"]]).add("doc", doc_type).add("score", DoubleType())
     target, mean = to_arrow_schema(schema), index.mean_words
