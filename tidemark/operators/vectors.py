@@ -20,7 +20,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructType
 
 from tidemark.functions.ordering import hash_sample, top_k
 from tidemark.session import scratch_dir
@@ -49,10 +49,28 @@ def _stored(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """Unit vectors ``id, vector`` with each vector as the bytes of its numbers, which Spark moves without looking at them."""
+    schema = StructType([rows.schema["id"]]).add("vector", BinaryType())
+    target = to_arrow_schema(schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int32) * 8
+            data = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), data], schema=target)
+
+    return rows.mapInArrow(pack, schema)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as rows."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+    """Packed vectors of one length as rows."""
+    if not len(column):
+        return np.empty((0, 1))
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.float64, (ends[-1] - ends[0]) // 8, ends[0]).reshape(len(column), -1)
 
 
 def _blocks(rows: DataFrame, side: str) -> DataFrame:
@@ -66,7 +84,7 @@ def _blocks(rows: DataFrame, side: str) -> DataFrame:
 def best_in_groups(left: DataFrame, right: DataFrame, k: int, at_least: float = -2.0, packed: bool = False) -> DataFrame:
     """``left_id, right_id, similarity``: per block of the right side the best ``k`` partners of each left vector, ties at the cut included.
 
-    Both sides have ``grp, id, vector`` with unit vectors; the right one may come packed.
+    Both sides have ``grp, id, vector`` with packed unit vectors; the right one may come packed.
     A pair that shares several groups may come several times.
     """
     blocks = _blocks(left, "left").join(right if packed else _blocks(right, "right"), "grp").drop("grp")
@@ -138,11 +156,12 @@ def build_vector_index(
     """
     spark = vectors.sparkSession
     path = path or scratch_dir(spark, "vector-index")
-    rows = _stored(vectors.select(F.col(key).alias("id"), unit(vector).alias("vector")).where("vector is not null"), "unit-vectors")
+    given = vectors.select(F.col(key).alias("id"), unit(vector).alias("vector")).where("vector is not null")
+    rows = _stored(_packed(given), "unit-vectors")
     total = rows.count()
     number = cells or max(1, min(MOST_CELLS, round(math.sqrt(total))))
     if total:
-        sample = _stored(hash_sample(rows, min(SAMPLE_ROWS, total), ["id"]), "vector-sample").select(array_to_vector("vector").alias("features"))
+        sample = _stored(hash_sample(given, min(SAMPLE_ROWS, total), ["id"]), "vector-sample").select(array_to_vector("vector").alias("features"))
         model = KMeans(k=min(number, total), seed=1, maxIter=10, distanceMeasure="cosine", initMode="random").fit(sample)
         centres = np.array(model.clusterCenters())
         centres = centres / np.linalg.norm(centres, axis=1, keepdims=True)
@@ -186,7 +205,7 @@ def search_vector_index(index: VectorIndex, queries: DataFrame, query: str, quer
     cells hold fewer.
     """
     spark = queries.sparkSession
-    asked = queries.select(F.col(query).alias("id"), unit(query_vector).alias("vector")).where("vector is not null")
+    asked = _packed(queries.select(F.col(query).alias("id"), unit(query_vector).alias("vector")).where("vector is not null"))
     probing = _near_cells(asked, index.centres, probes or index.probes).drop("place")
     wanted = [r["grp"] for r in probing.select("grp").distinct().collect()]  # numbers of cells, MOST_CELLS at most
     stored = index.blocks(spark).where(F.col("cell").isin(wanted)).withColumnRenamed("cell", "grp")
@@ -249,7 +268,7 @@ def nearest_above(left: DataFrame, right: DataFrame, left_id: str, left_vector:
     the smaller id; rows without a direction match nothing.
     """
     given = {
-        side: _stored(rows.select(F.col(key).alias("id"), unit(vector).alias("vector")).where("vector is not null"), f"similar-{side}")
+        side: _stored(_packed(rows.select(F.col(key).alias("id"), unit(vector).alias("vector")).where("vector is not null")), f"similar-{side}")
         for side, rows, key, vector in (("left", left, left_id, left_vector), ("right", right, right_id, right_vector))
     }
     # groups of about a block on the right: bands grow by a bit when its rows double
