@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.exact_dedup import judge_exact
 from tidemark.llm.mixing import judge_mix
-from tidemark.llm.near_dedup import judge_near
+from tidemark.llm.near_dedup import one_of_each
 from tidemark.llm.packing import pack
 from tidemark.llm.quality_rules import judge_quality
 from tidemark.llm.queries import END_ID, TOKENIZERS, table
@@ -35,7 +35,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: five-word shingles, similarity 0.8 or more."""
-    return _kept(judge_near(docs))
+    return one_of_each(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

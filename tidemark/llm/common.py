@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import scratch_dir
@@ -24,6 +25,10 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
 
 
+#: Folders of the tables written inside the innermost ``condensed``.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage ends here.
 
@@ -32,10 +37,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def condensed(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of ``make()`` as a written table; the tables written on the way to it are removed."""
+    outer = _passing.set([])
+    try:
+        result = make()
+        path = scratch_dir(spark, name)
+        result.write.parquet(path)
+    finally:
+        passed = _passing.get()
+        _passing.reset(outer)
+        for folder in passed:
+            remove(spark, folder)
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
+    return spark.read.schema(result.schema).parquet(path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that the library itself has written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of SHA-256 of a text: equal keys stand for equal texts."""
+    return F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+
+
 def struct_of(columns: Sequence[str]) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in columns])
 

@@ -2,14 +2,16 @@
 
 A signature has 128 values.  Order t sorts all distinct texts by the values
 from 4t on, round and round.  Neighbours in an order that share a prefix of four
-values or more are candidates.  In a thin region these are all texts with that
-prefix; in a crowded one sorting brings those together that share more of it,
-so the depth follows the crowd.  Candidates are confirmed on full sets.
+values or more are candidates: in a thin region these are all texts with that
+prefix.  Candidates are confirmed on full sets.
 
 A prefix that more texts share than a neighbour window holds is a crowded run.
-Where its texts do not form one component yet, all are compared with the run's
-best linked text, and those of different components then with each other, in
-blocks of bounded size: no pair with a common prefix is left out.
+Its texts are first paired with one of them only.  Those that this leaves apart
+are sorted again among themselves, where neighbours are those that share more
+of the prefix, so the depth follows the crowd.  Where the run is not one
+component yet, all are compared with the run's best linked text, and those of
+different components then with each other, in blocks of bounded size: no pair
+with a common prefix is left out.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tidemark.llm.common import parted, tagged, text_of, with_verdict, written
+from tidemark.llm.common import condensed, parted, struct_of, tagged, text_key, text_of, with_verdict, written
 from tidemark.llm.graph import components
 from tidemark.llm.spans import LOWER, Hashes, steps, words
 
@@ -89,7 +92,7 @@ def _sketches(size: int):
                     keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                     marks.append(signed[k].tobytes() if len(own) else None)
             yield pa.record_batch({
-                "row": b["row"], "n_shingles": pa.array(count, pa.int64()), "key": pa.array(keys, pa.binary()), "signature": pa.array(marks, pa.binary()),
+                "row": b["row"], "id": b["id"], "digest": b["digest"], "n_shingles": pa.array(count, pa.int64()), "key": pa.array(keys, pa.binary()), "signature": pa.array(marks, pa.binary()),
             })
 
     return sketch
@@ -106,36 +109,49 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"tree": pa.array(np.full(len(rows), t, np.int32)), "turned": body, "row": pa.array(rows)})
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sorted rows, at most ``NEIGHBOURS`` apart, with a common prefix."""
+def _neighbours(everywhere: bool):
+    """Pairs of sorted rows with a common prefix, at most ``NEIGHBOURS`` apart: of the first rows of a run, or of all."""
     width = 2 * PREFIX
-    tree, head, row = np.zeros(0, np.int32), np.zeros((0, width), np.uint8), np.zeros(0, np.int64)
-    for b in batches:
-        if not b.num_rows:
-            continue
-        body = np.frombuffer(b"".join(b["turned"].to_pylist()), np.uint8).reshape(b.num_rows, 2 * DEPTH)
-        tree = np.concatenate([tree, b["tree"].to_numpy(zero_copy_only=False)])
-        head = np.concatenate([head, body[:, :width]])
-        row = np.concatenate([row, b["row"].to_numpy(zero_copy_only=False)])
-        key = np.ascontiguousarray(head).view("<u8").ravel()
-        held = len(row) - b.num_rows
-        left, right = [], []
-        for lag in range(1, NEIGHBOURS + 1):
-            at = np.arange(max(held, lag), len(row))
-            at = at[(key[at] == key[at - lag]) & (tree[at] == tree[at - lag])]
-            left.append(row[at - lag])
-            right.append(row[at])
-        a, c = np.concatenate(left), np.concatenate(right)
-        yield pa.record_batch({"a": pa.array(np.minimum(a, c)), "b": pa.array(np.maximum(a, c))})
-        tree, head, row = tree[-NEIGHBOURS:], head[-NEIGHBOURS:], row[-NEIGHBOURS:]
-
-
-def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """``a, b, votes``: pairs of rows that are neighbours in ``votes`` orders (at most 256 partners per row; see ``crowded_runs``)."""
-    sorted_rows = signed.mapInArrow(_orders, "tree int, turned binary, row long")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, key, row, rank = np.zeros(0, np.int32), np.zeros(0, "<u8"), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            body = np.frombuffer(b"".join(b["turned"].to_pylist()), np.uint8).reshape(b.num_rows, 2 * DEPTH)
+            tree = np.concatenate([tree, b["tree"].to_numpy(zero_copy_only=False)])
+            key = np.concatenate([key, np.ascontiguousarray(body[:, :width]).view("<u8").ravel()])
+            row = np.concatenate([row, b["row"].to_numpy(zero_copy_only=False)])
+            held, place = len(rank), np.arange(len(row))
+            begins = np.append(True, (key[1:] != key[:-1]) | (tree[1:] != tree[:-1]))
+            since = np.maximum.accumulate(np.where(begins, place, 0))
+            # the first run may have begun in an earlier batch
+            rank = place - since + np.where(since == 0, rank[0] if held else 0, 0)
+            left, right = [], []
+            for lag in range(1, NEIGHBOURS + 1):
+                at = place[max(held, lag) :]
+                at = at[(rank[at] >= lag) & (everywhere | (rank[at] <= NEIGHBOURS))]
+                left.append(row[at - lag])
+                right.append(row[at])
+            a, c = np.concatenate(left), np.concatenate(right)
+            yield pa.record_batch({"a": pa.array(np.minimum(a, c)), "b": pa.array(np.maximum(a, c))})
+            tree, key, row, rank = tree[-NEIGHBOURS:], key[-NEIGHBOURS:], row[-NEIGHBOURS:], rank[-NEIGHBOURS:]
+
+    return pair
+
+
+def neighbour_pairs(signed: DataFrame, everywhere: bool = False) -> DataFrame:
+    """``a, b``: rows that are neighbours, once for each order; at most eight partners per row and order."""
+    sorted_rows = signed.select("row", "signature").mapInArrow(_orders, "tree int, turned binary, row long")
     parts = signed.sparkSession.conf.get("spark.sql.shuffle.partitions")
     sorted_rows = sorted_rows.repartitionByRange(int(parts), "tree", "turned", "row").sortWithinPartitions("tree", "turned", "row")
-    return sorted_rows.mapInArrow(_neighbours, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("votes"))
+    return sorted_rows.mapInArrow(_neighbours(everywhere), "a long, b long")
+
+
+def candidate_pairs(signed: DataFrame, crowded: DataFrame) -> DataFrame:
+    """``a, b, votes``: pairs of the first neighbours of each run, and of the rows of each crowded run with its hub."""
+    with_hub = crowded.where("row <> hub").select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b"))
+    return neighbour_pairs(signed).unionByName(with_hub).groupBy("a", "b").agg(F.count("*").alias("votes"))
 
 
 def _pairs_with(pairs: DataFrame, of_row: DataFrame, column: str) -> DataFrame:
@@ -182,8 +198,11 @@ def _sets(size: int):
 
 
 def _sets_of(texts: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    near, _ = parted(texts, "row", members)
-    return written(near.join(members, "row", "left_semi").select("row", "text").mapInArrow(_sets(size), "row long, bytes long, shingles binary"), "near-sets")
+    """``row, bytes, shingles`` of ``members`` (row, digest), from the texts by their digests."""
+    near, _ = parted(texts, "digest", members)
+    # copies of a text are merged where they are read
+    one = near.groupBy("digest").agg(F.first("text").alias("text")).join(members, "digest")
+    return written(one.select("row", "text").mapInArrow(_sets(size), "row long, bytes long, shingles binary"), "near-sets")
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,21 +215,26 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def crowded_runs(signed: DataFrame) -> DataFrame:
-    """``run, row``: the rows of each prefix that more rows share than a neighbour window holds."""
+    """``run, row, hub``: the rows of each prefix that more rows share than a neighbour window holds.
+
+    The hub is the row with the least hash, so that runs with common rows mostly share their hub.
+    """
     heads = signed.select("row", "signature").mapInArrow(_prefixes, "tree int, head long, row long").select(F.xxhash64("tree", "head").alias("run"), "row")
-    runs = written(heads.groupBy("run").agg(F.count("*").alias("n")).where(F.col("n") > NEIGHBOURS + 1).select("run"), "near-runs")
+    runs = heads.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("row").alias("h"), "row")).alias("least"))
+    runs = written(runs.where(F.col("n") > NEIGHBOURS + 1).select("run", F.col("least.row").alias("hub")), "near-runs")
     some, _ = parted(heads, "run", runs)
-    return written(some.join(runs, "run", "left_semi"), "near-crowded")
+    return written(some.join(runs, "run"), "near-crowded")
 
 
 def _open_runs(crowded: DataFrame, root: DataFrame) -> DataFrame:
-    """``run, row, root`` of the runs that hold several components; of runs with the same rows, one."""
-    here = crowded.join(root.withColumnRenamed("node", "row"), "row", "left").select("run", "row", F.coalesce("root", "row").alias("root"))
+    """``run, row, root, hub_root`` of the runs that hold several components; of runs with the same rows, one."""
+    here = crowded.join(root.withColumnRenamed("node", "row"), "row", "left").select("run", "row", "hub", F.coalesce("root", "row").alias("root"))
     runs = here.groupBy("run").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("mark"),
+        F.max(F.when(F.col("row") == F.col("hub"), F.col("root"))).alias("hub_root"),
     )
-    once = runs.where("low <> high").groupBy("n", "mark").agg(F.min("run").alias("run"))
-    return written(here.join(once.select("run"), "run", "left_semi"), "near-open")
+    once = runs.where("low <> high").groupBy("n", "mark").agg(F.min(F.struct("run", "hub_root")).alias("one")).select("one.*")
+    return written(here.drop("hub").join(once, "run"), "near-open")
 
 
 def _linked(percent: int):
@@ -261,7 +285,7 @@ def hub_links(rows: DataFrame, found: DataFrame, sets: DataFrame, percent: int)
     degree = found.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count("*").alias("degree"))
     ranked = rows.join(degree, "row", "left")
     hubs = ranked.groupBy("run").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("row").alias("hub"), F.col("root").alias("hub_root"))).alias("best"))
-    pairs = rows.join(hubs.select("run", "best.hub", "best.hub_root"), "run").where("root <> hub_root").select("hub", "hub_root", "row", "root").distinct()
+    pairs = rows.drop("hub_root").join(hubs.select("run", "best.hub", "best.hub_root"), "run").where("root <> hub_root").select("hub", "hub_root", "row", "root").distinct()
     pairs = written(pairs.join(sets.select("row", "bytes"), "row"), "near-hubs")
     blocks = written(_blocks(pairs, "hub").join(pairs.select("hub", "hub_root").distinct(), "hub"), "near-blocks")
     spread = pairs.join(blocks.select("hub", "blocks"), "hub").select(
@@ -283,37 +307,56 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _compared(cells, sets, percent)
 
 
+def _between(pairs: DataFrame, root: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that do not lie in one component."""
+    for end in ("a", "b"):
+        pairs = pairs.join(root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    return pairs.where(~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))).drop("root_a", "root_b")
+
+
+def _members(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+
+
 def links(texts: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
     """``node, root`` of all distinct texts that are linked with another.
 
-    Each text's best partners are confirmed first.  Of the other candidates only
-    those between different components can change the result; all of them are
-    confirmed then.  Crowded runs that still hold several components are compared
-    as a whole.
+    ``texts`` has ``digest, text``; ``signed`` has ``row, digest, signature`` of
+    the distinct texts.  Each text's best partners are confirmed first.  Of the
+    other candidates only those between different components can change the
+    result; all of them are confirmed then.  Crowded runs that still hold several
+    components are sorted again, and then compared as a whole.
     """
-    found = written(candidate_pairs(signed), "near-pairs")
-    pairs = written(likely(found, signed, percent / 100), "near-likely")
-    members = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
-    sets = _sets_of(texts, members, size)
-    ends = pairs.select(F.col("a").alias("row"), "a", "b", "votes").unionByName(pairs.select(F.col("b").alias("row"), "a", "b", "votes"))
-    # at most 256 partners a row
+    digests, known = signed.select("row", "digest"), None
+
+    def with_sets(members: DataFrame) -> DataFrame:
+        """Sets of these rows and of all before."""
+        nonlocal known
+        lack = members if known is None else members.join(known.select("row"), "row", "left_anti")
+        made = _sets_of(texts, digests.join(lack, "row", "left_semi"), size)
+        known = made if known is None else known.unionByName(made)
+        return known
+
+    crowded = crowded_runs(signed)
+    pairs = written(likely(written(candidate_pairs(signed, crowded), "near-pairs"), signed, percent / 100), "near-likely")
+    sets = with_sets(_members(pairs))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row"), "a", "b", "votes")
+    # at most eight partners a row and order, and the hubs' rows
     best = Window.partitionBy("row").orderBy(F.col("votes").desc(), "a", "b")
     strong = written(ends.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= FIRST).select("a", "b").distinct(), "near-strong")
-    first = written(confirmed(strong, sets, percent), "near-links")
-    root = components(first)
+    found = written(confirmed(strong, sets, percent), "near-links")
     rest = pairs.select("a", "b").join(strong, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        rest = rest.join(root.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    apart = ~F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))
-    second = written(confirmed(rest.where(apart).select("a", "b"), sets, percent), "near-links")
-    found = first.unionByName(second)
+    found = found.unionByName(written(confirmed(_between(rest, components(found)), sets, percent), "near-links"))
     root = components(found)
-    crowded = crowded_runs(signed)
     rows = _open_runs(crowded, root)
     if rows.isEmpty():
         return root
-    members = rows.select("row").distinct()
-    sets = sets.unionByName(_sets_of(texts, members.join(sets.select("row"), "row", "left_anti"), size))
+    apart = written(signed.join(rows.where("root <> hub_root").select("row").distinct(), "row", "left_semi"), "near-apart")
+    pairs = neighbour_pairs(apart, everywhere=True).groupBy("a", "b").agg(F.count("*").alias("votes"))
+    pairs = written(likely(written(_between(pairs, root), "near-pairs"), apart, percent / 100), "near-likely")
+    found = found.unionByName(written(confirmed(pairs.select("a", "b"), with_sets(_members(pairs)), percent), "near-links"))
+    rows = _open_runs(crowded, components(found))
+    sets = with_sets(rows.select("row").distinct())
     found = found.unionByName(hub_links(rows, found, sets, percent))
     root = components(found)
     rows = _open_runs(crowded, root)
@@ -339,25 +382,65 @@ def near_dedup(
 def judge_near(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None, size: int = 5, percent: int = 80,
 ) -> DataFrame:
-    """As ``near_dedup``, with the carried columns in one struct ``doc``."""
+    """As ``near_dedup``, with the carried columns in one struct ``doc``.
+
+    Where only the id is carried, no text is written or shuffled for it.
+    """
     carry = list(docs.columns if carry is None else carry)
-    # the text is needed once more for the candidates
+    if set(carry) == {id_col}:
+        judged = near_verdict(docs, F.col(f"`{id_col}`"), text_of(text_col), size, percent)
+        return judged.select(F.struct(*[F.col("id").alias(c) for c in carry]).alias("doc"), *VERDICT)
     rows = tagged(docs, "near-rows", list(dict.fromkeys([*carry, id_col, text_col])))
-    texts = rows.select("row", text_of(f"doc.`{text_col}`").alias("text"))
-    sketches = written(texts.mapInArrow(_sketches(size), "row long, n_shingles long, key binary, signature binary"), "near-sketches")
-    ids = rows.select("row", F.col(f"doc.`{id_col}`").alias("id"))
-    slim = sketches.select("row", "n_shingles", "key").join(ids, "row")
-    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
-    sets = written(slim.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), best), "near-distinct")
-    signed = written(sketches.join(sets.select(F.col("node").alias("row")), "row", "left_semi").select("row", "signature"), "near-signatures")
-    root = links(texts, signed, size, percent)
-    placed = sets.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = written(placed, "near-placed")
-    leads = placed.groupBy("root").agg(F.min("best").alias("lead"))
-    by_key = written(placed.join(leads, "root").select("key", "lead"), "near-leads")
-    judged = written(slim.join(by_key, "key", "left").select(
-        "row", "n_shingles", F.coalesce("lead.id", "id").alias("component_id"), F.coalesce(F.col("lead.row") == F.col("row"), F.lit(True)).alias("kept")
-    ), "near-verdict")
+    judged = near_verdict(rows, F.col(f"doc.`{id_col}`"), text_of(f"doc.`{text_col}`"), size, percent, F.col("row"))
     if len(rows.schema["doc"].dataType.names) > len(carry):
         rows = rows.select("row", F.struct(*[F.col(f"doc.`{c}`").alias(c) for c in carry]).alias("doc"))
-    return rows.join(judged, "row").select("doc", *VERDICT)
+    return rows.join(judged.select("row", *VERDICT), "row").select("doc", *VERDICT)
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """The documents that ``near_dedup`` keeps, with all their columns.
+
+    The verdict lists what goes; a bitmap lets all rows that surely stay pass
+    where they are read, so only dropped documents are shuffled.  Of rows with
+    equal id and text that hold the one to keep, any one stays.
+    """
+    given, text = F.col(f"`{id_col}`"), text_of(text_col)
+    judged = near_verdict(docs, given, text, size, percent)
+    which = F.xxhash64("id", "digest").alias("which")
+    listed = judged.groupBy("id", "digest").agg(F.count("*").alias("n"), F.count_if("kept").alias("stay")).where("stay < n").select("id", "digest", "stay", which)
+    listed = written(listed, "near-dropped")
+    rows = docs.select(struct_of(docs.columns).alias("doc"), given.alias("id"), text_key(text).alias("digest")).select("doc", "id", "digest", which)
+    maybe, sure = parted(rows, "which", listed)
+    d, g = maybe.alias("d"), listed.alias("g")
+    same = (F.col("d.which") == F.col("g.which")) & F.col("d.id").eqNullSafe(F.col("g.id")) & (F.col("d.digest") == F.col("g.digest"))
+    met = d.join(g, same, "left").select("d.doc", "d.id", "d.digest", "g.stay")
+    one = met.where("stay > 0").groupBy("id", "digest").agg(F.first("doc").alias("doc"))
+    return sure.select("doc").unionByName(met.where("stay is null").select("doc")).unionByName(one.select("doc")).select("doc.*")
+
+
+def near_verdict(docs: DataFrame, id_of: Column, text: Column, size: int, percent: int, row: Column | None = None) -> DataFrame:
+    """``row, id, digest`` of the text and ``VERDICT`` of each document, as a written table; all others written for it are removed."""
+    given = docs.select(
+        (F.monotonically_increasing_id() if row is None else row).alias("row"), id_of.alias("id"), text_key(text).alias("digest"), text.alias("text"),
+    )
+    binary = [StructField(c, BinaryType()) for c in ("digest", "key", "signature")]
+    shape = StructType([
+        StructField("row", LongType()), StructField("id", given.schema["id"].dataType), binary[0], StructField("n_shingles", LongType()), *binary[1:],
+    ])
+
+    def judged() -> DataFrame:
+        # rows are numbered here, once
+        sketches = written(given.mapInArrow(_sketches(size), shape), "near-sketches")
+        slim = sketches.drop("signature")
+        best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best")
+        sets = written(slim.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), best), "near-distinct")
+        signed = written(sketches.join(sets.select(F.col("node").alias("row")), "row", "left_semi").select("row", "digest", "signature"), "near-signatures")
+        root = links(given.select("digest", "text"), signed, size, percent)
+        placed = written(sets.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-placed")
+        leads = placed.groupBy("root").agg(F.min("best").alias("lead"))
+        by_key = written(placed.join(leads, "root").select("key", "lead"), "near-leads")
+        return slim.join(by_key, "key", "left").select(
+            "row", "id", "digest", "n_shingles", F.coalesce("lead.id", "id").alias("component_id"), F.coalesce(F.col("lead.row") == F.col("row"), F.lit(True)).alias("kept")
+        )
+
+    return condensed(docs.sparkSession, judged, "near-verdict")
