@@ -7,8 +7,8 @@ prefix.  Candidates are confirmed on full sets.
 
 A prefix that more texts share than a neighbour window holds is a crowded run.
 Its texts are first paired with one of them only.  Those that this leaves apart
-are sorted again among themselves, where neighbours are those that share more
-of the prefix, so the depth follows the crowd.  Where the run is not one
+are sorted again among themselves, where those side by side share the longest
+prefix, so the depth follows the crowd.  Where the run is not one
 component yet, all are compared with the run's best linked text, and those of
 different components then with each other, in blocks of bounded size: no pair
 with a common prefix is left out.
@@ -110,8 +110,8 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(everywhere: bool):
-    """Pairs of sorted rows with a common prefix, at most ``NEIGHBOURS`` apart: of the first rows of a run, or of all."""
-    width = 2 * PREFIX
+    """Pairs of sorted rows with a common prefix: of all rows the next ones, or of the first rows of a run all up to ``NEIGHBOURS`` apart."""
+    width, reach = 2 * PREFIX, 1 if everywhere else NEIGHBOURS
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, key, row, rank = np.zeros(0, np.int32), np.zeros(0, "<u8"), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -128,7 +128,7 @@ def _neighbours(everywhere: bool):
             # the first run may have begun in an earlier batch
             rank = place - since + np.where(since == 0, rank[0] if held else 0, 0)
             left, right = [], []
-            for lag in range(1, NEIGHBOURS + 1):
+            for lag in range(1, reach + 1):
                 at = place[max(held, lag) :]
                 at = at[(rank[at] >= lag) & (everywhere | (rank[at] <= NEIGHBOURS))]
                 left.append(row[at - lag])
